@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spindrift.llm import chat, decontaminate, pii, urls, warc
+from spindrift.llm import ann, chat, decontaminate, packing, pii, quality, training_order, urls, warc
 from spindrift.llm.common import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,6 +17,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
 
 
@@ -43,12 +53,27 @@ def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.render_conversations(turns))
 
 
+def op5_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
+    return packed.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "warc")
     index = warc.write(table(spark, sf_dir, "pages"), path)
     return warc.fetch(index, path).drop("url")
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.decide(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).scores
+
+
+def op9_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "training-order")
+    training_order.write(table(spark, sf_dir, "documents"), path, tokenizer_path())
+    return training_order.read_spans(spark, path)
+
+
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.detect(table(spark, sf_dir, "documents").select("doc_id", "text"))
     base = F.filter("spans", lambda s: s["kind"].isin(*pii.KINDS))
@@ -57,10 +82,14 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_nearest": op1_nearest,
     "op2_url_filter": op2_url_filter,
     "op3_decontaminate": op3_decontaminate,
     "op4_chat_format": op4_chat_format,
+    "op5_pack": op5_pack,
     "op7_warc": op7_warc,
+    "op8_quality": op8_quality,
+    "op9_training_order": op9_training_order,
     "op10_pii": op10_pii,
 }
 

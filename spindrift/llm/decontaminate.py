@@ -20,7 +20,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spindrift.llm.common import ascii_lower, small_side
+from spindrift.llm.common import ascii_lower, materialise, small_side
 
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 CASED_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -57,42 +57,57 @@ def row_key(docs: DataFrame, ident: str, text: str) -> list[Column]:
     return [F.col(ident).alias("doc_id"), F.xxhash64(F.col(text)).alias("text_key")]
 
 
-def find(docs: DataFrame, items: DataFrame, n: int = 10, ident: str = "doc_id", text: str = "text", item: str = "item_id") -> DataFrame:
-    """doc_id, text_key, start, m, item_id: each place (word number from 0) where a window of an item occurs."""
+def scan(docs: DataFrame, items: DataFrame, n: int, ident: str, text: str, item: str) -> tuple[DataFrame, DataFrame]:
+    """What one pass over the texts gives, as tables: (doc_id, text_key, n_words) of every row, and the places of ``find``."""
     wins = windows(items, n, item, text).cache()
     sizes: dict[int, list[int]] = {}
     counted = {r["m"]: r["c"] for r in wins.groupBy("m").agg(F.count("*").alias("c")).collect()}  # at most n rows
     for m in sorted(counted):
         sizes.setdefault((m + 1) // 2, []).append(m)
     base = docs.select(*row_key(docs, ident, text), normalised(F.col(text)).alias("w"))
-    parts = []
-    for size, lengths in sizes.items():
+    words, parts = None, []
+    for size, lengths in sorted((sizes or {5: []}).items(), reverse=True):
         rows = sum(counted[m] for m in lengths)
         mine = wins.where(F.col("m").isin(lengths))
-        keys = mine.select(F.inline(runs(F.split("run", " "), size))).select("run").distinct()
+        keys = mine.select(F.inline(runs(F.split("run", " "), size))).select("run").distinct().withColumn("hit", F.lit(True))
         blocks = base.select("doc_id", "text_key", cut(F.col("w"), size).alias("blocks"))
-        hit = blocks.select("doc_id", "text_key", "blocks", F.posexplode("blocks").alias("i", "run"))
-        hit = hit.join(small_side(keys, rows * 10), "run", "left_semi")
+        hit = blocks.select("doc_id", "text_key", "blocks", F.posexplode_outer("blocks").alias("i", "run"))
+        hit = hit.join(small_side(keys, rows * n), "run", "left").where("hit OR i IS NULL OR i = 0")
         near = F.slice("blocks", F.greatest(F.col("i"), F.lit(1)), F.when(F.col("i") > 0, 3).otherwise(2))
-        hit = hit.select("doc_id", "text_key", (F.greatest(F.col("i") - 1, F.lit(0)) * size).alias("base"), F.split(F.array_join(near, " "), " ").alias("w"))
-        tried = F.flatten(F.array(*[F.transform(runs(F.col("w"), m), lambda r: F.struct(r["at"].alias("at"), r["run"].alias("run"))) for m in lengths]))
-        tried = hit.select("doc_id", "text_key", "base", F.inline(tried))
+        last = F.element_at("blocks", -1)
+        told = F.when(F.size("blocks") > 0, (F.size("blocks") - 1) * size + F.length(last) - F.length(F.replace(last, F.lit(" "))) + 1).otherwise(F.lit(0))
+        hit = hit.select(
+            "doc_id", "text_key",
+            F.when(F.coalesce("i", F.lit(0)) == 0, told.cast("long")).alias("n_words"),
+            F.when(F.col("hit"), F.greatest(F.col("i") - 1, F.lit(0)) * size).alias("base"),
+            F.when(F.col("hit"), F.array_join(near, " ")).alias("near"),
+        )
+        hit = materialise(hit, "scan")
+        words = words or hit.where("n_words IS NOT NULL").select("doc_id", "text_key", "n_words")
+        if not lengths:
+            continue
+        tried = F.flatten(F.array(*[F.transform(runs(F.split("near", " "), m), lambda r: F.struct(r["at"].alias("at"), r["run"].alias("run"))) for m in lengths]))
+        tried = hit.where("near IS NOT NULL").select("doc_id", "text_key", "base", F.inline(tried))
         found = tried.join(small_side(mine, rows), "run")
         parts.append(found.select("doc_id", "text_key", (F.col("base") + F.col("at")).alias("start"), "m", "item_id"))
-    if not parts:
-        kind = items.schema[item].dataType.simpleString()
-        return base.where(F.lit(False)).select("doc_id", "text_key", F.lit(0).alias("start"), F.lit(0).alias("m"), F.lit(None).cast(kind).alias("item_id"))
-    return reduce(DataFrame.unionByName, parts).distinct()
+    if parts:
+        return words, materialise(reduce(DataFrame.unionByName, parts).distinct(), "places")
+    kind = items.schema[item].dataType.simpleString()
+    return words, words.where(F.lit(False)).select("doc_id", "text_key", F.lit(0).alias("start"), F.lit(0).alias("m"), F.lit(None).cast(kind).alias("item_id"))
+
+
+def find(docs: DataFrame, items: DataFrame, n: int = 10, ident: str = "doc_id", text: str = "text", item: str = "item_id") -> DataFrame:
+    """doc_id, text_key, start, m, item_id: each place (word number from 0) where a window of an item occurs."""
+    return scan(docs, items, n, ident, text, item)[1]
 
 
 def report(docs: DataFrame, items: DataFrame, n: int = 10, ident: str = "doc_id", text: str = "text", item: str = "item_id") -> DataFrame:
     """doc_id, text_key, n_words, n_hit, items (ids as sorted strings), one row for each row of docs."""
-    places = find(docs, items, n, ident, text, item)
+    base, places = scan(docs, items, n, ident, text, item)
     spots = F.explode(F.sequence(F.col("start"), F.col("start") + F.col("m") - 1))
     covered = places.select("doc_id", "text_key", spots.alias("at")).distinct().groupBy("doc_id", "text_key").agg(F.count("*").alias("n_hit"))
     named = places.select("doc_id", "text_key", F.col("item_id").cast("string").alias("item")).distinct()
     named = named.groupBy("doc_id", "text_key").agg(F.array_sort(F.collect_list("item")).alias("items"))
-    base = docs.select(*row_key(docs, ident, text), F.coalesce(F.regexp_count(F.col(text), F.lit(CASED_WORD)), F.lit(0)).cast("long").alias("n_words"))
     out = base.alias("b")
     for side, name in ((covered, "c"), (named, "n")):
         same = F.col("b.doc_id").eqNullSafe(F.col(f"{name}.doc_id")) & F.col("b.text_key").eqNullSafe(F.col(f"{name}.text_key"))

@@ -61,5 +61,5 @@ def ascii_lower(text: Column) -> Column:
 
 def slices(df: DataFrame, bytes_each: int, least: int = 8, most: int = 1 << 20) -> int:
     """How many parts of about bytes_each the planner's size estimate of df makes."""
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return max(least, min(most, size // bytes_each))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spindrift.llm import ann, chat, decontaminate, packing, pii, quality, training_order, urls, warc
+from spindrift.llm import ann, chat, decontaminate, jaccard, packing, pii, quality, training_order, urls, warc
 from spindrift.llm.common import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -58,6 +58,10 @@ def op5_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
 
 
+def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "warc")
     index = warc.write(table(spark, sf_dir, "pages"), path)
@@ -87,6 +91,7 @@ QUERIES: dict[str, Query] = {
     "op3_decontaminate": op3_decontaminate,
     "op4_chat_format": op4_chat_format,
     "op5_pack": op5_pack,
+    "op6_jaccard": op6_jaccard,
     "op7_warc": op7_warc,
     "op8_quality": op8_quality,
     "op9_training_order": op9_training_order,

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spindrift.llm import texthash
-from spindrift.llm.common import materialise, slices
+from spindrift.llm.common import materialise, slices, small_side
 from spindrift.llm.components import components
 
 U = np.uint64
@@ -353,3 +353,17 @@ def near_duplicates(docs: DataFrame, n: int = 4, percent: int = 85, ident: str =
     out = rows.join(classes, "sig", "left").join(found, F.col("class_id") == F.col("node"), "left")
     label = F.coalesce("component", "class_id", "doc")
     return out.select(F.col("doc").alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), F.coalesce("class_id", "doc").alias("class_id"), F.when(F.col("doc").isNotNull(), label).alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80, ident: str = "doc_id", text: str = "text") -> DataFrame:
+    """docs with one row of each component: that of the least id.  Rows without an id or without words stay; of rows that share an id one stays."""
+    found = near_duplicates(docs, n, percent, ident, text)
+    gone = materialise(found.where("component_id <> doc_id").select(F.col("doc_id").alias("__gone")).distinct(), "gone")
+    again = materialise(found.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("__again")), "again")
+    kept = docs.join(small_side(gone, gone.count()), F.col(ident) == F.col("__gone"), "left_anti")
+    repeated = again.count()
+    if not repeated:
+        return kept
+    twice = small_side(again, repeated)
+    single = kept.join(twice, F.col(ident) == F.col("__again"), "left_anti")
+    return single.unionByName(kept.join(twice, F.col(ident) == F.col("__again"), "left_semi").dropDuplicates([ident]))

@@ -123,7 +123,8 @@ def remove(docs: DataFrame, items: DataFrame, n: int = 10, ident: str = "doc_id"
     """docs without hits, all columns kept.  mode: "document" drops the rows, "span" cuts the hit words out of the text."""
     places = find(docs, items, n, ident, text, item)
     if mode == "document":
-        hit = places.select("doc_id", "text_key").distinct().alias("h")
+        hit = places.select("doc_id", "text_key").distinct()
+        hit = small_side(hit, hit.count()).alias("h")
         same = F.col(f"d.{ident}").eqNullSafe(F.col("h.doc_id")) & F.xxhash64(F.col(f"d.{text}")).eqNullSafe(F.col("h.text_key"))
         return docs.alias("d").join(hit, same, "left_anti")
     spots = places.select("doc_id", "text_key", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("m") - 1)).alias("at"))

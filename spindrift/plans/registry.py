@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from spindrift.plans import purchases  # noqa: F401
+from spindrift.plans.base import ORACLE_SQL, QUERIES  # noqa: F401

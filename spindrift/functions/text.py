@@ -5,8 +5,15 @@ from __future__ import annotations
 from functools import reduce
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
+
+import spindrift
+
+# Functions that run on executors travel by value, so executors need not have the package.
+cloudpickle.register_pickle_by_value(spindrift)
 
 TOKEN = r"[0-9A-Za-zА-Яа-яЁё]+"
 
@@ -93,10 +100,11 @@ def attribute_spans(c: Column) -> Column:
 def char_ngrams(token: Column, least: int = 3, most: int = 5) -> Column:
     """Distinct character n-grams of the token between angle brackets."""
     s = F.concat(F.lit("<"), token, F.lit(">"))
-    grams = [
-        F.when(F.length(s) >= n, F.transform(F.sequence(F.lit(1), F.length(s) - n + 1), lambda i, n=n: F.substr(s, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
-        for n in range(least, most + 1)
-    ]
+    def of(n: int) -> Column:
+        cut = F.transform(F.sequence(F.lit(1), F.length(s) - n + 1), lambda i: F.substr(s, i, F.lit(n)))
+        return F.when(F.length(s) >= n, cut).otherwise(F.array().cast("array<string>"))
+
+    grams = [of(n) for n in range(least, most + 1)]
     return F.array_distinct(F.concat(*grams))
 
 
@@ -134,7 +142,7 @@ def distance_of(a: str, b: str, most: int) -> int:
     return rows[-1][-1]
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(IntegerType())
 def bounded_distance(a: pd.Series, b: pd.Series) -> pd.Series:
     """Edit distance with adjacent transpositions, 3 for more than 2; call it on pairs that already share a block."""
     return pd.Series([None if x is None or y is None else distance_of(x, y, 2) for x, y in zip(a, b)], dtype="Int32")

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spindrift.llm import texthash
-from spindrift.llm.common import materialise, slices, small_side
+from spindrift.llm.common import frugal, materialise, slices, small_side, trim
 from spindrift.llm.components import components
 
 U = np.uint64
@@ -92,10 +92,13 @@ def differences(sorted_values: np.ndarray) -> np.ndarray:
     return np.diff(sorted_values, prepend=sorted_values[:0].dtype.type(0))
 
 
-# kind 0: a document (doc, n, sig); 1: tokens of a list (bucket, tokens, which of docs, docs, sizes);
-# 2: locally frequent tokens and their counts (bucket, tokens, which); 3: postings for a document bucket (bucket, tokens, which: classes, docs, sizes)
-TOLD = "kind int, doc bigint, n int, sig binary, bucket int, tokens binary, which binary, docs binary, sizes binary"
-TOLD_KINDS = (pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
+SIGNED = "doc bigint, n int, sig binary"
+
+# kind 1: tokens of a list (bucket, tokens, which of docs, docs, sizes); 2: locally frequent tokens (bucket, tokens);
+# 3: postings for a document bucket (bucket, tokens, which: classes, docs, sizes)
+TOLD = "kind int, bucket int, tokens binary, which binary, docs binary, sizes binary"
+TOLD_NAMES = [f.split()[0] for f in TOLD.split(", ")]
+TOLD_KINDS = (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
 
 
 def doc_bucket(docs: np.ndarray, buckets: int) -> np.ndarray:
@@ -109,32 +112,46 @@ def postings(docs, sizes, tokens, classes, buckets):
     docs, sizes, tokens, classes, to = docs[order], sizes[order], tokens[order], classes[order], to[order]
     ends = np.flatnonzero(np.diff(to, append=-1)) + 1
     for a, b in zip(np.concatenate([[0], ends[:-1]]), ends):
-        yield (3, None, None, None, int(to[a]), packed(tokens[a:b]), packed(classes[a:b]), packed(docs[a:b]), packed(sizes[a:b]))
+        yield (3, int(to[a]), packed(tokens[a:b]), packed(classes[a:b]), packed(docs[a:b]), packed(sizes[a:b]))
+
+
+def signature(tokens: np.ndarray) -> bytes:
+    return blake2b(tokens.tobytes(), digest_size=16).digest()
+
+
+def signed(given: DataFrame, n: int) -> DataFrame:
+    """doc, n, sig (null for an empty set) of every row of given (doc, text)."""
+
+    def run(batches):
+        for batch in batches:
+            sets = [s for _, held in shingles(batch.column(1), n) for s in held]
+            sizes = pa.array([len(s) for s in sets], pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column(0), sizes, pa.array([signature(s) if len(s) else None for s in sets], pa.binary())], names=["doc", "n", "sig"])
+
+    return materialise(given.mapInArrow(frugal(run), SIGNED), "signatures")
 
 
-def tell(docs: DataFrame, n: int, bits: int, ident: str, text: str) -> DataFrame:
-    """One pass over the texts, see ``TOLD``."""
+def tell(given: DataFrame, n: int, bits: int) -> DataFrame:
+    """The token lists of all rows of given (doc, text), see ``TOLD``."""
     buckets = 1 << bits
-    names = [f.split()[0] for f in TOLD.split(", ")]
 
     def run(batches):
         held: list = []
         size = 0
 
         def table(rows):
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), TOLD_KINDS)], names=names)
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), TOLD_KINDS)], names=TOLD_NAMES)
 
         def flush():
-            nonlocal held, size
             first: dict[bytes, tuple] = {}
-            for doc, sig, s in held:
+            for doc, s in held:
+                sig = signature(s)
                 if sig not in first or doc < first[sig][0]:
                     first[sig] = (doc, s)
             ids = np.array([d for d, _ in first.values()], np.int64)
             sizes = np.array([len(s) for _, s in first.values()], np.int32)
             tokens = np.concatenate([s for _, s in first.values()]) >> U(64 - BITS)
             which = np.repeat(np.arange(len(ids), dtype=np.uint32), sizes)
-            held, size = [], 0
             order = np.argsort(tokens, kind="stable")
             tokens, which = tokens[order], which[order]
             starts = np.flatnonzero(np.diff(tokens, prepend=tokens[:1] + U(1)))
@@ -146,45 +163,41 @@ def tell(docs: DataFrame, n: int, bits: int, ident: str, text: str) -> DataFrame
                 hot = starts[counts > LOCAL]
                 to = (tokens[hot] >> U(BITS - bits)).astype(np.int64)
                 for b in np.unique(to):
-                    m = hot[to == b]
-                    yield (2, None, None, None, int(b), packed(tokens[m]), None, None, None)
+                    yield (2, int(b), packed(tokens[hot[to == b]]), None, None, None)
                 tokens, which = tokens[~common], which[~common]
             edges = np.searchsorted(tokens, np.arange(buckets + 1, dtype=U) << U(BITS - bits))
             for b in range(buckets):
                 x, y = edges[b], edges[b + 1]
                 if x < y:
                     used, again = np.unique(which[x:y], return_inverse=True)
-                    yield (1, None, None, None, b, packed(differences(tokens[x:y])), packed(again.astype(np.uint32)), packed(ids[used]), packed(sizes[used]))
+                    yield (1, b, packed(differences(tokens[x:y])), packed(again.astype(np.uint32)), packed(ids[used]), packed(sizes[used]))
 
         for batch in batches:
             ids = batch.column(0).to_pylist()
-            rows = []
             for i, sets in shingles(batch.column(1), n):
                 for doc, s in zip(ids[i : i + len(sets)], sets):
-                    sig = blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None
-                    rows.append((0, doc, len(s), sig, None, None, None, None, None))
                     if doc is not None and len(s) > 1:
-                        held.append((doc, sig, s))
+                        held.append((doc, s))
                         size += len(s)
                 if size >= FLUSH:
-                    rows += flush()
-            if rows:
-                yield table(rows)
+                    yield table(list(flush()))
+                    held, size = [], 0
         if held:
             yield table(list(flush()))
 
-    given = docs.select(F.col(ident).cast("long").alias("doc"), F.col(text).alias("text"))
-    return materialise(given.mapInArrow(run, TOLD), "tokens")
+    return given.mapInArrow(frugal(run), TOLD)
 
 
 def frequency_classes(lists: DataFrame, bits: int) -> DataFrame:
-    """Rows of kind 3 for every token of kind 1 that more than one document has, from groups of a token bucket."""
-    names = [f.split()[0] for f in TOLD.split(", ")]
+    """Rows of kind 3 for every token of kind 1 that more than one document has, from groups of a token bucket; those given pass."""
     buckets = 1 << bits
 
     def run(group: pa.Table) -> pa.Table:
+        group = group.select(TOLD_NAMES)
+        if group["kind"][0].as_py() == 3:
+            return group
         parts, hot = [], []
-        for kind, tokens, which, docs, sizes in zip(*(group[c].to_pylist() for c in ("kind", "tokens", "which", "docs", "sizes"))):
+        for kind, _, tokens, which, docs, sizes in zip(*(group[c].to_pylist() for c in TOLD_NAMES)):
             if kind == 2:
                 hot.append(unpacked(tokens, U))
                 continue
@@ -196,18 +209,19 @@ def frequency_classes(lists: DataFrame, bits: int) -> DataFrame:
             order = np.argsort(tokens, kind="stable")
             tokens, docs, sizes = tokens[order], docs[order], sizes[order]
             starts = np.flatnonzero(np.diff(tokens, prepend=tokens[:1] + U(1)))
-            counts = np.diff(starts, append=len(tokens))
-            classes = np.minimum(np.ceil(np.log2(counts + 1)), HOT - 1).astype(np.uint8)
+            times = np.diff(starts, append=len(tokens))
+            counts, classes = times, np.minimum(np.ceil(np.log2(times + 1)), HOT - 1).astype(np.uint8)
             if hot:
                 common = np.isin(tokens[starts], np.concatenate(hot))
                 classes[common] = HOT
-                counts = np.where(common, counts + LOCAL, counts)
-            some = np.repeat(counts > 1, np.diff(starts, append=len(tokens)))
-            classes = np.repeat(classes, np.diff(starts, append=len(tokens)))
+                counts = np.where(common, times + LOCAL, times)
+            some, classes = np.repeat(counts > 1, times), np.repeat(classes, times)
             rows = list(postings(docs[some], sizes[some], tokens[some], classes[some], buckets)) if some.any() else []
-        return pa.table([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * 9, TOLD_KINDS)], names=names)
+            del parts, tokens, docs, sizes, w
+            trim()
+        return pa.table([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * 6, TOLD_KINDS)], names=TOLD_NAMES)
 
-    return lists.groupBy("bucket").applyInArrow(run, TOLD)
+    return lists.withColumn("ready", F.col("kind") == 3).groupBy("ready", "bucket").applyInArrow(run, TOLD)
 
 
 SETS = "doc bigint, n int, tokens array<bigint>, keys array<bigint>"
@@ -341,13 +355,11 @@ def links(sets: DataFrame, percent: int) -> DataFrame:
 def near_duplicates(docs: DataFrame, n: int = 4, percent: int = 85, ident: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, class_id (least id with the same set), component_id of every row."""
     bits = (slices(docs, SLICE_BYTES, 16) - 1).bit_length()
-    told = tell(docs, n, bits, ident, text)
-    rows = told.where("kind = 0").select("doc", "n", "sig")
+    given = docs.select(F.col(ident).cast("long").alias("doc"), F.col(text).alias("text"))
+    rows = signed(given, n)
     classes = rows.where("sig IS NOT NULL AND doc IS NOT NULL").groupBy("sig").agg(F.min("doc").alias("class_id"))
     classes = materialise(classes, "classes")
-    lists = told.where("kind IN (1, 2)")
-    ready = frequency_classes(lists, bits).unionByName(told.where("kind = 3"))
-    sets = candidates(ready, percent)
+    sets = candidates(frequency_classes(tell(given, n, bits), bits), percent)
     sets = materialise(sets.join(classes.select(F.col("class_id").alias("doc")).distinct(), "doc", "left_semi"), "sets")
     found = components(links(sets, percent))
     out = rows.join(classes, "sig", "left").join(found, F.col("class_id") == F.col("node"), "left")

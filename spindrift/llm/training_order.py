@@ -7,7 +7,8 @@ along its cycles until it falls below n, gives each number its slot: a bijection
 that any reader can compute.  Shards hold ``per_shard`` slots each in order, every
 slot taking the same number of bytes (a count, then the ids, padded with zeros), so
 slot s stands at byte (s % per_shard) * stride of shard s // per_shard and a reader
-can resume anywhere.
+can resume anywhere.  Unless given, per_shard makes as many shards as shuffle
+partitions, within ``LEAST_SHARD`` and ``MOST_SHARD`` slots each.
 
 Null text is empty and has the end token alone.  Rows that repeat are written each;
 extra columns are ignored; an empty table writes an empty index.  Shards are written
@@ -28,12 +29,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spindrift.llm.common import materialise
+from spindrift.llm.common import frugal, materialise
 from spindrift.llm.texthash import mix
 from spindrift.llm.tokens import WordTokenizer
 
 LENGTH = 2048
-PER_SHARD = 8192
+LEAST_SHARD, MOST_SHARD = 256, 32_768
 KEY = 0x5EED
 ROUNDS = 4
 U = np.uint64
@@ -100,7 +101,7 @@ def sequences(docs: DataFrame, tokenizer: str, length: int = LENGTH, ident: str
             yield table()
 
     given = docs.select(F.col(ident).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return materialise(given.mapInArrow(run, CUT), "sequences")
+    return materialise(given.mapInArrow(frugal(run), CUT), "sequences")
 
 
 def place(uri: str):
@@ -111,7 +112,7 @@ def shard_name(shard: int) -> str:
     return f"shard-{shard:08d}.bin"
 
 
-def write(docs: DataFrame, path: str, tokenizer: str, length: int = LENGTH, per_shard: int = PER_SHARD, key: int = KEY, ident: str = "doc_id", text: str = "text", end: int = 0) -> DataFrame:
+def write(docs: DataFrame, path: str, tokenizer: str, length: int = LENGTH, per_shard: int | None = None, key: int = KEY, ident: str = "doc_id", text: str = "text", end: int = 0) -> DataFrame:
     """Writes shards, layout.json and the table index (slot, used, spans) under path; returns the index."""
     spark = docs.sparkSession
     cut = sequences(docs, tokenizer, length, ident, text, end)
@@ -120,6 +121,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, length: int = LENGTH, per_
     for part in sorted(sizes):
         bases[part], n = n, n + sizes[part]
     stride = 4 + 2 * length
+    per_shard = per_shard or max(LEAST_SHARD, min(MOST_SHARD, n // int(spark.conf.get("spark.sql.shuffle.partitions"))))
     store, root = place(path)
     store.create_dir(root, recursive=True)
     with store.open_output_stream(f"{root}/layout.json", compression=None) as f:

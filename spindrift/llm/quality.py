@@ -27,7 +27,6 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
@@ -35,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spindrift.llm import texthash
-from spindrift.llm.common import materialise
+from spindrift.llm.common import frugal, materialise
 
 SAMPLE = 200_000
 BUCKETS = 1 << 18
@@ -105,7 +104,7 @@ def counted(rows: DataFrame) -> tuple[np.ndarray, int, int]:
         return pa.table({"chunk": table["chunk"][:1], "lane": table["lane"][:1], "data": pa.array([zstandard.ZstdCompressor().compress(total.tobytes())], pa.binary())})
 
     schema = "chunk int, lane int, data binary"
-    parts = rows.select("text", "kind", "fold").mapInArrow(count, schema)
+    parts = rows.select("text", "kind", "fold").mapInArrow(frugal(count), schema)
     # two levels, so no task adds the vectors of more than a 64th of all tasks
     sums = parts.groupBy("chunk", "lane").applyInArrow(add, schema).groupBy("chunk").applyInArrow(add, schema)
     held = {r["chunk"]: np.frombuffer(zstandard.ZstdDecompressor().decompress(bytes(r["data"])), np.int64) for r in sums.collect()}
@@ -182,7 +181,7 @@ def scored(rows: DataFrame, model: Model) -> DataFrame:
             yield pa.RecordBatch.from_arrays(arrays, names=names)
 
     given = rows.select(F.col("doc_id").cast("long"), "text", gumbel("doc_id", "text").alias("noise"), "kind", F.col("quality").cast("int"), F.col("toxic").cast("int"), "fold")
-    return given.mapInArrow(run, SCORES)
+    return given.mapInArrow(frugal(run), SCORES)
 
 
 def kth_largest(df: DataFrame, column: str, k: int, bins: int = 4096, few: int = 10_000) -> float:
@@ -247,13 +246,16 @@ def decide(docs: DataFrame, labels: DataFrame, ident: str = "doc_id", text: str
 def keep(docs: DataFrame, labels: DataFrame, ident: str = "doc_id", text: str = "text", sample: int = SAMPLE) -> DataFrame:
     """The documents that are drawn, all their columns kept; the texts are scored again rather than joined."""
     decision = decide(docs, labels, ident, text, sample)
-    model = decision.model
+    m, cutoff = decision.model, decision.cutoff
+    names = [f"c{i}" for i in range(len(docs.columns))]  # clashing names travel as numbers
 
-    @F.pandas_udf("rate double, signs double")
-    def score(texts: pd.Series) -> pd.DataFrame:
-        rate, signs = model.score(pa.array(texts, pa.string()))
-        return pd.DataFrame({"rate": rate, "signs": signs})
-
-    marked = docs.withColumns({"__score": score(F.col(text)), "__noise": gumbel(ident, text)})
-    key = margin(F.col("__score.rate"), F.col("__score.signs"), model) * SHARP + F.col("__noise")
-    return marked.where(key >= decision.cutoff).select(*[F.col(f"`{c}`") for c in docs.columns])
+    def run(batches):
+        for batch in batches:
+            rate, signs = m.score(batch.column(len(names)))
+            weight = np.minimum((rate - m.rate_at) / m.rate_scale, (signs - m.signs_at) / m.signs_scale)
+            kept = weight * SHARP + batch.column(len(names) + 1).to_numpy() >= cutoff
+            yield batch.select(names).filter(pa.array(kept))
+
+    given = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, names)], F.col(text).alias("__text"), gumbel(ident, text).alias("__noise"))
+    schema = ", ".join(f"{n} {given.schema[n].dataType.simpleString()}" for n in names)
+    return given.mapInArrow(frugal(run), schema).select(*[F.col(n).alias(c) for c, n in zip(docs.columns, names)])

@@ -34,26 +34,24 @@ TABLE = byte_table()
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 BASE = 0xD1342543DE82EF95
-POWERS = [np.ones(1, U), np.ones(1, U)]
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The powers of BASE and of its inverse modulo 2**64, n of each at least."""
-    if len(POWERS[0]) < n:
-        for i, b in enumerate((BASE, pow(BASE, -1, 1 << 64))):
-            step = np.full(max(n, BLOCK + 1), U(b))
-            step[0] = 1
-            POWERS[i] = np.multiply.accumulate(step)
-    return POWERS[0], POWERS[1]
+    """The first n powers of BASE and of its inverse modulo 2**64."""
+    out = []
+    for b in (BASE, pow(BASE, -1, 1 << 64)):
+        step = np.full(n, U(b))
+        step[0] = 1
+        out.append(np.multiply.accumulate(step))
+    return out[0], out[1]
 
 
-def words(data: np.ndarray, bounds: np.ndarray, head: int = 0, tail: int = 0):
+def words(data: np.ndarray, bounds: np.ndarray, up: np.ndarray, down: np.ndarray, head: int = 0, tail: int = 0):
     """(hashes, words a text, head hashes, tail hashes, lengths) of the texts data[bounds[i]:bounds[i + 1]].
 
-    head and tail: also hash each word's first and last so many bytes (whole words if shorter).
+    up and down: as many powers as there are bytes and one more.  head and tail: also hash each word's first and last so many bytes (whole words if shorter).
     """
     n = len(data)
-    up, down = powers(n + 1)
     space = SPACE[data]
     first = np.ones(n + 1, bool)
     first[1:] = space[:]
@@ -98,11 +96,12 @@ def blocks(texts: pa.Array, head: int = 0, tail: int = 0):
     """
     data, bounds = buffers(texts)
     n, i = len(bounds) - 1, 0
+    up, down = powers(min(len(data), 2 * BLOCK) + 1)
     while i < n:
         j = max(i + 1, int(np.searchsorted(bounds, bounds[i] + BLOCK, side="right")) - 1)
         own = data[bounds[i] : bounds[j]]
         if len(own) <= 2 * BLOCK:
-            yield i, words(own, bounds[i : j + 1] - bounds[i], head, tail)
+            yield i, words(own, bounds[i : j + 1] - bounds[i], up, down, head, tail)
         else:
             parts, at = [], 0
             while at < len(own):
@@ -110,7 +109,9 @@ def blocks(texts: pa.Array, head: int = 0, tail: int = 0):
                 while stop < len(own) and not SPACE[own[stop]]:
                     gap = np.flatnonzero(SPACE[own[stop : stop + BLOCK]])
                     stop = stop + int(gap[0]) if len(gap) else min(stop + BLOCK, len(own))
-                parts.append(words(own[at:stop], np.array([0, stop - at]), head, tail))
+                if stop - at >= len(up):
+                    up, down = powers(stop - at + 1)
+                parts.append(words(own[at:stop], np.array([0, stop - at]), up, down, head, tail))
                 at = stop
             joined = [np.concatenate(p) if p[0] is not None else None for p in zip(*parts)]
             joined[1] = np.array([joined[1].sum()])

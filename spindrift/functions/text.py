@@ -171,7 +171,7 @@ def stems_meet(a: Column, b: Column) -> Column:
 
 
 def pipe_list(c: Column) -> Column:
-    return F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), r"\|"), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), r"\|"), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def humanize_number(c: Column) -> Column:

@@ -48,7 +48,9 @@ def read_positional(spark: SparkSession, path: str, fields: tuple[str, ...], sep
     """(rows of the right arity, the others as text)."""
     rows = spark.read.csv(path, schema=strings(fields), sep=sep, quote='"', escape='"', header=header, multiLine=True, mode="PERMISSIVE", columnNameOfCorruptRecord=CORRUPT, enforceSchema=True)
     clean = [F.translate(F.col(f), "\0", "").alias(f) for f in fields]
-    return rows.where(F.col(CORRUPT).isNull()).select(*clean), rows.where(F.col(CORRUPT).isNotNull()).select(F.col(CORRUPT).alias("line"))
+    # Spark wants a query to use another column beside the one for odd rows
+    odd = F.length(F.concat(F.coalesce(F.col(fields[0]), F.lit("")), F.col(CORRUPT))) >= 0
+    return rows.where(F.col(CORRUPT).isNull()).select(*clean), rows.where(odd).select(F.col(CORRUPT).alias("line"))
 
 
 def read_catalog(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:

@@ -80,8 +80,3 @@ def ascii_lower(text: Column) -> Column:
     other = r"[[\p{Lu}\p{Lt}Ⅰ-ⅯⒶ-Ⓩ]&&[^A-Z]]"
     return F.when(text.rlike(other), F.translate(text, UPPER, LOWER)).otherwise(F.lower(text))
 
-
-def slices(df: DataFrame, bytes_each: int, least: int = 8, most: int = 1 << 20) -> int:
-    """How many parts of about bytes_each the planner's size estimate of df makes."""
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return max(least, min(most, size // bytes_each))

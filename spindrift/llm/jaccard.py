@@ -36,20 +36,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spindrift.llm import texthash
-from spindrift.llm.common import frugal, materialise, slices, small_side, trim
+from spindrift.llm.common import frugal, materialise, small_side, trim
 from spindrift.llm.components import components
 
 U = np.uint64
 FACTORS = [U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F), U(0x165667B19E3779F9), U(0x27D4EB2F165667C5), U(0x85EBCA77C2B2AE63)]
 BITS = 56
-FLUSH = 4_000_000
+FLUSH = 2_000_000
 LOCAL = 64
 FREQUENT = 7  # classes from this on are frequent: more than 64 documents
 HOT = 30
-PAIRED = 200
+PAIRED = 60
 COLD = 20
 BLOCK = 1500
-SLICE_BYTES = 8 << 20
+SLICE = 1_500_000  # tokens a bucket
 
 
 def shingles(texts: pa.Array, n: int):
@@ -354,9 +354,10 @@ def links(sets: DataFrame, percent: int) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, n: int = 4, percent: int = 85, ident: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, class_id (least id with the same set), component_id of every row."""
-    bits = (slices(docs, SLICE_BYTES, 16) - 1).bit_length()
     given = docs.select(F.col(ident).cast("long").alias("doc"), F.col(text).alias("text"))
     rows = signed(given, n)
+    total = rows.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    bits = min(20, max(4, (total // SLICE).bit_length()))
     classes = rows.where("sig IS NOT NULL AND doc IS NOT NULL").groupBy("sig").agg(F.min("doc").alias("class_id"))
     classes = materialise(classes, "classes")
     sets = candidates(frequency_classes(tell(given, n, bits), bits), percent)

@@ -119,25 +119,24 @@ def archetype_inference(spark, sf_dir):
     return Z.archetypes(P.category_weights(stats, ["customer_id"]), KINDS).withColumn("score", F.round("score", 4))
 
 
-@query(f"""WITH {CONTRACTS}, {CUSTOMER_REGIONS}, s AS (SELECT customer_id, item_id, count(*) AS purchase_count, sum(amount) AS total_amount FROM contracts WHERE customer_id % 10 = 0 GROUP BY ALL),
+@query(f"""WITH {CONTRACTS}, {CUSTOMER_REGIONS}, s AS (SELECT customer_id, item_id, count(*) AS purchase_count, sum(amount) AS total_amount FROM contracts GROUP BY ALL),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY customer_id ORDER BY purchase_count DESC, total_amount DESC, item_id) AS rk FROM s),
 own AS (SELECT customer_id, item_id, purchase_count, round(0.60e0 * purchase_count / max(purchase_count) OVER (PARTITION BY customer_id) + 0.25e0 * ln(1 + total_amount) / max(ln(1 + total_amount)) OVER (PARTITION BY customer_id) + 0.15e0 / rk, 4) AS weight FROM ranked),
 rg AS (SELECT region, item_id, count(*) AS purchase_count FROM contracts JOIN customer_regions USING (customer_id) GROUP BY ALL),
 rt AS (SELECT * FROM rg QUALIFY row_number() OVER (PARTITION BY region ORDER BY purchase_count DESC, item_id) <= 20),
-peer AS (SELECT c.customer_id, item_id, purchase_count, round(purchase_count * 1e0 / max(purchase_count) OVER (PARTITION BY c.customer_id), 4) AS weight FROM customer_regions c JOIN rt USING (region) WHERE c.customer_id % 10 = 0),
+peer AS (SELECT c.customer_id, item_id, purchase_count, round(purchase_count * 1e0 / max(purchase_count) OVER (PARTITION BY c.customer_id), 4) AS weight FROM customer_regions c JOIN rt USING (region)),
 u AS (SELECT *, 'own' AS src FROM own UNION ALL SELECT *, 'peer' FROM peer),
 m AS (SELECT customer_id, item_id, coalesce(max(weight) FILTER (src = 'own'), 0e0) AS institution, coalesce(max(weight) FILTER (src = 'peer'), 0e0) AS peer, max(purchase_count) AS pc FROM u GROUP BY ALL),
 z AS (SELECT *, round(4.6e0 * institution + 2.0e0 * peer + 0.09e0 * ((institution > 0)::INT + (peer > 0)::INT), 4) AS score FROM m)
 SELECT customer_id, item_id, institution, peer, score, CAST(row_number() OVER (PARTITION BY customer_id ORDER BY score DESC, institution DESC, peer DESC, pc DESC, item_id) AS INTEGER) AS rank FROM z
 QUALIFY row_number() OVER (PARTITION BY customer_id ORDER BY score DESC, institution DESC, peer DESC, pc DESC, item_id) <= 20""")
 def blended_recommendations(spark, sf_dir):
-    """Twenty items for every tenth customer, from their own history and their region's: the limit is the feature."""
+    """Twenty items a customer, from their own history and their region's: the limit is the feature."""
     lines, places = contracts(spark, sf_dir), regions(spark, sf_dir, "customer")
-    asked = F.col("customer_id") % 10 == 0
-    own = P.item_weights(P.purchase_stats(lines.where(asked), "customer_id", "item_id"), ["customer_id"]).withColumn("weight", F.round("weight", 4))
+    own = P.item_weights(P.purchase_stats(lines, "customer_id", "item_id"), ["customer_id"]).withColumn("weight", F.round("weight", 4))
     counts = lines.join(places, "customer_id").groupBy("region", "item_id").agg(F.count("*").alias("purchase_count"))
     top = counts.withColumn("p", F.row_number().over(W.partitionBy("region").orderBy(F.desc("purchase_count"), "item_id"))).where("p <= 20").drop("p")
-    peer = places.where(asked).join(F.broadcast(top), "region")  # 20 items of each of the 5 regions
+    peer = places.join(F.broadcast(top), "region")  # 20 items of each of the 5 regions
     peer = peer.withColumn("weight", F.round(F.col("purchase_count") / F.max("purchase_count").over(W.partitionBy("customer_id")), 4))
     return Z.blended({"institution": own, "peer": peer}, F.lit("general"), "item_id").select("customer_id", "item_id", "institution", "peer", "score", "rank")
 
@@ -171,11 +170,11 @@ def query_specificity(spark, sf_dir):
     return names.select("item_id", F.round(N.query_specificity(F.array_join("w", " "), F.col("w")), 6).alias("specificity"))
 
 
-@query("""WITH c AS (SELECT o_custkey % 50 AS query_id, o_orderkey AS item_id, (o_orderkey % 97) / 97e0 AS quality, (o_orderkey % 89) / 8.9e0 AS search_score, (o_custkey % 10) / 10e0 AS spec FROM orders WHERE o_custkey % 3 = 0),
+@query("""WITH c AS (SELECT o_custkey % 50 AS query_id, o_orderkey AS item_id, (o_orderkey % 97) / 97e0 AS quality, (o_orderkey % 89) / 8.9e0 AS search_score, (o_custkey % 10) / 10e0 AS spec FROM orders),
 b AS (SELECT *, max(quality) OVER (PARTITION BY query_id) AS best FROM c), x AS (SELECT *, 0.22e0 + 0.30e0 * spec AS lo, 0.50e0 + 0.22e0 * spec AS rt, quality / greatest(best, 1e-6) AS rel FROM b)
 SELECT query_id, item_id, round(CASE WHEN quality <= 0 OR best <= 0 OR quality < lo OR rel < rt THEN 0e0 ELSE least(1e0, 0.45e0 * least(1e0, greatest(0e0, (quality - lo) / greatest(1e-6, 1 - lo))) + 0.55e0 * least(1e0, greatest(0e0, (rel - rt) / greatest(1e-6, 1 - rt)))) END, 6) AS gate FROM x""")
 def personalization_gate(spark, sf_dir):
-    c = table(spark, sf_dir, "orders").where("o_custkey % 3 = 0").select((F.col("o_custkey") % 50).alias("query_id"), F.col("o_orderkey").alias("item_id"), ((F.col("o_orderkey") % 97) / F.lit(97.0)).alias("quality"), ((F.col("o_custkey") % 10) / F.lit(10.0)).alias("spec"))
+    c = table(spark, sf_dir, "orders").select((F.col("o_custkey") % 50).alias("query_id"), F.col("o_orderkey").alias("item_id"), ((F.col("o_orderkey") % 97) / F.lit(97.0)).alias("quality"), ((F.col("o_custkey") % 10) / F.lit(10.0)).alias("spec"))
     gate = N.match_gate(F.col("quality"), F.max("quality").over(W.partitionBy("query_id")), F.col("spec"))
     return c.select("query_id", "item_id", F.round(gate, 6).alias("gate"))
 

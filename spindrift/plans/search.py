@@ -154,12 +154,12 @@ def attribute_score(spark, sf_dir):
 
 
 @query("""WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
-p AS (SELECT q.vec_id AS query_id, c.vec_id, list_cosine_similarity(q.v, c.v) AS score FROM e q JOIN e c ON q.vec_id <> c.vec_id WHERE q.vec_id IN (3, 77, 141))
+p AS (SELECT q.vec_id AS query_id, c.vec_id, list_cosine_similarity(q.v, c.v) AS score FROM e q JOIN e c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0)
 SELECT query_id, vec_id, round(score, 6) AS score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM p WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 10""")
 def vector_topk(spark, sf_dir):
-    """Exact nearest vectors of three queries: ten a query, the limit is the feature."""
+    """Exact nearest vectors of every twentieth vector among all: ten a query, the limit is the feature."""
     rows = table(spark, sf_dir, "embeddings")
-    asked = rows.where(F.col("vec_id").isin(3, 77, 141)).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("asked"))
+    asked = rows.where(F.col("vec_id") % 20 == 0).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("asked"))
     return V.exact_topk(rows, asked, 10).withColumn("score", F.round("score", 6))
 
 

@@ -57,15 +57,14 @@ def cut(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, ident: str =
 
         for batch in batches:
             rows, size = [], 0
-            idents = batch.column(0).to_pylist()
-            for doc, ids in zip(idents, words.encode(batch.column(1).to_pylist())):
+            for doc, ids in words.encode_rows(batch):
                 for piece, start in enumerate(range(0, len(ids), capacity)):
                     held = ids[start : start + capacity]
                     n = len(held)
                     rows.append((doc, piece, start, n, held.astype("<u4").tobytes(), part, seen[n]))
                     seen[n] += 1
                     size += n
-                if size > 1 << 21:
+                if size > 1 << 19:
                     yield table(rows)
                     rows, size = [], 0
             if rows:

@@ -19,8 +19,8 @@ import pandas as pd
 from spindrift.llm.texthash import byte_table, mix, powers
 
 #: Characters a block, pieces that the table keeps between blocks, pieces encoded in one string.
-BLOCK_CHARS = 2_000_000
-KEPT_PIECES = 500_000
+BLOCK_CHARS = 1_000_000
+KEPT_PIECES = 200_000
 JOINED = 20_000
 
 PLAIN = re.compile(r"[\t\n\r\x20-\x7e¡-¬®-ÿ]*")
@@ -151,3 +151,9 @@ class WordTokenizer:
                 yield from self.block(block)
                 block, size = [], 0
         yield from self.block(block)
+
+    def encode_rows(self, batch, rows: int = 500):
+        """(id, ids) of each row of an Arrow batch of ids and texts, with few texts unpacked at a time."""
+        for start in range(0, batch.num_rows, rows):
+            part = batch.slice(start, rows)
+            yield from zip(part.column(0).to_pylist(), self.encode(part.column(1).to_pylist()))

@@ -84,7 +84,7 @@ def sequences(docs: DataFrame, tokenizer: str, length: int = LENGTH, ident: str
             return out
 
         for batch in batches:
-            for doc, held in zip(batch.column(0).to_pylist(), words.encode(batch.column(1).to_pylist())):
+            for doc, held in words.encode_rows(batch):
                 at = 0
                 while at < len(held):
                     n = min(length - used, len(held) - at)
@@ -93,7 +93,7 @@ def sequences(docs: DataFrame, tokenizer: str, length: int = LENGTH, ident: str
                     at, used = at + n, used + n
                     if used == length:
                         close()
-                if len(rows) >= 1000:
+                if len(rows) >= 250:
                     yield table()
         if used:
             close()

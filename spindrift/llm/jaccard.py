@@ -49,7 +49,7 @@ HOT = 30
 PAIRED = 60
 COLD = 20
 BLOCK = 1500
-SLICE = 1_500_000  # tokens a bucket
+SLICE = 4_000_000  # tokens a bucket
 
 
 def shingles(texts: pa.Array, n: int):

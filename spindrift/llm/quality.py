@@ -6,9 +6,11 @@ bytes, whether it repeats the word before):
 
 * ``rate``: the mean log ratio a word of multinomial models; raw is every document.
   It tells junk, whose features differ all along.
-* ``signs``: the sum of the log ratios of those features whose document frequency in
-  target text lies significantly under that in raw labelled text, over the root of
-  the length.  It tells toxic texts, which differ in a few words.
+* ``signs``: the sum over a document's features of the log ratio of their share of
+  toxic labelled documents to that of all, where it is larger, over the root of the
+  length.  It tells toxic texts, which differ in a few words.  Shares are smoothed
+  towards that of all, and each ratio is weighted by its evidence, so a word of few
+  documents counts at every size and chance differences hardly do.
 
 Both are set against thresholds calibrated on a held-out fifth of the labelled
 rows, and the smaller margin is a document's log importance weight.  Resampling
@@ -40,10 +42,11 @@ SAMPLE = 200_000
 BUCKETS = 1 << 18
 FOLDS = 5
 SHARP = 50.0
-LEAST_Z, LEAST_LOG = 4.5, 1.0
+#: Documents of the usual share that each share is smoothed by; the log likelihood ratio at which a feature counts half, and how steeply.
+SMOOTH, HALF, STEEP = 2.0, 8.0, 4
 CHUNKS = 16
 U = np.uint64
-RAW, GOOD, GOOD_DOCS, LABELLED_DOCS = range(4)
+RAW, GOOD, TOXIC_DOCS, LABELLED_DOCS = range(4)
 
 
 def features(texts: pa.Array):
@@ -74,24 +77,25 @@ def labelled(docs: DataFrame, labels: DataFrame, ident: str, text: str, sample:
     return out.select("doc_id", "text", label_column().alias("kind"), "quality", "toxic", F.pmod(F.xxhash64("doc_id"), F.lit(FOLDS)).cast("int").alias("fold"))
 
 
-def counted(rows: DataFrame) -> tuple[np.ndarray, int, int]:
-    """The four count vectors, and how many training rows are good and labelled."""
+def counted(rows: DataFrame) -> tuple[np.ndarray, int, int, int]:
+    """The four count vectors, and how many training rows are good, labelled and toxic."""
 
     def count(batches):
-        vectors, n = np.zeros((4, BUCKETS), np.int64), np.zeros(2, np.int64)
+        vectors, n = np.zeros((4, BUCKETS), np.int64), np.zeros(3, np.int64)
         for batch in batches:
             kind = batch.column(1).to_numpy(zero_copy_only=False)
             fold = batch.column(2).to_numpy(zero_copy_only=False)
             train = fold != 0
             good, known = train & (kind == 1), train & (kind > 0)
-            n += good.sum(), known.sum()
+            toxic = known & batch.column(3).to_numpy(zero_copy_only=False)
+            n += good.sum(), known.sum(), toxic.sum()
             for i, counts, buckets, doc in features(batch.column(0)):
                 vectors[RAW] += np.bincount(buckets, minlength=BUCKETS)
                 g, k = good[i : i + len(counts)][doc], known[i : i + len(counts)][doc]
                 vectors[GOOD] += np.bincount(buckets[g], minlength=BUCKETS)
                 pairs = np.unique(doc[k] * BUCKETS + buckets[k])
                 vectors[LABELLED_DOCS] += np.bincount(pairs % BUCKETS, minlength=BUCKETS)
-                vectors[GOOD_DOCS] += np.bincount((pairs % BUCKETS)[good[i : i + len(counts)][pairs // BUCKETS]], minlength=BUCKETS)
+                vectors[TOXIC_DOCS] += np.bincount((pairs % BUCKETS)[toxic[i : i + len(counts)][pairs // BUCKETS]], minlength=BUCKETS)
         packer, task = zstandard.ZstdCompressor(), TaskContext.get().partitionId()
         parts = [packer.compress(p.tobytes()) for p in np.split(vectors.reshape(-1), 4 * CHUNKS)] + [packer.compress(n.tobytes())]
         yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array([task % 64] * len(parts), pa.int32()), pa.array(parts, pa.binary())], names=["chunk", "lane", "data"])
@@ -104,14 +108,14 @@ def counted(rows: DataFrame) -> tuple[np.ndarray, int, int]:
         return pa.table({"chunk": table["chunk"][:1], "lane": table["lane"][:1], "data": pa.array([zstandard.ZstdCompressor().compress(total.tobytes())], pa.binary())})
 
     schema = "chunk int, lane int, data binary"
-    parts = rows.select("text", "kind", "fold").mapInArrow(frugal(count), schema)
+    parts = rows.select("text", "kind", "fold", F.coalesce(F.col("toxic") == 1, F.lit(False)).alias("toxic")).mapInArrow(frugal(count), schema)
     # two levels, so no task adds the vectors of more than a 64th of all tasks
     sums = parts.groupBy("chunk", "lane").applyInArrow(add, schema).groupBy("chunk").applyInArrow(add, schema)
     held = {r["chunk"]: np.frombuffer(zstandard.ZstdDecompressor().decompress(bytes(r["data"])), np.int64) for r in sums.collect()}
     if not held:
-        return np.zeros((4, BUCKETS), np.int64), 0, 0
+        return np.zeros((4, BUCKETS), np.int64), 0, 0, 0
     vectors = np.concatenate([held[i] for i in range(4 * CHUNKS)]).reshape(4, BUCKETS)
-    return vectors, int(held[4 * CHUNKS][0]), int(held[4 * CHUNKS][1])
+    return vectors, *(int(x) for x in held[4 * CHUNKS])
 
 
 @dataclass
@@ -136,16 +140,23 @@ class Model:
         return rate, signs
 
 
-def trained(vectors: np.ndarray, good_rows: int, known_rows: int) -> Model:
+def evidence(held: np.ndarray, expected: np.ndarray) -> np.ndarray:
+    """One term of a log likelihood ratio: counts held where so many were expected."""
+    return held * np.log(np.maximum(held, 1) / np.maximum(expected, 1e-12))
+
+
+def trained(vectors: np.ndarray, good_rows: int, known_rows: int, toxic_rows: int) -> Model:
     v = vectors.astype(float)
     if not good_rows or not v[RAW].sum():
         return Model(np.zeros(BUCKETS), np.zeros(BUCKETS))
     prior = (v[RAW] + 1e-3) / (v[RAW] + 1e-3).sum()
     rate = np.log((v[GOOD] + BUCKETS * prior) / (v[GOOD].sum() + BUCKETS)) - np.log(prior)
-    expected = v[LABELLED_DOCS] * good_rows / max(known_rows, 1)
-    z = (v[GOOD_DOCS] - expected) / np.sqrt(np.maximum(expected, 1))
-    signs = np.log((v[GOOD_DOCS] + 0.5) / (expected + 0.5))
-    return Model(rate, np.where((z < -LEAST_Z) & (signs < -LEAST_LOG), signs, 0.0))
+    if not toxic_rows:
+        return Model(rate, np.zeros(BUCKETS))
+    toxic, docs, usual = v[TOXIC_DOCS], v[LABELLED_DOCS], toxic_rows / known_rows
+    more = np.log((toxic + SMOOTH * usual) / (docs + SMOOTH) / usual)
+    sure = np.maximum(evidence(toxic, docs * usual) + evidence(docs - toxic, docs * (1 - usual)), 0) ** STEEP
+    return Model(rate, np.minimum(-more * sure / (sure + HALF**STEEP), 0.0))
 
 
 def threshold(good: np.ndarray, bad: np.ndarray) -> tuple[float, float]:

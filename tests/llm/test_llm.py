@@ -393,6 +393,30 @@ def test_quality_on_held_out_documents(spark):
     assert quality.keep(df.limit(0), labels).count() == 0
 
 
+def test_quality_finds_toxic_documents_at_every_size(spark, small):
+    # a lexicon so large that each word stands in about four labelled documents, all toxic
+    lexicon = [f"slur{i}{c}" for i in range(20) for c in "xy"]
+    kinds = ["t" if i % 8 == 0 else "g" for i in range(1000)]
+
+    def text(kind):
+        w = prose(80).split()
+        return " ".join(w + rng.sample(lexicon, 4) * (kind == "t"))
+
+    df = spark.createDataFrame([(i, text(k)) for i, k in enumerate(kinds)], "doc_id long, text string").repartition(4)
+    labels = spark.createDataFrame([(i, 1, int(k == "t")) for i, k in enumerate(kinds) if i < 400], "doc_id long, quality int, toxic int")
+    got = {r["doc_id"]: r["keep"] for r in quality.decide(df, labels).scores.collect()}
+    assert sum(not got[i] for i in range(400, 1000) if kinds[i] == "t") >= 0.8 * sum(k == "t" for k in kinds[400:])
+    assert sum(not got[i] for i in range(400, 1000) if kinds[i] == "g") <= 0.05 * sum(k == "g" for k in kinds[400:])
+    # the supplied tables, judged on the fold that took no part in training
+    path = small.replace("sf0.001", "sf0.01")
+    docs, labels = (spark.read.parquet(f"{path}/{t}.parquet") for t in ("documents", "labels"))
+    held = labels.where(F.pmod(F.xxhash64("doc_id"), F.lit(quality.FOLDS)) == 0)
+    scores = quality.decide(docs, labels).scores.join(held, "doc_id").select("keep", "quality", "toxic").collect()
+    toxic = [r["keep"] for r in scores if r["toxic"] == 1 and r["quality"] == 1]
+    good = [r["keep"] for r in scores if r["toxic"] == 0 and r["quality"] == 1]
+    assert toxic and sum(toxic) <= 0.6 * len(toxic) and sum(good) >= 0.9 * len(good)
+
+
 def test_kth_largest(spark):
     values = [rng.choice([rng.random(), 0.5]) for _ in range(3000)]
     df = spark.createDataFrame([(v,) for v in values], "x double")

@@ -159,9 +159,9 @@ def nearest(table: DataFrame, queries: Column, k: int = 5, ident: str = "vec_id"
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(leaf, pa.int32())], names=["vec_id", "v", "asks", "leaf"])
 
     held = materialise(rows.where(F.size("v") == size).mapInArrow(assign, "vec_id bigint, v array<double>, asks boolean, leaf int"), "leaves")
-    counts = np.zeros(tree.leaves, np.int64)
-    for r in held.groupBy("leaf").agg(F.count("*").alias("n")).collect():  # as many rows as the tree has leaves
-        counts[r["leaf"]] = r["n"]
+    counts, distinct = np.zeros(tree.leaves, np.int64), np.zeros(tree.leaves, np.int64)
+    for r in held.groupBy("leaf").agg(F.count("*").alias("n"), F.count_distinct("vec_id").alias("ids")).collect():  # as many rows as the tree has leaves
+        counts[r["leaf"]], distinct[r["leaf"]] = r["n"], r["ids"]
 
     def probe(batches):
         for batch in batches:
@@ -172,7 +172,7 @@ def nearest(table: DataFrame, queries: Column, k: int = 5, ident: str = "vec_id"
                     if counts[leaf]:
                         ids.append(i)
                         leaves.append(leaf)
-                        found += counts[leaf]
+                        found += distinct[leaf]
                     seen += 1
                     if seen >= visits and found > k:
                         break
@@ -199,13 +199,16 @@ def nearest(table: DataFrame, queries: Column, k: int = 5, ident: str = "vec_id"
         out_q, out_c, out_s = [], [], []
         if len(q) and len(c):
             # equal vectors are compared once; of each, the k + 1 smallest ids can matter
-            c = c[np.argsort(ids[c], kind="stable")]
             _, first, same = np.unique(v[c], axis=0, return_index=True, return_inverse=True)
             same = same.reshape(-1)
+            # a repeated row is one candidate, so it takes one of those places
+            order = np.lexsort((ids[c], same))
+            alone = np.ones(len(c), bool)
+            alone[1:] = (ids[c][order][1:] != ids[c][order][:-1]) | (same[order][1:] != same[order][:-1])
+            apart, c, same = c[first], c[order[alone]], same[order[alone]]
             by = np.argsort(same, kind="stable")
             members = [by[a : a + k + 1] for a in np.searchsorted(same[by], np.arange(len(first)))]
             members = [m[same[m] == u] for u, m in enumerate(members)]
-            apart = c[first]
             near = (v[q] / size[q, None]) @ (v[apart] / size[apart, None]).T
             most = min(k + 1, len(apart))
             edge = np.partition(near, len(apart) - most, axis=1)[:, len(apart) - most]

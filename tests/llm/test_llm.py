@@ -78,6 +78,16 @@ def test_nearest_against_brute_force(spark):
     assert [i for _, i, _ in sorted(got[1000])] == [50, 1001, 1002, 1003, 1004]
 
 
+def test_nearest_among_repeated_rows(spark):
+    rows = [(i, [1.0, 0.0]) for i in range(10)] * 4 + [(100 + i, [1.0, 0.1 + i / 100]) for i in range(10)]
+    got = ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), F.col("vec_id") == 0)
+    assert [r["vec_id"] for r in got.orderBy("rank").collect()] == [1, 2, 3, 4, 5]
+    # the leaf of the hot vector holds one id, so the search has to go on
+    g = np.random.default_rng(3)
+    rows = [(0, [9.0] * 8)] * 40 + [(1 + i, g.normal(size=8).tolist()) for i in range(600)]
+    assert ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), F.col("vec_id") == 0).count() == 5
+
+
 def test_nearest_of_little(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 1.0])], "vec_id long, embedding array<float>")
     got = ann.nearest(df, F.col("vec_id") == 0).orderBy("rank").collect()

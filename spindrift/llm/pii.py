@@ -33,7 +33,19 @@ LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz012
 IP = re.compile(r"(?<![0-9])[0-9]++(\.[0-9]++)(\.[0-9]++)(\.[0-9]++)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
+#: The head of a bank account number; ``ibans`` finds its end.
+IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?=\x20?[A-Z0-9])")
+IBAN_BODY = re.compile(r"(?:\x20?[A-Z0-9]){11,30}")
+#: Characters of a number by country, in groups of one length.
+IBAN_LENGTH = {
+    country: n
+    for n, countries in {
+        15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+        23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV",
+        29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+    }.items()
+    for country in countries.split()
+}
 SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 LOCAL_PHONE = re.compile(r"(?<![0-9+])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[.-][0-9]{4}(?![0-9])")
 DIGIT = re.compile(r"[0-9]")
@@ -106,6 +118,25 @@ def phones(text: str):
             yield m.span()
 
 
+def ibans(text: str):
+    """Numbers of their country's length; of other countries the longest that ends with a group."""
+    end = 0
+    for m in IBAN.finditer(text):
+        body = IBAN_BODY.match(text, m.end()) if m.start() >= end else None
+        if not body:
+            continue
+        whole = text[m.start() : body.end()]
+        places = [i + 1 for i, c in enumerate(whole) if c != " "]
+        n = IBAN_LENGTH.get(m.group()[:2])
+        ends = ([places[n - 1]] if n <= len(places) else []) if n else reversed(places[14:])
+        for size in ends:
+            after = text[m.start() + size : m.start() + size + 1]
+            if not (after.isascii() and after.isalnum()) and mod97(whole[:size]):
+                end = m.start() + size
+                yield m.start(), end
+                break
+
+
 def score(text: str, kind: str, start: int, end: int, prior: float) -> float:
     """The prior, raised by words of the kind nearby and lowered by words that speak against it."""
     near = set(WORD.findall(text[max(0, start - NEAR) : start].lower())) | set(WORD.findall(text[end : end + NEAR // 2].lower()))
@@ -138,7 +169,7 @@ def spans(text: str | None) -> list[tuple[str, int, int, float]]:
             found += [("phone", a, b) for a, b in phones(text)]
         taken = merged((a, b) for _, a, b in found)
         starts = [a for a, _ in taken]
-        more = [("iban", *m.span()) for m in IBAN.finditer(text) if mod97(m.group())]
+        more = [("iban", a, b) for a, b in ibans(text)]
         more += [("ssn", *m.span()) for m in SSN.finditer(text)]
         more += [("local_phone", *m.span()) for m in LOCAL_PHONE.finditer(text)]
         for kind, a, b in more:

@@ -493,6 +493,18 @@ def test_pii_against_plain_patterns():
     assert {k for k, *_ in found} >= {"iban", "ssn", "local_phone"}
 
 
+def test_iban_ends_where_its_country_says():
+    for iban in ("DE89 3704 0044 0532 0130 00", "DE89370400440532013000", "GB82 WEST 1234 5698 7654 32", "NO93 8601 1117 947"):
+        for after in ("", " BIC COBADEFF", " 2024", " A payment", " AND 12 MORE", ", then", " GB82 WEST 1234 5698 7654 32"):
+            found = [s for s in pii.spans(f"pay to {iban}{after}") if s[0] == "iban"]
+            assert found and found[0][1:3] == (7, 7 + len(iban)), (iban, after)
+            assert len(found) == 1 + after.startswith(" GB82")
+    assert not [s for s in pii.spans("pay to DE89 3704 0044 0532 0130 01 and DE89 3704 0044 0532 0130 00X") if s[0] == "iban"]
+    # a country without a fixed length: shorter ends until the checksum holds
+    other = next(f"ZZ{n:02} 1234 5678 9012 34" for n in range(2, 99) if pii.mod97(f"ZZ{n:02}12345678901234"))
+    assert [s[1:3] for s in pii.spans(f"{other} ABC DEF") if s[0] == "iban"] == [(0, len(other))]
+
+
 def test_pii_on_rows(spark):
     rows = [(1, "mail a@b.co now", 7), (2, None, 8), (3, "", 9), (1, "mail a@b.co now", 7)]
     df = spark.createDataFrame(rows, "doc_id long, text string, spans int").select("doc_id", "text", F.col("spans").alias("n_chars"))

@@ -38,6 +38,13 @@ def test_completion_and_correction(spark):
     assert [r["token"] for r in rewrite.completions(asked.withColumnRenamed("token", "prefix"), words).collect()] == ["многофункциональное"]
 
 
+def test_correction_of_a_wrong_first_letter(spark):
+    words = spark.createDataFrame([("труба", "т", 5, 3), ("лампа", "л", 5, 9), ("трубаа", "т", 6, 1)], "token string, first_char string, token_length long, frequency long")
+    asked = spark.createDataFrame([("яруба",), ("лруба",)], "token string")
+    got = {(r["token"], r["candidate"]) for r in rewrite.correction_candidates(asked, words).collect()}
+    assert got == {("яруба", "труба"), ("яруба", "трубаа")}  # a word that met a candidate gets no others
+
+
 def test_archetype(spark):
     rows = spark.createDataFrame([(1, "Иммунодепрессанты", 0.9, 20, 1), (1, "Бумага", 0.3, 1, 2), (2, "Столы", 0.9, 9, 1)], "customer_id long, category string, weight double, purchase_count long, rank int")
     got = {r["customer_id"]: r["archetype"] for r in personal.archetypes(rows).collect()}

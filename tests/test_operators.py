@@ -122,6 +122,22 @@ def test_suggestions_merge(spark):
     assert got == ["анализаторы мочи", "тест"]
 
 
+def test_graph_vectors_follow_the_graph(spark):
+    tokens = spark.createDataFrame([(t,) for t in ("cable", "cables", "drug", "pill", "stone")], "token string")
+    edges = spark.createDataFrame([("drug", "pill", 0.5, 9), ("stone", "cable", 0.07, 9)], "token string, neighbor string, score double, cooccurrence long")
+    plain = {r["token"]: r["v"] for r in vectors.surfaces(tokens, 48).collect()}
+    got = {r["token"]: r["v"] for r in vectors.token_vectors(tokens, edges, 48).collect()}
+    dot = lambda a, b: sum(x * y for x, y in zip(a, b))
+    assert dot(plain["cable"], plain["cables"]) > 0.4  # shared n-grams
+    mixed = [x + 0.35 * y for x, y in zip(plain["drug"], plain["pill"])]
+    assert abs(dot(got["drug"], mixed) / dot(mixed, mixed) ** 0.5 - 1) < 1e-9
+    assert all(abs(dot(got[t], plain[t]) - 1) < 1e-9 for t in ("cable", "cables", "pill", "stone"))  # no edge, or a weak one
+    # the documents' own graph reaches their vectors: the two words always stand together
+    rows = spark.createDataFrame([(i, "drug pill") for i in range(20)] + [(100, "drug"), (101, "pill")], "id long, text string")
+    held = {r["id"]: r["vector"] for r in vectors.graph_vectors(rows, "id", "text").where("id >= 100").collect()}
+    assert dot(held[100], held[101]) > dot(plain["drug"], plain["pill"]) + 0.2
+
+
 def test_learned_vectors(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet").limit(60)
     _, out = vectors.learned_vectors(docs, "doc_id", "text", dimensions=4, features=64)

@@ -322,8 +322,8 @@ def brute_groups(rows, n, percent):
 
 @pytest.mark.parametrize("tight", [False, True])
 def test_jaccard_against_brute_force(spark, docs, monkeypatch, tight):
-    if tight:  # every path: local counts, frequent classes, pairs, hot buckets in small blocks, stars
-        for name, value in (("COLD", 1), ("BLOCK", 3), ("FREQUENT", 2), ("LOCAL", 1), ("FLUSH", 500)):
+    if tight:  # every path: local counts, frequent classes, pairs, hot keys in small blocks of bands, long keys that are shuffled, stars
+        for name, value in (("COLD", 1), ("BLOCK", 3), ("FREQUENT", 2), ("LOCAL", 1), ("FLUSH", 500), ("MANY", 20), ("BROADCAST_ROWS", 2)):
             monkeypatch.setattr(jaccard, name, value)
         monkeypatch.setattr(components, "FEW", 0)
     rows = documents()
@@ -334,6 +334,33 @@ def test_jaccard_against_brute_force(spark, docs, monkeypatch, tight):
     assert jaccard.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_jaccard_keeps_texts_that_share_an_id_apart(spark):
+    w = [f"u{i}" for i in range(400)]
+    text = lambda a, b: " ".join(w[a:b])
+    rows = [(30, text(0, 100)), (30, text(150, 250)), (31, text(50, 100) + " " + text(150, 200))]  # half of 31 stands in either text of 30
+    rows += [(21, text(250, 400)), (21, text(300, 340)), (23, text(300, 340) + " more"), (23, text(300, 340) + " more")]
+    rows += [(40, text(0, 60)), (10, text(0, 60)), (40, text(100, 140)), (41, text(100, 140) + " more"), (None, text(100, 140)), (50, None), (50, "a b c d e f")]
+    df = spark.createDataFrame([(d, t, 1, 2, 3) for d, t in rows], "doc_id long, text string, doc int, node int, n int")
+    for parts in (1, 5):
+        got = {(r["doc_id"], r["n_shingles"]): r["component_id"] for r in jaccard.near_duplicates(df.repartition(parts)).collect()}
+        assert got == brute_groups(rows, 4, 85)
+    assert {c for (d, _), c in got.items() if d == 31} == {31} and {c for (d, _), c in got.items() if d == 23} == {21} and {c for (d, _), c in got.items() if d == 41} == {10}
+
+
+def test_jaccard_across_bands_and_blocks(spark, monkeypatch):
+    # one common line in all, groups of near copies of sizes on both sides of a band's edge
+    monkeypatch.setattr(jaccard, "BLOCK", 4)
+    monkeypatch.setattr(jaccard, "COLD", 2)
+    rows = []
+    for g in range(12):
+        base = [f"g{g % 6}x{i}" for i in range(8 + 3 * g)]
+        rows += [(100 * g + k, " ".join(["the", "common", "line", "of", "all"] * 2 + base + [f"t{k}"] * (k % 3))) for k in range(9)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for percent in (40, 70, 85, 100):
+        got = {(r["doc_id"], r["n_shingles"]): r["component_id"] for r in jaccard.near_duplicates(df, 2, percent).collect()}
+        assert got == brute_groups(rows, 2, percent)
+
+
 def test_one_of_each(spark, docs):
     groups = brute_groups(documents(), 5, 80)
     kept = jaccard.one_of_each(docs)

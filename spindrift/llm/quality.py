@@ -1,27 +1,33 @@
 """Quality classification by importance resampling over hashed n-gram models.
 
-Two ratios of generative models of target text (labelled good and not toxic) to raw
-text, both over hashed features (a word, its first four and five bytes, its last two
-bytes, whether it repeats the word before):
-
-* ``rate``: the mean log ratio a word of multinomial models; raw is every document.
-  It tells junk, whose features differ all along.
-* ``signs``: the sum over a document's features of the log ratio of their share of
-  toxic labelled documents to that of all, where it is larger, over the root of the
-  length.  It tells toxic texts, which differ in a few words.  Shares are smoothed
-  towards that of all, and each ratio is weighted by its evidence, so a word of few
-  documents counts at every size and chance differences hardly do.
-
-Both are set against thresholds calibrated on a held-out fifth of the labelled
-rows, and the smaller margin is a document's log importance weight.  Resampling
-without replacement is Gumbel top-k: keep the k largest of weight times ``SHARP``
-plus Gumbel noise, k being the number of documents with a weight of at least 0.  The
-noise comes from a hash of id and text, so a run can be repeated.
+Features are hashed n-grams: words, pairs of consecutive words, whether a pair repeats
+its word, and the character n-grams at words' edges (the first four and five bytes, the
+last two).  Two generative models of them are set against each other twice:
+
+* ``rate``: the mean log ratio a word of multinomial models of target text (labelled
+  good and not toxic) and raw text (every document).  It tells junk, whose n-grams
+  differ all along.
+* ``signs``: the sum over the n-grams that a document holds of the log ratio of their
+  share in labelled documents that are not toxic to that in all labelled ones, where it
+  is below 1, over the root of the length.  It tells toxic texts, which differ in a few
+  n-grams.  Shares are smoothed towards the usual one and each ratio is weighted by its
+  evidence, so n-grams of few documents count at every size and chance hardly does.
+
+A document's log importance weight is what of these log ratios, in nats, lies below
+the threshold that labelled rows of a held-out fifth set (there a clean document lost
+weighs as much as ``COST`` bad ones caught): the words times the rate's lack, plus the
+root of the length times the signs' lack; 0 where neither falls short.  Resampling
+without replacement is Gumbel top-k: keep the k largest of log weight plus standard
+Gumbel noise.  k is ``share`` of the rows if that is given, else the sum of all
+weights, the number that rejection sampling would keep.  The noise comes from a hash of
+id and text, so a run can be repeated.  So documents a few nats below the thresholds
+are drawn now and then, and push out as many others; those far below are not.
 
 At most ``SAMPLE`` labelled rows (those of smallest id hash) are used; everything
-else is counted over all documents.  Null text is empty and scores 0 in both; rows
-that repeat get the same decision, and all rows at the last key are kept.  Without
-labelled good rows every weight is 0 and everything is kept.
+else is counted over all documents.  Null text is empty and has weight 1; rows
+that repeat get the same decision, and all rows at the last key are kept.  Null ids are
+judged like others.  Without labelled good rows every weight is 1.  Extra columns are
+kept by ``keep`` and ignored otherwise; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -41,9 +47,12 @@ from spindrift.llm.common import frugal, materialise
 SAMPLE = 200_000
 BUCKETS = 1 << 18
 FOLDS = 5
-SHARP = 50.0
+#: How many bad documents caught weigh as much as a clean one lost, when thresholds are set.
+COST = 10
 #: Documents of the usual share that each share is smoothed by; the log likelihood ratio at which a feature counts half, and how steeply.
 SMOOTH, HALF, STEEP = 2.0, 8.0, 4
+#: Words that lengths are smoothed by.
+FEW_WORDS = 20
 CHUNKS = 16
 U = np.uint64
 RAW, GOOD, TOXIC_DOCS, LABELLED_DOCS = range(4)
@@ -55,11 +64,13 @@ def features(texts: pa.Array):
     five = texthash.blocks(texts, 5)
     for (i, (whole, counts, head, tail, _)), (_, (_, _, longer, _, _)) in zip(four, five):
         doc = np.repeat(np.arange(len(counts)), counts)
+        second = doc[1:] == doc[:-1]
         again = np.zeros(len(whole), bool)
-        again[1:] = (whole[1:] == whole[:-1]) & (doc[1:] == doc[:-1])
-        kinds = [whole ^ U(11), head ^ U(22), longer ^ U(33), tail ^ U(44), again.astype(U) + U(55)]
+        again[1:] = (whole[1:] == whole[:-1]) & second
+        pair = (whole[:-1] * U(3) + whole[1:])[second]
+        kinds = [whole ^ U(11), head ^ U(22), longer ^ U(33), tail ^ U(44), again.astype(U) + U(55), pair ^ U(66)]
         buckets = np.concatenate([texthash.mix(k) % U(BUCKETS) for k in kinds]).astype(np.int64)
-        yield i, counts, buckets, np.tile(doc, len(kinds))
+        yield i, counts, buckets, np.concatenate([np.tile(doc, 5), doc[1:][second]])
 
 
 def label_column() -> Column:
@@ -122,22 +133,25 @@ def counted(rows: DataFrame) -> tuple[np.ndarray, int, int, int]:
 class Model:
     rate: np.ndarray
     signs: np.ndarray
-    rate_at: float = 0.0
-    rate_scale: float = 1.0
-    signs_at: float = 0.0
-    signs_scale: float = 1.0
+    rate_at: float = -np.inf
+    signs_at: float = -np.inf
 
-    def score(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """rate and signs of each text."""
+    def score(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """rate, signs and words of each text."""
         n = len(texts)
-        rate, signs = np.zeros(n), np.zeros(n)
+        rate, signs, words = np.zeros(n), np.zeros(n), np.zeros(n)
         for i, counts, buckets, doc in features(texts):
             m = len(counts)
+            words[i : i + m] = counts
             rate[i : i + m] = np.bincount(doc, self.rate[buckets], m) / np.maximum(counts, 1)
             some = self.signs[buckets] != 0
             pairs = np.unique(doc[some] * BUCKETS + buckets[some])
-            signs[i : i + m] = np.bincount(pairs // BUCKETS, self.signs[pairs % BUCKETS], m) / np.sqrt(counts + 20)
-        return rate, signs
+            signs[i : i + m] = np.bincount(pairs // BUCKETS, self.signs[pairs % BUCKETS], m) / np.sqrt(counts + FEW_WORDS)
+        return rate, signs, words
+
+    def weight(self, rate: np.ndarray, signs: np.ndarray, words: np.ndarray) -> np.ndarray:
+        """The log importance weights."""
+        return words * np.minimum(rate - self.rate_at, 0.0) + np.sqrt(words + FEW_WORDS) * np.minimum(signs - self.signs_at, 0.0)
 
 
 def evidence(held: np.ndarray, expected: np.ndarray) -> np.ndarray:
@@ -153,27 +167,26 @@ def trained(vectors: np.ndarray, good_rows: int, known_rows: int, toxic_rows: in
     rate = np.log((v[GOOD] + BUCKETS * prior) / (v[GOOD].sum() + BUCKETS)) - np.log(prior)
     if not toxic_rows:
         return Model(rate, np.zeros(BUCKETS))
-    toxic, docs, usual = v[TOXIC_DOCS], v[LABELLED_DOCS], toxic_rows / known_rows
-    more = np.log((toxic + SMOOTH * usual) / (docs + SMOOTH) / usual)
-    sure = np.maximum(evidence(toxic, docs * usual) + evidence(docs - toxic, docs * (1 - usual)), 0) ** STEEP
-    return Model(rate, np.minimum(-more * sure / (sure + HALF**STEEP), 0.0))
+    docs, clean, usual = v[LABELLED_DOCS], v[LABELLED_DOCS] - v[TOXIC_DOCS], 1 - toxic_rows / known_rows
+    ratio = np.log((clean + SMOOTH * usual) / (docs + SMOOTH) / usual) if usual else np.zeros(BUCKETS)
+    sure = np.maximum(evidence(clean, docs * usual) + evidence(docs - clean, docs * (1 - usual)), 0) ** STEEP
+    return Model(rate, np.minimum(ratio * sure / (sure + HALF**STEEP), 0.0))
 
 
-def threshold(good: np.ndarray, bad: np.ndarray) -> tuple[float, float]:
-    """Where balanced accuracy is best (the middle of the best stretch), and the spread of the good."""
+def threshold(good: np.ndarray, bad: np.ndarray) -> float:
+    """Below which to reject: the share of bad less ``COST`` times that of good there is greatest (the middle of the best stretch)."""
     if not len(good):
-        return -1.0, 1.0
-    scale = float(np.std(good)) or 1.0
-    if not len(bad):
-        return float(good.min()) - scale, scale
+        return -np.inf
     at = np.unique(np.concatenate([good, bad]))
-    mid = np.concatenate([at[:1] - scale, (at[1:] + at[:-1]) / 2])
-    value = np.searchsorted(np.sort(bad), mid) / len(bad) - np.searchsorted(np.sort(good), mid) / len(good)
+    mid = np.concatenate([at[:1] - (float(np.std(good)) or 1.0), (at[1:] + at[:-1]) / 2])
+    if not len(bad):
+        return float(mid[0])
+    value = np.searchsorted(np.sort(bad), mid) / len(bad) - COST * np.searchsorted(np.sort(good), mid) / len(good)
     best = np.flatnonzero(value >= value.max() - 1e-12)
-    return float(mid[best[len(best) // 2]]), scale
+    return float(mid[best[len(best) // 2]])
 
 
-SCORES = "doc_id bigint, rate double, signs double, noise double, kind int, quality int, toxic int, fold int"
+SCORES = "doc_id bigint, rate double, signs double, words double, noise double, kind int, quality int, toxic int, fold int"
 
 
 def gumbel(ident: str, text: str, seed: int = 0) -> Column:
@@ -187,8 +200,7 @@ def scored(rows: DataFrame, model: Model) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            rate, signs = model.score(batch.column(1))
-            arrays = [batch.column(0), pa.array(rate), pa.array(signs), *(batch.column(i) for i in range(2, 7))]
+            arrays = [batch.column(0), *map(pa.array, model.score(batch.column(1))), *(batch.column(i) for i in range(2, 7))]
             yield pa.RecordBatch.from_arrays(arrays, names=names)
 
     given = rows.select(F.col("doc_id").cast("long"), "text", gumbel("doc_id", "text").alias("noise"), "kind", F.col("quality").cast("int"), F.col("toxic").cast("int"), "fold")
@@ -230,41 +242,34 @@ class Decision:
     scores: DataFrame
 
 
-def margin(rate: Column, signs: Column, m: Model) -> Column:
-    return F.least((rate - F.lit(m.rate_at)) / F.lit(m.rate_scale), (signs - F.lit(m.signs_at)) / F.lit(m.signs_scale))
-
-
-def decide(docs: DataFrame, labels: DataFrame, ident: str = "doc_id", text: str = "text", sample: int = SAMPLE) -> Decision:
-    """Fits, calibrates and draws: scores has doc_id, rate, signs, weight, key and keep of every row."""
+def decide(docs: DataFrame, labels: DataFrame, ident: str = "doc_id", text: str = "text", sample: int = SAMPLE, share: float | None = None) -> Decision:
+    """Fits, calibrates and draws: scores has doc_id, rate, signs, words, weight (its log), noise, key and keep of every row."""
     rows = labelled(docs, labels, ident, text, sample)
     model = trained(*counted(rows))
     table = materialise(scored(rows, model), "scores")
     held = table.where("fold = 0 AND kind > 0").select("rate", "signs", "kind", "quality", "toxic").toPandas()  # at most SAMPLE rows
     good = held[held.kind == 1]
-    if len(good):
-        model.rate_at, model.rate_scale = threshold(good.rate.to_numpy(), held[held.quality == 0].rate.to_numpy())
-        model.signs_at, model.signs_scale = threshold(good.signs.to_numpy(), held[held.toxic == 1].signs.to_numpy())
-    else:
-        model.rate_at = model.signs_at = 0.0
-    table = table.withColumn("weight", margin(F.col("rate"), F.col("signs"), model))
-    table = table.withColumn("key", F.col("weight") * SHARP + F.col("noise"))
-    k = table.where("weight >= 0").count()
-    cutoff = kth_largest(table, "key", k)
-    out = table.select("doc_id", "rate", "signs", "weight", "key", (F.col("key") >= cutoff).alias("keep"))
+    model.rate_at = threshold(good.rate.to_numpy(), held[held.quality == 0].rate.to_numpy())
+    model.signs_at = threshold(good.signs.to_numpy(), held[held.toxic == 1].signs.to_numpy())
+    lack = lambda c, at: F.least(F.col(c) - F.lit(at), F.lit(0.0))
+    table = table.withColumn("weight", F.col("words") * lack("rate", model.rate_at) + F.sqrt(F.col("words") + FEW_WORDS) * lack("signs", model.signs_at))
+    table = table.withColumn("key", F.col("weight") + F.col("noise"))
+    size = table.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.exp("weight")), F.lit(0.0)).alias("weights")).first()
+    cutoff = kth_largest(table, "key", round(size["weights"] if share is None else share * size["n"]))
+    out = table.select("doc_id", "rate", "signs", "words", "weight", "noise", "key", (F.col("key") >= cutoff).alias("keep"))
     return Decision(model, cutoff, out)
 
 
-def keep(docs: DataFrame, labels: DataFrame, ident: str = "doc_id", text: str = "text", sample: int = SAMPLE) -> DataFrame:
+def keep(docs: DataFrame, labels: DataFrame, ident: str = "doc_id", text: str = "text", sample: int = SAMPLE, share: float | None = None) -> DataFrame:
     """The documents that are drawn, all their columns kept; the texts are scored again rather than joined."""
-    decision = decide(docs, labels, ident, text, sample)
+    decision = decide(docs, labels, ident, text, sample, share)
     m, cutoff = decision.model, decision.cutoff
     names = [f"c{i}" for i in range(len(docs.columns))]  # clashing names travel as numbers
 
     def run(batches):
         for batch in batches:
-            rate, signs = m.score(batch.column(len(names)))
-            weight = np.minimum((rate - m.rate_at) / m.rate_scale, (signs - m.signs_at) / m.signs_scale)
-            kept = weight * SHARP + batch.column(len(names) + 1).to_numpy() >= cutoff
+            key = m.weight(*m.score(batch.column(len(names)))) + batch.column(len(names) + 1).to_numpy()
+            kept = key >= cutoff - 1e-9  # sums may differ in the last place
             yield batch.select(names).filter(pa.array(kept))
 
     given = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, names)], F.col(text).alias("__text"), gumbel(ident, text).alias("__noise"))

@@ -454,6 +454,86 @@ def test_quality_finds_toxic_documents_at_every_size(spark, small):
     assert toxic and sum(toxic) <= 0.6 * len(toxic) and sum(good) >= 0.9 * len(good)
 
 
+def test_quality_weights_and_draw_against_brute_force(spark):
+    letters = "bcdfg"
+    vocabulary = [a + "aei"[i % 3] + b * (1 + i % 4) for i, (a, b) in enumerate((a, b) for a in letters for b in letters if a < b)]
+    pick = random.Random(9)
+
+    def text(kind):
+        w = [pick.choice(vocabulary) for _ in range(pick.randrange(1, 60))]
+        if kind == "t":
+            w += ["vile"] * pick.randrange(1, 3)
+        return " ".join(x.upper() + "!" if kind == "j" and pick.random() < 0.7 else x for x in w)
+
+    kinds = [pick.choice("ggggggjt") for _ in range(1200)]
+    rows = [(i, text(k)) for i, k in enumerate(kinds)] + [(5000, None), (5001, ""), (3, text("g")), (3, text("g")), (None, text("g")), (None, None)]
+    known = {i: (int(k != "j"), int(k == "t")) for i, k in enumerate(kinds) if i % 2}
+    df = spark.createDataFrame([(*r, 1, 2, 3) for r in rows], "doc_id long, text string, kind int, noise int, fold int").repartition(3)
+    labels = spark.createDataFrame([(i, q, t, "x") for i, (q, t) in known.items()] + [(None, 1, 0, "x")], "doc_id long, quality int, toxic int, text string")
+    folds = {r["i"]: r["f"] for r in df.select(F.col("doc_id").alias("i"), F.pmod(F.xxhash64("doc_id"), F.lit(quality.FOLDS)).alias("f")).collect()}
+
+    def grams(t):
+        w = (t or "").translate(LOWER).split()
+        again = [("again", i > 0 and w[i] == w[i - 1]) for i in range(len(w))]
+        return len(w), [("word", x) for x in w] + [("four", x[:4]) for x in w] + [("five", x[:5]) for x in w] + [("tail", x[-2:]) for x in w] + again + [("pair", *p) for p in zip(w, w[1:])]
+
+    raw, good, docs_with, toxic_with, n_known, n_toxic, n_good = {}, {}, {}, {}, 0, 0, 0
+    add = lambda d, gs: [d.__setitem__(g, d.get(g, 0) + 1) for g in gs]
+    for i, t in rows:
+        _, gs = grams(t)
+        add(raw, gs)
+        if i in known and folds[i]:
+            n_known, n_toxic = n_known + 1, n_toxic + known[i][1]
+            add(docs_with, set(gs))
+            if known[i][1]:
+                add(toxic_with, set(gs))
+            if known[i] == (1, 0):
+                n_good += 1
+                add(good, gs)
+    size = quality.BUCKETS
+    empty = 1e-3 * size  # every bucket has a little; buckets of seen n-grams are assumed apart, see below
+    total, all_good = sum(raw.values()) + empty, sum(good.values())
+
+    def rate(g):
+        p = (raw[g] + 1e-3) / total
+        return math.log((good.get(g, 0) + size * p) / (all_good + size)) - math.log(p)
+
+    usual = 1 - n_toxic / n_known
+
+    def sign(g):
+        n = docs_with.get(g, 0)
+        c = n - toxic_with.get(g, 0)
+        if not n:
+            return 0.0
+        e = lambda h, x: h * math.log(max(h, 1) / x)
+        sure = max(e(c, n * usual) + e(n - c, n * (1 - usual)), 0) ** quality.STEEP
+        return min(math.log((c + quality.SMOOTH * usual) / (n + quality.SMOOTH) / usual) * sure / (sure + quality.HALF**quality.STEEP), 0.0)
+
+    decision = quality.decide(df, labels)
+    m, got = decision.model, decision.scores.collect()
+    # each n-gram alone in its bucket, or the sums would differ by what shares it
+    import pyarrow as pa
+
+    used = {int(b) for _, _, buckets, _ in quality.features(pa.array([t for _, t in rows])) for b in buckets}
+    assert len(used) == len(raw)
+    want = sorted((repr(i), round(sum(map(rate, gs)) / max(n, 1), 8), round(sum(map(sign, set(gs))) / math.sqrt(n + 20), 8), n) for i, t in rows for n, gs in [grams(t)])
+    assert want == sorted((repr(r["doc_id"]), round(r["rate"], 8) + 0.0, round(r["signs"], 8) + 0.0, int(r["words"])) for r in got)
+    for r in got:
+        lacks = r["words"] * min(r["rate"] - m.rate_at, 0) + math.sqrt(r["words"] + 20) * min(r["signs"] - m.signs_at, 0)
+        assert math.isclose(r["weight"], lacks, abs_tol=1e-9) and math.isclose(r["key"], r["weight"] + r["noise"], abs_tol=1e-12)
+    noise = sorted(r["noise"] for r in got)
+    assert abs(sum(noise) / len(noise) - 0.5772) < 0.15 and abs(noise[len(noise) // 2] - 0.3665) < 0.15
+    k = round(sum(math.exp(r["weight"]) for r in got))
+    cut = sorted((r["key"] for r in got), reverse=True)[k - 1]
+    assert [r["keep"] for r in got] == [r["key"] >= cut for r in got] and k <= sum(r["keep"] for r in got) < k + 10
+    # the draw is no threshold: some of lower weight are in while some of higher weight are out
+    assert min(r["weight"] for r in got if r["keep"]) < min(0.0, max(r["weight"] for r in got if not r["keep"]))
+    half = quality.decide(df, labels, share=0.5).scores.collect()
+    assert len(rows) // 2 <= sum(r["keep"] for r in half) < len(rows) // 2 + 10
+    kept = quality.keep(df, labels)
+    assert kept.columns == df.columns and sorted(repr(r["doc_id"]) for r in kept.collect()) == sorted(repr(r["doc_id"]) for r in got if r["keep"])
+
+
 def test_kth_largest(spark):
     values = [rng.choice([rng.random(), 0.5]) for _ in range(3000)]
     df = spark.createDataFrame([(v,) for v in values], "x double")

@@ -5,9 +5,11 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
+import os
 import tempfile
 import uuid
 
+from pyarrow import fs
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,6 +23,8 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 #: A side of a join is broadcast only if its counted rows are at most this many.
 BROADCAST_ROWS = 1_000_000
+#: Keys that hold more than this part of all rows, of which there can't be more than this many, are told to all tasks.
+MANY = 500_000
 
 
 def trim() -> None:
@@ -43,16 +47,30 @@ def frugal(run):
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder that ``spark.checkpoint.dir`` names; a temporary one where it is unset (tests)."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    """The shared folder that ``spark.checkpoint.dir`` names.  Where it is unset, a temporary one if the driver is all there is (tests), else an error."""
+    context = spark.sparkContext
+    root = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not root:
-        context = spark.sparkContext
-        if not context.getCheckpointDir():
-            context.setCheckpointDir(tempfile.mkdtemp(prefix="spindrift-"))
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="spindrift-"))
         root = context.getCheckpointDir()
     return root.rstrip("/")
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path as a URI, resolved as Spark resolves it, so that tasks that open files find what Spark wrote."""
+    if "://" in path or path.startswith("file:"):
+        return path
+    store = spark.sparkContext._jsc.hadoopConfiguration().get("fs.defaultFS") or "file:///"
+    return f"{store.rstrip('/')}{os.path.abspath(path)}" if not store.startswith("file:") else f"file://{os.path.abspath(path)}"
+
+
+def place(uri: str):
+    """The file system and path of a URI; a bare path is local."""
+    return fs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (fs.LocalFileSystem(), uri)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder."""
     return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
@@ -72,6 +90,23 @@ def small_side(df: DataFrame, rows: int, most: int = BROADCAST_ROWS) -> DataFram
     return F.broadcast(df) if rows <= most else df
 
 
+def left_join(left: DataFrame, right: DataFrame, key: str, bound: int | None = None) -> DataFrame:
+    """left with the columns of right (one row a key) where the key has any.
+
+    Few rows of right (counted) are broadcast.  Beyond that the keys that hold more than the ``MANY``-th part of
+    left's rows are, and the others are shuffled; rows with a null key never are.
+    """
+    bound = BROADCAST_ROWS if bound is None else bound
+    if right.count() <= bound:
+        return left.join(F.broadcast(right), key, "left")
+    counts = left.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("__m"))
+    hot = counts.where(F.col("__m") > left.count() // MANY).select(key)
+    hot = F.broadcast(materialise(right.join(F.broadcast(hot), key, "left_semi"), "hot"))
+    some = left.where(F.col(key).isNotNull())
+    shuffled = some.join(hot, key, "left_anti").join(right, key, "left")
+    return some.join(hot, key).unionByName(shuffled).unionByName(left.where(F.col(key).isNull()), allowMissingColumns=True)
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-cases A-Z alone.
 

@@ -59,7 +59,7 @@ def row_key(docs: DataFrame, ident: str, text: str) -> list[Column]:
 
 def scan(docs: DataFrame, items: DataFrame, n: int, ident: str, text: str, item: str) -> tuple[DataFrame, DataFrame]:
     """What one pass over the texts gives, as tables: (doc_id, text_key, n_words) of every row, and the places of ``find``."""
-    wins = windows(items, n, item, text).cache()
+    wins = materialise(windows(items, n, item, text), "windows")
     sizes: dict[int, list[int]] = {}
     counted = {r["m"]: r["c"] for r in wins.groupBy("m").agg(F.count("*").alias("c")).collect()}  # at most n rows
     for m in sorted(counted):

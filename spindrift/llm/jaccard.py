@@ -44,7 +44,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spindrift.llm import texthash
-from spindrift.llm.common import BROADCAST_ROWS, frugal, materialise, small_side, trim
+from spindrift.llm.common import MANY, frugal, left_join, materialise, small_side, trim
 from spindrift.llm.components import components
 
 U = np.uint64
@@ -60,7 +60,6 @@ COLD = 20
 BLOCK, BLOCK_TOKENS = 1500, 3_000_000
 SLICE = 24_000_000  # bytes of text a bucket of tokens
 CUTS = 8  # parts in which a bucket is counted
-MANY = 500_000  # so many keys at most are told to all tasks
 
 
 def shingles(texts: pa.Array, n: int):
@@ -423,20 +422,6 @@ def links(sets: DataFrame, percent: int) -> DataFrame:
     return cold.unionByName(warm)
 
 
-def with_class(rows: DataFrame, told: DataFrame) -> DataFrame:
-    """rows with class_id and component of their signature where told (sig, m, class_id, component) has it.
-
-    Signatures of more than the ``MANY``-th part of all rows, at most ``MANY``, are told to all tasks, and rows without one are not shuffled.
-    """
-    known = told.count()
-    if known <= BROADCAST_ROWS:
-        return rows.join(F.broadcast(told.drop("m")), "sig", "left")
-    hot = F.broadcast(told.where(F.col("m") > rows.count() // MANY).drop("m"))
-    some = rows.where("sig IS NOT NULL")
-    none = rows.where("sig IS NULL").withColumns({"class_id": F.lit(None).cast("long"), "component": F.lit(None).cast("long")})
-    return some.join(hot, "sig").unionByName(some.join(hot, "sig", "left_anti").join(told.drop("m"), "sig", "left")).unionByName(none)
-
-
 def near_duplicates(docs: DataFrame, n: int = 4, percent: int = 85, ident: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, class_id (least id with the same set), component_id of every row."""
     given = docs.select(F.col(f"`{ident}`").cast("long").alias("doc"), F.col(f"`{text}`").alias("text"))
@@ -453,8 +438,8 @@ def near_duplicates(docs: DataFrame, n: int = 4, percent: int = 85, ident: str =
     ids = named.groupBy("doc").agg(F.min("sig").alias("x"), F.max("sig").alias("y")).where("x <> y").select("doc")
     same = named.join(ids, "doc", "left_semi").join(classes, "sig").select(F.col("doc").alias("a"), F.col("class_id").alias("b"))
     found = components(links(sets, percent).unionByName(same))
-    told = classes.join(found, F.col("class_id") == F.col("node"), "left").where("m > 1 OR component IS NOT NULL").select("sig", "m", "class_id", "component")
-    out = with_class(rows.select("doc", "n", "sig"), materialise(told, "told"))
+    told = classes.join(found, F.col("class_id") == F.col("node"), "left").where("m > 1 OR component IS NOT NULL").select("sig", "class_id", "component")
+    out = left_join(rows.select("doc", "n", "sig"), materialise(told, "told"), "sig")
     label = F.coalesce("component", "class_id", "doc")
     return out.select(F.col("doc").alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), F.coalesce("class_id", "doc").alias("class_id"), F.when(F.col("doc").isNotNull(), label).alias("component_id"))
 

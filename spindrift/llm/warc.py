@@ -24,12 +24,11 @@ from urllib.parse import quote
 
 import pyarrow as pa
 import zstandard
-from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spindrift.llm.common import small_side
+from spindrift.llm.common import materialise, place, qualified, small_side
 
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1  # fixed values of the seekable format
 FRAME_BYTES = 1 << 18
@@ -100,17 +99,13 @@ class Bundle:
         return zstandard.ZstdDecompressor().decompress(self.file.read(compressed), max_output_size=whole)
 
 
-def place(uri: str):
-    """The file system and path of a URI; a bare path is local."""
-    return fs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (fs.LocalFileSystem(), uri)
-
-
 def decided(pages: DataFrame, ident: str = "page_id", url: str = "url", payload: str = "html", least: int = LEAST) -> DataFrame:
     """page_id, url, payload, digest, refers_to of every row."""
     rows = pages.select(F.col(ident).cast("long").alias("page_id"), F.col(url).alias("url"), F.coalesce(F.col(payload), F.lit("")).alias("payload"))
     rows = rows.withColumn("digest", F.sha2("payload", 256))
     long_ones = rows.where(F.octet_length("payload") >= least)
-    firsts = long_ones.groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n")).where("n > 1").select("digest", "first_id").cache()
+    firsts = long_ones.groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n")).where("n > 1").select("digest", "first_id")
+    firsts = materialise(firsts, "firsts")
     out = rows.join(small_side(firsts, firsts.count()), "digest", "left")
     return out.select("page_id", "url", "payload", "digest", F.when(F.col("page_id") != F.col("first_id"), F.col("first_id")).alias("refers_to"))
 
@@ -118,6 +113,7 @@ def decided(pages: DataFrame, ident: str = "page_id", url: str = "url", payload:
 def write(pages: DataFrame, path: str, ident: str = "page_id", url: str = "url", payload: str = "html", least: int = LEAST, frame_bytes: int = FRAME_BYTES, level: int = 3) -> DataFrame:
     """Writes the bundles and the table index under path; returns the index."""
     spark = pages.sparkSession
+    path = qualified(spark, path)
 
     def run(batches):
         store, root = place(path)
@@ -181,6 +177,7 @@ def fetch(index: DataFrame, path: str, payloads: bool = False) -> DataFrame:
     header is an error) and the header's for a revisit.
     """
     spark = index.sparkSession
+    path = qualified(spark, path)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches):
@@ -215,6 +212,7 @@ def fetch(index: DataFrame, path: str, payloads: bool = False) -> DataFrame:
 
 def verify_index(spark: SparkSession, path: str) -> int:
     """Counts the records by reading every bundle front to back; the index must hold as many."""
+    path = qualified(spark, path)
     names = spark.read.parquet(f"{path}/index").select("bundle").distinct()
 
     def run(batches):

@@ -7,11 +7,12 @@ along its cycles until it falls below n, gives each number its slot: a bijection
 that any reader can compute.  Shards hold ``per_shard`` slots each in order, every
 slot taking the same number of bytes (a count, then the ids, padded with zeros), so
 slot s stands at byte (s % per_shard) * stride of shard s // per_shard and a reader
-can resume anywhere.  Unless given, per_shard makes as many shards as shuffle
-partitions, within ``LEAST_SHARD`` and ``MOST_SHARD`` slots each.
+can resume anywhere.  A shard is a range of slots and the only one of its task.  Unless
+given, per_shard makes as many shards as shuffle partitions, within ``LEAST_SHARD`` and ``MOST_SHARD`` slots each.
 
 Null text is empty and has the end token alone.  Rows that repeat are written each;
-extra columns are ignored; an empty table writes an empty index.  Shards are written
+extra columns are ignored; an empty table writes an empty index.  Ids are written as 16
+bits, and a tokenizer that has larger ones is refused.  Shards are written
 under a name of the attempt and then renamed, so an attempt that is lost or run
 twice leaves the same whole shards.
 """
@@ -24,12 +25,11 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spindrift.llm.common import frugal, materialise
+from spindrift.llm.common import frugal, materialise, place, qualified
 from spindrift.llm.texthash import mix
 from spindrift.llm.tokens import WordTokenizer
 
@@ -68,6 +68,8 @@ def sequences(docs: DataFrame, tokenizer: str, length: int = LENGTH, ident: str
 
     def run(batches):
         words, part = WordTokenizer(tokenizer, end), TaskContext.get().partitionId()
+        if max(len(words.last) - 1, end) > 0xFFFF:
+            raise ValueError("ids beyond 16 bits don't fit the shards")
         rows, local = [], 0
         ids, spans, used = [], [], 0
         names = [f.split()[0] for f in "part int,local bigint,used int,ids binary,spans x".split(",")]
@@ -104,17 +106,13 @@ def sequences(docs: DataFrame, tokenizer: str, length: int = LENGTH, ident: str
     return materialise(given.mapInArrow(frugal(run), CUT), "sequences")
 
 
-def place(uri: str):
-    return fs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (fs.LocalFileSystem(), uri)
-
-
 def shard_name(shard: int) -> str:
     return f"shard-{shard:08d}.bin"
 
 
 def write(docs: DataFrame, path: str, tokenizer: str, length: int = LENGTH, per_shard: int | None = None, key: int = KEY, ident: str = "doc_id", text: str = "text", end: int = 0) -> DataFrame:
     """Writes shards, layout.json and the table index (slot, used, spans) under path; returns the index."""
-    spark = docs.sparkSession
+    spark, path = docs.sparkSession, qualified(docs.sparkSession, path)
     cut = sequences(docs, tokenizer, length, ident, text, end)
     sizes = {r["part"]: r["n"] for r in cut.groupBy("part").agg(F.count("*").alias("n")).collect()}  # a row a task
     bases, n = {}, 0
@@ -158,7 +156,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, length: int = LENGTH, per_
         close()
 
     slots = cut.mapInArrow(give, f"shard int, slot bigint, used int, ids binary, spans {SPANS}")
-    slots = slots.repartition(max(1, -(-n // per_shard)), "shard").sortWithinPartitions("slot")
+    slots = slots.repartitionById(max(1, -(-n // per_shard)), "shard").sortWithinPartitions("slot")
     slots.mapInArrow(save, f"slot bigint, used int, spans {SPANS}").write.parquet(f"{path}/index")
     return spark.read.parquet(f"{path}/index")
 
@@ -191,11 +189,12 @@ READ = "doc_id bigint, start bigint, length bigint, slot bigint, offset bigint,
 
 def read_spans(spark: SparkSession, path: str) -> DataFrame:
     """Each document's spans with the checksum (of little-endian 32-bit ids) of what stands in the shards."""
+    path = qualified(spark, path)
     shape = layout(path)
     stride, per_shard = shape["stride"], shape["per_shard"]
     index = spark.read.parquet(f"{path}/index")
     parts = max(1, -(-shape["sequences"] // per_shard))
-    wanted = index.select("slot", "used", "spans").repartition(parts, F.floor(F.col("slot") / per_shard)).sortWithinPartitions("slot")
+    wanted = index.select("slot", "used", "spans").repartitionById(parts, F.floor(F.col("slot") / per_shard).cast("int")).sortWithinPartitions("slot")
 
     def run(batches):
         store, root = place(path)

@@ -194,10 +194,10 @@ def masked(text: str | None, held: list[tuple[str, int, int, float]]) -> str | N
 SPAN = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())]))
 
 
-def detect(docs: DataFrame, text: str = "text", mask: bool = False) -> DataFrame:
-    """docs with the column spans added; with mask, the text column is replaced by its masked form."""
+def detect(docs: DataFrame, text: str = "text", mask: bool = False, name: str = "spans") -> DataFrame:
+    """docs with the spans added under that name, in place of a column that bears it; with mask, the text column is replaced by its masked form."""
     fields = "spans array<struct<kind: string, start: bigint, end: bigint, score: double>>, masked string"
-    kept = [c for c in docs.columns if mask or c != text]
+    kept = [c for c in docs.columns if c != name and (mask or c != text)]
 
     def run(batches):
         for batch in batches:
@@ -213,7 +213,7 @@ def detect(docs: DataFrame, text: str = "text", mask: bool = False) -> DataFrame
     schema = ", ".join([*(f"{n} {given.schema[n].dataType.simpleString()}" for n in names), fields])
     out = given.mapInArrow(frugal(run), schema)
     back = [F.col("masked" if mask and c == text else n).alias(c) for c, n in zip(kept, names)]
-    return out.select(*back, "spans")
+    return out.select(*back, F.col("spans").alias(name))
 
 
 def listed(held: Column) -> Column:

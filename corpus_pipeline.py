@@ -32,7 +32,7 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data masked; n_chars follows the text."""
-    masked = pii.detect(docs, mask=True).drop("spans")
+    masked = pii.detect(docs, mask=True, name="__found").drop("__found")
     return masked.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else masked
 
 

@@ -31,7 +31,7 @@ RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org
 
 
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return urls.judge(table(spark, sf_dir, "pages"), RULES)
+    return urls.judge(table(spark, sf_dir, "pages"), RULES, score_all=False)
 
 
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spindrift.llm.common import BROADCAST_ROWS, ascii_lower, small_side
+from spindrift.llm.common import BROADCAST_ROWS, ascii_lower, left_join, materialise, small_side
 
 ORDER = 3
 PAD = "^"
@@ -84,34 +84,42 @@ def log_ratios(counts: DataFrame) -> DataFrame:
     return table.select("gram", (F.log("pg") - F.log("pb")).alias("ratio"))
 
 
-def judge(pages: DataFrame, rules: list[tuple[str, str]], ident: str = "page_id", url: str = "url") -> DataFrame:
-    """ident, host, path, rule, verdict, score, threshold of every row."""
+def judge(pages: DataFrame, rules: list[tuple[str, str]], ident: str = "page_id", url: str = "url", score_all: bool = True) -> DataFrame:
+    """ident, host, path, rule, verdict, score, threshold of every row.
+
+    Rows that a rule decides are judged where they stand.  Without score_all they have no score, and only the others
+    meet the scores, which are computed once a distinct URL.
+    """
     host, path = split_url(F.col("url"))
-    urls = pages.select(F.col(url).alias("url")).where(F.col("url").isNotNull()).distinct()
-    urls = urls.select("url", host.alias("host"), path.alias("path"))
+    rows = pages.select(F.col(f"`{ident}`").alias("page_id"), F.col(f"`{url}`").alias("url")).select("page_id", "url", host.alias("host"), path.alias("path"))
     name, what = rule_of(F.col("host"), F.col("path"), rules)
-    urls = urls.select("url", "host", "path", name.alias("rule"), what.alias("ruled"), F.pmod(F.xxhash64("url"), F.lit(HELD_OUT)).alias("fold")).cache()
+    rows = rows.select("page_id", "url", "host", "path", name.alias("rule"), what.alias("ruled"))
+    fold = F.pmod(F.xxhash64("url"), F.lit(HELD_OUT))
+    urls = materialise(rows.where(F.col("url").isNotNull()).select("url", "ruled", fold.alias("fold")).distinct(), "urls")
     teaches = lambda w: F.sum(F.when((F.col("ruled") == w) & (F.col("fold") > 0), 1).otherwise(0)).alias
     parts = urls.select("url", "ruled", "fold", F.explode(grams(folded(F.col("url")))).alias("gram"))
-    counts = parts.groupBy("gram").agg(teaches("allow")("good"), teaches("block")("bad")).cache()
+    counts = materialise(parts.groupBy("gram").agg(teaches("allow")("good"), teaches("block")("bad")), "grams")
     known = counts.agg(F.count("*").alias("n"), F.coalesce(F.sum("good"), F.lit(0)).alias("g"), F.coalesce(F.sum("bad"), F.lit(0)).alias("b")).first()
+    asked = F.lit(True) if score_all else F.col("ruled").isNull()
+    threshold, scored = 0.0, None
     if known["g"] and known["b"]:
-        ratios = log_ratios(counts)
-        scored = parts.join(small_side(ratios, known["n"], BROADCAST_ROWS), "gram").groupBy("url").agg(F.avg("ratio").alias("score"))
-        scored = scored.cache()
-        threshold = calibrated(urls.where("fold = 0 AND ruled IS NOT NULL").join(scored, "url").select("ruled", "score"))
+        ratios = small_side(materialise(log_ratios(counts), "ratios"), known["n"], BROADCAST_ROWS)
+        some = parts.where(asked | (F.col("fold") == 0)).join(ratios, "gram").groupBy("url", "ruled", "fold").agg(F.avg("ratio").alias("score"))
+        scored = materialise(some, "url-scores")
+        threshold = calibrated(scored.where("fold = 0 AND ruled IS NOT NULL").select("ruled", "score"))
+        scored = scored.where(asked).select("url", "score")
+    if scored is None:
+        told = rows.withColumn("score", F.lit(None).cast("double"))
     else:
-        scored, threshold = urls.where(F.lit(False)).select("url", F.lit(0.0).alias("score")), 0.0
-    told = urls.join(scored, "url", "left").select("url", "host", "path", "rule", "ruled", "score").alias("t")
-    out = pages.select(F.col(ident).alias("page_id"), F.col(url).alias("url")).alias("p").join(told, F.col("p.url") == F.col("t.url"), "left")
+        told = left_join(rows.where(asked), scored, "url").unionByName(rows.where(~asked), allowMissingColumns=True)
     score = F.coalesce("score", F.lit(0.0))
-    return out.select(
+    return told.select(
         "page_id",
-        F.coalesce("host", F.lit("")).alias("host"),
-        F.coalesce("path", F.lit("")).alias("path"),
+        "host",
+        "path",
         "rule",
         F.coalesce("ruled", F.when(score >= threshold, "allow").otherwise("block")).alias("verdict"),
-        score.alias("score"),
+        (score if score_all else F.when(asked, score)).alias("score"),
         F.lit(threshold).alias("threshold"),
     )
 

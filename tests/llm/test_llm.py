@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from spindrift.llm import ann, chat, components, decontaminate, jaccard, packing, pii, quality, training_order, urls, warc
+from spindrift.llm import ann, chat, common, components, decontaminate, jaccard, packing, pii, quality, training_order, urls, warc
 from spindrift.llm.common import scratch_path
 from spindrift.llm.queries import RULES, tokenizer_path
 
@@ -88,6 +88,14 @@ def test_nearest_among_repeated_rows(spark):
     assert ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), F.col("vec_id") == 0).count() == 5
 
 
+def test_nearest_with_clashing_columns(spark):
+    g = np.random.default_rng(2)
+    df = spark.createDataFrame([(i, g.normal(size=8).tolist()) for i in range(300)], "vec_id long, embedding array<float>")
+    clash = df.withColumns({c: F.lit(7) for c in ("leaf", "query_id", "score", "rank", "v", "n", "block", "id")})
+    rows = lambda x: sorted(tuple(r) for r in ann.nearest(x, F.col("vec_id") % 50 == 0).select("query_id", "rank", "vec_id", "score").collect())
+    assert rows(clash) == rows(df)
+
+
 def test_nearest_of_little(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 1.0])], "vec_id long, embedding array<float>")
     got = ann.nearest(df, F.col("vec_id") == 0).orderBy("rank").collect()
@@ -165,6 +173,17 @@ def test_urls_against_brute_force(spark):
     assert all(out[i]["verdict"] == "allow" for i, u in enumerate(links) if u and "good" in u)
     assert all(out[i]["verdict"] == "block" for i, u in enumerate(links) if u and "bad" in u)
     assert urls.judge(df.limit(0), RULES).count() == 0
+    # without scores of what rules decide the rest is the same, also where urls are shuffled and the hot ones told to all
+    bound, many = common.BROADCAST_ROWS, common.MANY
+    for common.BROADCAST_ROWS, common.MANY in ((bound, many), (0, 50)):
+        try:
+            lean = {r["page_id"]: r for r in urls.judge(df.unionByName(df.where("page_id = 10").withColumn("page_id", F.explode(F.sequence(F.lit(1000), F.lit(1300))))), RULES, score_all=False).collect()}
+        finally:
+            common.BROADCAST_ROWS, common.MANY = bound, many
+        assert len(lean) == len(out) + 301
+        for i, r in out.items():
+            assert (lean[i]["host"], lean[i]["rule"], lean[i]["verdict"]) == (r["host"], r["rule"], r["verdict"])
+            assert lean[i]["score"] is None if r["rule"] else math.isclose(lean[i]["score"], r["score"], abs_tol=1e-12)
 
 
 # --- decontamination
@@ -271,6 +290,32 @@ def test_plan_is_whole_and_tight():
     assert checked({}, 64) == 0 and checked({64: 3, 1: 1}, 64) == 4 and checked({33: 5}, 64) == 5
 
 
+def decreasing(counts, capacity):
+    """How many sequences plain best fit decreasing needs."""
+    rooms, made = [0] * (capacity + 1), 0
+    for n in sorted(counts, reverse=True):
+        for _ in range(counts[n]):
+            room = next((r for r in range(n, capacity + 1) if rooms[r]), None)
+            if room is None:
+                room, made = capacity, made + 1
+            else:
+                rooms[room] -= 1
+            rooms[room - n] += 1
+    return made
+
+
+def test_plan_needs_no_more_than_best_fit_decreasing():
+    g = np.random.default_rng(3)
+    draws = [g.integers(1, 257, 4000), g.integers(75, 138, 4000), g.integers(60, 113, 4000), np.clip(g.lognormal(4, 1, 4000), 1, 256), g.choice([129, 128, 86, 85, 43], 4000), 257 - np.clip(g.exponential(60, 4000), 1, 256), np.full(999, 100)]
+    better = 0
+    for lengths in draws:
+        counts = {int(n): int(c) for n, c in zip(*np.unique(np.asarray(lengths, int), return_counts=True))}
+        needed, plain = checked(counts, 256), decreasing(counts, 256)
+        assert needed == packing.plan(counts, 256)[1] <= plain
+        better += needed < plain
+    assert better >= 2
+
+
 def test_packing_against_the_tokenizer(spark, docs):
     from tokenizers import Tokenizer
 
@@ -297,6 +342,13 @@ def test_packing_against_the_tokenizer(spark, docs):
             at += n
         assert at <= 64
     assert packing.pack(docs.limit(0), tokenizer_path()).count() == 0
+    clash = docs.withColumns({c: F.lit(7) for c in ("piece", "start", "length", "ids", "part", "place", "bases", "rank", "offset", "sequence_id")})
+    keyed = lambda rows: sorted((repr(r["doc_id"]), r["piece"], r["start"], bytes(r["ids"])) for r in rows)
+    packing_parts, packing.PARTS = packing.PARTS, 0  # the bases are joined by a shuffle
+    try:
+        assert keyed(packing.pack(clash, tokenizer_path(), capacity=64).collect()) == keyed(got)
+    finally:
+        packing.PARTS = packing_parts
 
 
 # --- Jaccard
@@ -323,8 +375,10 @@ def brute_groups(rows, n, percent):
 @pytest.mark.parametrize("tight", [False, True])
 def test_jaccard_against_brute_force(spark, docs, monkeypatch, tight):
     if tight:  # every path: local counts, frequent classes, pairs, hot keys in small blocks of bands, long keys that are shuffled, stars
-        for name, value in (("COLD", 1), ("BLOCK", 3), ("FREQUENT", 2), ("LOCAL", 1), ("FLUSH", 500), ("MANY", 20), ("BROADCAST_ROWS", 2)):
+        for name, value in (("COLD", 1), ("BLOCK", 3), ("FREQUENT", 2), ("LOCAL", 1), ("FLUSH", 500), ("MANY", 20)):
             monkeypatch.setattr(jaccard, name, value)
+        monkeypatch.setattr(common, "BROADCAST_ROWS", 2)
+        monkeypatch.setattr(common, "MANY", 20)
         monkeypatch.setattr(components, "FEW", 0)
     rows = documents()
     for n, percent in ((4, 85), (5, 80)) if not tight else ((4, 85),):
@@ -507,7 +561,8 @@ def test_quality_weights_and_draw_against_brute_force(spark):
             return 0.0
         e = lambda h, x: h * math.log(max(h, 1) / x)
         sure = max(e(c, n * usual) + e(n - c, n * (1 - usual)), 0) ** quality.STEEP
-        return min(math.log((c + quality.SMOOTH * usual) / (n + quality.SMOOTH) / usual) * sure / (sure + quality.HALF**quality.STEEP), 0.0)
+        value = math.log((c + quality.SMOOTH * usual) / (n + quality.SMOOTH) / usual) * sure / (sure + quality.HALF**quality.STEEP)
+        return value if value <= -quality.LEAST else 0.0
 
     decision = quality.decide(df, labels)
     m, got = decision.model, decision.scores.collect()
@@ -551,6 +606,24 @@ def test_permutation_is_a_bijection():
     assert training_order.permuted(np.arange(1000), 1000, 1).tolist() != training_order.permuted(np.arange(1000), 1000, 2).tolist()
 
 
+def test_each_sequence_stands_in_its_slot_and_each_shard_in_one_task(spark, docs, monkeypatch):
+    path = scratch_path(spark, "t")
+    clash = docs.withColumns({c: F.lit(7) for c in ("part", "slot", "shard", "used", "ids", "spans", "local")})
+    training_order.write(clash, path, tokenizer_path(), length=64, per_shard=16)
+    shape = training_order.layout(path)
+    cut = training_order.sequences(docs, tokenizer_path(), 64).orderBy("part", "local").collect()
+    slots = training_order.permuted(np.arange(len(cut)), len(cut), shape["key"])
+    held = {s: x.tolist() for s, x in training_order.read_slots(path)}
+    assert len(held) == len(cut)
+    for row, slot in zip(cut, slots.tolist()):
+        assert held[slot] == np.frombuffer(bytes(row["ids"]), "<u2").tolist()
+    files = spark.read.parquet(f"{path}/index").select(F.input_file_name().alias("file"), F.floor(F.col("slot") / 16).alias("shard"))
+    assert files.groupBy("file").agg(F.count_distinct("shard").alias("n")).where("n > 1").count() == 0
+    assert files.groupBy("shard").agg(F.count_distinct("file").alias("n")).where("n > 1").count() == 0
+    with pytest.raises(Exception, match="16 bits"):
+        training_order.sequences(docs, tokenizer_path(), 64, end=70_000).count()
+
+
 def test_training_order_round_trip(spark, docs):
     from tokenizers import Tokenizer
 
@@ -619,6 +692,11 @@ def test_pii_on_rows(spark):
     assert got.columns == ["doc_id", "text", "n_chars", "spans"]
     assert sorted((r["doc_id"], r["text"] or "") for r in got.collect()) == [(1, "mail <EMAIL> now"), (1, "mail <EMAIL> now"), (2, ""), (3, "")]
     assert pii.detect(df.limit(0)).count() == 0
+    clash = spark.createDataFrame(rows, "doc_id long, text string, spans int")
+    found = pii.detect(clash)
+    assert found.columns == ["doc_id", "spans"] and sorted(len(r["spans"]) for r in found.collect()) == [0, 0, 1, 1]
+    other = pii.detect(clash, mask=True, name="found")
+    assert other.columns == ["doc_id", "text", "spans", "found"] and sorted(r["spans"] for r in other.collect()) == [7, 7, 8, 9]
 
 
 # --- the pipeline

@@ -40,8 +40,8 @@ def clean_text(c: Column) -> Column:
 
 
 def tokenize(c: Column) -> Column:
-    """The lower-case letter and digit runs, ё as е."""
-    return F.regexp_extract_all(F.translate(F.lower(clean_text(c)), "ё", "е"), F.lit(TOKEN), F.lit(0))
+    """The lower-case letter and digit runs, ё as е; no other character matters, so the text isn't cleaned before."""
+    return F.regexp_extract_all(F.translate(F.lower(F.coalesce(c, F.lit(""))), "ё", "е"), F.lit(TOKEN), F.lit(0))
 
 
 def normalize_text(c: Column) -> Column:

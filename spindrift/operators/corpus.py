@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 
 from spindrift.functions import text as T
 
+#: A side of a join is broadcast only if its counted rows are at most this many.
+BROADCAST_ROWS = 1_000_000
+#: Prefixes meet terms by so many first characters, then as wholes.
+BLOCK = 3
+
 
 def token_frequency(rows: DataFrame, *columns: str, least: int = 2) -> DataFrame:
     """token, first_char, token_length, frequency, counted with repeats over the text columns."""
@@ -24,25 +29,34 @@ def cooccurrence(rows: DataFrame, ident: str, columns: list[str], least_frequenc
     frequencies and adds a share of the tokens' n-gram similarity.
     """
     vocabulary = token_frequency(rows, *columns, least=3).where(~F.col("token").rlike(r"^\d+$") & (F.col("frequency") >= least_frequency)).select("token", "frequency")
+    vocabulary = vocabulary.cache()  # of words, not of rows; counted before it is broadcast
+    known = vocabulary.count()
     tokens = F.array_distinct(F.concat(*[T.tokenize(F.col(c)) for c in columns]))
-    held = rows.select(F.col(ident).alias("row"), F.explode(tokens).alias("token")).join(vocabulary, "token")
-    place = F.row_number().over(W.partitionBy("row").orderBy("frequency", "token"))
-    few = held.withColumn("place", place).where(F.col("place") <= rarest).groupBy("row").agg(F.collect_list("token").alias("tokens"))
-    pairs = few.select(F.explode("tokens").alias("token"), "tokens").select("token", F.explode("tokens").alias("neighbor")).where("token <> neighbor")
-    counts = pairs.groupBy("token", "neighbor").agg(F.count("*").alias("cooccurrence"))
-    f = counts.join(vocabulary.withColumnRenamed("frequency", "f"), "token").join(vocabulary.select(F.col("token").alias("neighbor"), F.col("frequency").alias("g")), "neighbor")
+    held = rows.select(F.col(ident).alias("row"), F.explode(tokens).alias("token")).join(F.broadcast(vocabulary) if known <= BROADCAST_ROWS else vocabulary, "token")
+    few = held.groupBy("row").agg(F.slice(F.array_sort(F.collect_list(F.struct("frequency", "token"))), 1, rarest).alias("held"))
+    pairs = few.select(F.explode("held").alias("a"), "held").select("a", F.explode("held").alias("b")).where("a.token <> b.token")
+    counts = pairs.groupBy(F.col("a.token").alias("token"), F.col("b.token").alias("neighbor"), F.col("a.frequency").alias("f"), F.col("b.frequency").alias("g")).agg(F.count("*").alias("cooccurrence"))
+    counts = counts.where(F.col("cooccurrence") >= max(1, min(2, least_frequency)))
     score = F.col("cooccurrence") / F.sqrt(F.col("f").cast("double") * F.col("g")) + 0.2 * T.jaccard(T.char_ngrams(F.col("token")), T.char_ngrams(F.col("neighbor")))
-    scored = f.withColumn("score", score).where((F.col("score") > 0.05) & (F.col("cooccurrence") >= max(1, min(2, least_frequency))))
+    scored = counts.withColumn("score", score).where(F.col("score") > 0.05)
     order = W.partitionBy("token").orderBy(F.desc("score"), F.desc("cooccurrence"), F.desc("g"), F.desc("neighbor"))
     return scored.withColumn("place", F.row_number().over(order)).where(F.col("place") <= neighbors).select("token", "neighbor", "score", "cooccurrence")
 
 
-def postings(rows: DataFrame, ident: str, fields: list[str]) -> DataFrame:
-    """term, field, row, tf, length: the inverted index with the field's length in tokens."""
+def postings(rows: DataFrame, ident: str, fields: list[str], prefixes: DataFrame | None = None) -> DataFrame:
+    """term, field, row, tf, length: the inverted index with the field's length in tokens.
+
+    With prefixes (a column prefix, few, counted), only of terms that start with one: others are dropped before anything is shuffled.
+    """
     parts = []
+    wanted = prefixes and prefixes.select("prefix", F.substring("prefix", 1, BLOCK).alias("block")).distinct()
+    if prefixes and prefixes.count() <= BROADCAST_ROWS:
+        wanted = F.broadcast(wanted)
     for f in fields:
         cut = rows.select(F.col(ident).alias("row"), T.tokenize(F.col(f)).alias("tokens"))
         held = cut.select("row", F.size("tokens").alias("length"), F.explode("tokens").alias("term"))
+        if wanted:
+            held = held.join(wanted, (F.substring("term", 1, BLOCK) == F.col("block")) & F.startswith("term", F.col("prefix")), "left_semi")
         parts.append(held.groupBy("term", "row", "length").agg(F.count("*").alias("tf")).withColumn("field", F.lit(f)))
     out = parts[0]
     for p in parts[1:]:
@@ -64,9 +78,8 @@ def bm25(index: DataFrame, stats: DataFrame, queries: DataFrame, weights: dict[s
     frequencies are those of the prefix over all fields.  Prefixes meet terms by their
     first three characters, then as wholes.
     """
-    block = 3
-    asked = queries.select("query_id", "prefix").distinct().withColumn("block", F.substring("prefix", 1, block))
-    wanted = index.withColumn("block", F.substring("term", 1, block))
+    asked = queries.select("query_id", "prefix").distinct().withColumn("block", F.substring("prefix", 1, BLOCK))
+    wanted = index.withColumn("block", F.substring("term", 1, BLOCK))
     hits = wanted.join(asked, "block").where(F.startswith("term", F.col("prefix")))
     whole = hits.groupBy("query_id", "prefix", "row", "field", "length").agg(F.sum("tf").alias("tf"))
     seen = whole.groupBy("query_id", "prefix").agg(F.count_distinct("row").alias("df"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from spindrift.functions import numbers as N
 
 #: Events are taken in this order.
-ORDER = ("day", "contract_id", "customer_id", "item_id", "line")
+ORDER = ("day", "contract_id", "customer_id", "item_id", "line", "supplier_id", "amount")
 
 
 def before(*keys: str):
@@ -56,16 +56,27 @@ def rolling_amounts(events: DataFrame, key: str, rows: int = 200) -> DataFrame:
     })
 
 
+def earlier(events: DataFrame, name: str, *keys: str) -> DataFrame:
+    """events with the number of earlier events of the same keys, for keys of many events: day totals first, so only one day's events of a key share a sort."""
+    totals = events.groupBy(*keys, "day").agg(F.count("*").alias("n"))
+    running = W.partitionBy(*keys).orderBy("day").rowsBetween(W.unboundedPreceding, -1)
+    totals = totals.select(*keys, "day", F.coalesce(F.sum("n").over(running), F.lit(0)).alias("__before"))
+    placed = events.join(totals, [*keys, "day"])
+    return placed.withColumn(name, F.col("__before") + F.row_number().over(W.partitionBy(*keys, "day").orderBy(*ORDER)) - 1).drop("__before")
+
+
 def global_priors(events: DataFrame) -> DataFrame:
-    """Popularity of item and category before each event: overall, in the customer's region, in the month of the year."""
-    held = events.withColumn("month", F.month("day"))
-    return held.withColumns({
+    """Popularity of item and category before each event: overall, in the customer's region, in the month of the year.
+
+    Categories are few and their events many, so those counts go by day.
+    """
+    held = events.withColumn("month", F.month("day")).withColumns({
         "item_popularity": F.count("*").over(before("item_id")),
-        "category_popularity": F.count("*").over(before("category")),
         "region_item_popularity": F.count("*").over(before("region", "item_id")),
-        "region_category_popularity": F.count("*").over(before("region", "category")),
-        "seasonal_popularity": F.count("*").over(before("month", "category")),
-    }).drop("month")
+    })
+    held = earlier(held, "category_popularity", "category")
+    held = earlier(held, "region_category_popularity", "region", "category")
+    return earlier(held, "seasonal_popularity", "month", "category").drop("month")
 
 
 def dominant_supplier(events: DataFrame) -> DataFrame:

@@ -123,19 +123,25 @@ def price_bands(stats: DataFrame, offers: DataFrame, catalog: DataFrame) -> Data
     return rows.join(catalog.select("item_id", "category"), "item_id").groupBy("category").agg(F.percentile("proxy", 0.25).alias("p25"), F.percentile("proxy", 0.75).alias("p75"))
 
 
-def overlap_peers(category_stats: DataFrame, customers: DataFrame, top: int = 5, limit: int = 120) -> DataFrame:
-    """customer_id, peer_id, shared, purchases: the peers that share most of a customer's top categories.
+def overlap_peers(category_stats: DataFrame, top: int = 5, limit: int = 120) -> tuple[DataFrame, DataFrame]:
+    """(customer_id, list; list, peer_id, shared, purchases): the peers that share most of each customer's top categories.
 
-    customers: the few customers asked about (customer_id).
+    Peers depend on the set of top categories alone, save that nobody is their own peer.  So lists are made once a
+    distinct set, one longer than the limit, and only customers who stand in their set's own list have one of their own.
     """
-    mine = category_stats.join(customers, "customer_id", "left_semi")
     order = W.partitionBy("customer_id").orderBy(F.desc("purchase_count"), F.desc("total_amount"), "category")
-    mine = mine.withColumn("place", F.row_number().over(order)).where(F.col("place") <= top).select("customer_id", "category")
+    mine = category_stats.withColumn("place", F.row_number().over(order)).where(F.col("place") <= top)
+    mine = mine.groupBy("customer_id").agg(F.array_sort(F.collect_list("category")).alias("held")).select("customer_id", "held", F.to_json("held").alias("set"))
     theirs = category_stats.select(F.col("customer_id").alias("peer_id"), "category", "purchase_count")
-    met = mine.join(theirs, "category").where("customer_id <> peer_id")
-    sums = met.groupBy("customer_id", "peer_id").agg(F.count_distinct("category").alias("shared"), F.sum("purchase_count").alias("purchases"))
-    best = W.partitionBy("customer_id").orderBy(F.desc("shared"), F.desc("purchases"), "peer_id")
-    return sums.withColumn("place", F.row_number().over(best)).where(F.col("place") <= limit).drop("place")
+    met = mine.select("set", "held").distinct().select("set", F.explode("held").alias("category")).join(theirs, "category")
+    sums = met.groupBy("set", "peer_id").agg(F.count_distinct("category").alias("shared"), F.sum("purchase_count").alias("purchases"))
+    best = W.partitionBy("set").orderBy(F.desc("shared"), F.desc("purchases"), "peer_id")
+    ranked = sums.withColumn("place", F.row_number().over(best)).where(F.col("place") <= limit + 1)
+    inside = mine.join(ranked.select("set", F.col("peer_id").alias("customer_id")), ["set", "customer_id"]).select("set", "customer_id", F.concat_ws("#", "set", "customer_id").alias("list"))
+    own = inside.join(ranked, "set").where("customer_id <> peer_id").select("list", "peer_id", "shared", "purchases")
+    common = ranked.where(F.col("place") <= limit).select(F.col("set").alias("list"), "peer_id", "shared", "purchases")
+    people = mine.join(inside.select("customer_id", "list"), "customer_id", "left").select("customer_id", F.coalesce("list", "set").alias("list"))
+    return people, common.unionByName(own)
 
 
 def orphans(lines: DataFrame, catalog: DataFrame) -> DataFrame:

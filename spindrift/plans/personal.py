@@ -20,7 +20,6 @@ ORDER = "day, contract_id, customer_id, item_id, line"
 BEFORE = f"ORDER BY {ORDER}, supplier_id, amount ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
 EVENTS = f"{CONTRACTS}, {CATALOG}, {CUSTOMER_REGIONS}, ev AS (SELECT c.*, category, region FROM contracts c JOIN catalog USING (item_id) JOIN customer_regions USING (customer_id))"
 KEY = "contract_id, line, item_id, supplier_id, amount"
-X.ORDER = ("day", "contract_id", "customer_id", "item_id", "line", "supplier_id", "amount")
 
 
 def events(spark, sf_dir):

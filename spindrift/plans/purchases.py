@@ -157,32 +157,31 @@ def catalog_orphans(spark, sf_dir):
     return P.orphans(contracts(spark, sf_dir), catalog(spark, sf_dir))
 
 
-#: Whose peers are asked for: every customer whose id this divides, against all customers.
-ASKED = 20
+PEERS = f"""{CATEGORY_STATS}, top AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY customer_id ORDER BY purchase_count DESC, total_amount DESC, category) <= 2),
+p AS (SELECT top.customer_id, s.customer_id AS peer_id, count(DISTINCT s.category) AS shared, CAST(sum(s.purchase_count) AS BIGINT) AS purchases FROM top JOIN s ON top.category = s.category AND top.customer_id <> s.customer_id GROUP BY ALL),
+q AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY customer_id ORDER BY shared DESC, purchases DESC, peer_id) <= 120)"""
 
 
-@query(f"""WITH {CATEGORY_STATS}, top AS (SELECT * FROM s WHERE customer_id % {ASKED} = 0 QUALIFY row_number() OVER (PARTITION BY customer_id ORDER BY purchase_count DESC, total_amount DESC, category) <= 2),
-p AS (SELECT top.customer_id, s.customer_id AS peer_id, count(DISTINCT s.category) AS shared, CAST(sum(s.purchase_count) AS BIGINT) AS purchases FROM top JOIN s ON top.category = s.category AND top.customer_id <> s.customer_id GROUP BY ALL)
-SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY customer_id ORDER BY shared DESC, purchases DESC, peer_id) <= 120""")
+def peer_lists(spark, sf_dir):
+    return P.overlap_peers(P.purchase_stats(P.with_category(contracts(spark, sf_dir), catalog(spark, sf_dir)), "customer_id", "category"), top=2)
+
+
+@query(f"WITH {PEERS} SELECT * FROM q")
 def same_type_peers(spark, sf_dir):
-    """Peers of a stated set of customers, against all."""
-    stats = P.purchase_stats(P.with_category(contracts(spark, sf_dir), catalog(spark, sf_dir)), "customer_id", "category")
-    asked = stats.select("customer_id").where(F.col("customer_id") % ASKED == 0).distinct()
-    return P.overlap_peers(stats, asked, top=2)
+    """A hundred and twenty peers of every customer: the limit is the feature."""
+    people, lists = peer_lists(spark, sf_dir)
+    return people.join(lists, "list").select("customer_id", "peer_id", "shared", "purchases")
 
 
-@query(f"""WITH {CATEGORY_STATS}, top AS (SELECT * FROM s WHERE customer_id % {ASKED} = 0 QUALIFY row_number() OVER (PARTITION BY customer_id ORDER BY purchase_count DESC, total_amount DESC, category) <= 2),
-p AS (SELECT top.customer_id, s.customer_id AS peer_id, count(DISTINCT s.category) AS shared, sum(s.purchase_count) AS purchases FROM top JOIN s ON top.category = s.category AND top.customer_id <> s.customer_id GROUP BY ALL),
-q AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY customer_id ORDER BY shared DESC, purchases DESC, peer_id) <= 120),
-i AS (SELECT p.customer_id, c.item_id, count(*) AS purchase_count, sum(c.amount) AS total_amount FROM q AS p JOIN contracts c ON p.peer_id = c.customer_id GROUP BY ALL)
+@query(f"""WITH {PEERS}, i AS (SELECT p.customer_id, c.item_id, count(*) AS purchase_count, sum(c.amount) AS total_amount FROM q AS p JOIN contracts c ON p.peer_id = c.customer_id GROUP BY ALL)
 SELECT customer_id, item_id, purchase_count, round(total_amount, 2) AS total_amount FROM i QUALIFY row_number() OVER (PARTITION BY customer_id ORDER BY purchase_count DESC, total_amount DESC, item_id) <= 20""")
 def peer_recommendations(spark, sf_dir):
-    """Twenty items that a customer's peers buy most: the limit is the feature."""
-    peers = same_type_peers(spark, sf_dir).select("customer_id", "peer_id")
-    lines = contracts(spark, sf_dir).withColumnRenamed("customer_id", "peer_id")
-    sums = lines.join(peers, "peer_id").groupBy("customer_id", "item_id").agg(F.count("*").alias("purchase_count"), F.sum("amount").alias("total_amount"))
-    out = P.item_weights(sums, ["customer_id"]).where("rank <= 20")
-    return rounded(out.select("customer_id", "item_id", "purchase_count", "total_amount"))
+    """Twenty items that every customer's peers buy most, summed once a list of peers: the limit is the feature."""
+    people, lists = peer_lists(spark, sf_dir)
+    stats = P.purchase_stats(contracts(spark, sf_dir), "customer_id", "item_id").select(F.col("customer_id").alias("peer_id"), "item_id", "purchase_count", "total_amount")
+    sums = stats.join(lists, "peer_id").groupBy("list", "item_id").agg(F.sum("purchase_count").alias("purchase_count"), P.money("total_amount").alias("total_amount"))
+    out = P.item_weights(sums, ["list"]).where("rank <= 20").drop("rank", "weight")
+    return rounded(people.join(out, "list").select("customer_id", "item_id", "purchase_count", "total_amount"))
 
 
 @query(f"""WITH {CONTRACTS}, r AS (SELECT item_id, count(*) AS n, 0 AS source FROM contracts WHERE supplier_id % 2 = 0 GROUP BY item_id HAVING count(*) >= 5 UNION ALL SELECT item_id, count(*), 1 FROM contracts GROUP BY item_id)

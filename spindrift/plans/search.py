@@ -88,7 +88,7 @@ def bm25_search(spark, sf_dir):
     """Twenty documents a query: the limit is the feature."""
     docs = table(spark, sf_dir, "documents")
     asked = spark.createDataFrame(ASKED, "query_id bigint, prefix string")
-    return C.bm25(C.postings(docs, "doc_id", ["text"]), C.field_stats(docs, ["text"]), asked, {"text": 1.0}).withColumn("score", F.round("score", 4))
+    return C.bm25(C.postings(docs, "doc_id", ["text"], asked), C.field_stats(docs, ["text"]), asked, {"text": 1.0}).withColumn("score", F.round("score", 4))
 
 
 @query(f"""WITH {FREQUENCY}, q(token) AS (VALUES ('teh'), ('thta'), ('fromm'), ('vequqa'), ('12'), ('the'), ('zzzzqqq'), ('paar')),

@@ -178,7 +178,14 @@ def personalization_gate(spark, sf_dir):
     return c.select("query_id", "item_id", F.round(gate, 6).alias("gate"))
 
 
-@query()
+@query("""WITH c AS (SELECT o_custkey AS query_id, o_orderkey AS item_id, (o_orderkey % 89) / 8.9e0 AS search_score, (o_orderkey % 97) / 97e0 AS quality, (o_orderkey % 13) / 2e0 AS rule, (o_orderkey % 40) * 1e0 AS history,
+(o_custkey % 9) / 9e0 AS reliability, (o_custkey % 7) / 7e0 AS alignment, (o_custkey % 10) / 10e0 AS spec, CASE WHEN o_orderkey % 50 = 0 THEN 100e0 ELSE 0e0 END AS tier FROM orders),
+b AS (SELECT *, max(quality) OVER (PARTITION BY query_id) AS best FROM c), x AS (SELECT *, 0.22e0 + 0.30e0 * spec AS lo, 0.50e0 + 0.22e0 * spec AS rt, quality / greatest(best, 1e-6) AS rel FROM b),
+g AS (SELECT *, CASE WHEN quality <= 0 OR best <= 0 OR quality < lo OR rel < rt THEN 0e0 ELSE least(1e0, 0.45e0 * least(1e0, greatest(0e0, (quality - lo) / greatest(1e-6, 1 - lo))) + 0.55e0 * least(1e0, greatest(0e0, (rel - rt) / greatest(1e-6, 1 - rt)))) END AS gate,
+least(1e0, pow(reliability, 1.15e0) * greatest(0.30e0, 1 - 0.70e0 * spec) * (0.15e0 + 0.85e0 * alignment)) AS weight FROM x),
+f AS (SELECT *, search_score + CASE WHEN gate > 0 THEN 0.35e0 * rule * weight * greatest(0.2e0, quality) ELSE 0e0 END
++ least(CASE WHEN spec >= 0.70e0 THEN least(0.5e0 + 3.8e0 * weight, 1.1e0 + 0.9e0 * alignment) ELSE 0.5e0 + 3.8e0 * weight END, history * (0.03e0 + 0.03e0 * greatest(0e0, 1 - spec))) AS final FROM g)
+SELECT query_id, item_id, round(gate, 6) AS gate, round(final, 6) AS final_score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY tier DESC, round(final, 6) DESC, search_score DESC, item_id) AS INTEGER) AS rank FROM f""")
 def runtime_rerank(spark, sf_dir):
     """Every order as a candidate of its customer's query, reranked with history and session."""
     c = table(spark, sf_dir, "orders").select(
@@ -186,7 +193,8 @@ def runtime_rerank(spark, sf_dir):
         ((F.col("o_orderkey") % 13) / 2.0).alias("rule"), (F.col("o_orderkey") % 40).cast("double").alias("history"), ((F.col("o_custkey") % 9) / 9.0).alias("reliability"), ((F.col("o_custkey") % 7) / 7.0).alias("alignment"),
         ((F.col("o_custkey") % 10) / 10.0).alias("specificity"), F.when(F.col("o_orderkey") % 50 == 0, 100.0).otherwise(0.0).alias("session_tier"),
     )
-    return Z.rerank_candidates(c, "query_id").select("query_id", "item_id", "gate", "final_score", "rank")
+    out = Z.rerank_candidates(c, "query_id")
+    return out.select("query_id", "item_id", F.round("gate", 6).alias("gate"), F.round("final_score", 6).alias("final_score"), "rank")
 
 
 PAIRS = "g AS (SELECT o_custkey AS group_id, o_orderkey AS candidate_id, (o_orderkey % 17) / 17e0 AS score, CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN 1 ELSE 0 END AS label FROM orders)"
@@ -250,9 +258,30 @@ def clicks(spark, sf_dir):
     return O.events_of(table(spark, sf_dir, "events"))
 
 
-@query()
+#: The events of the table take the parts of these.
+PARTS = {"click": "item_click", "view": "item_close", "purchase": "purchase", "signup": "cart_add", "error": "cart_remove"}
+
+
+@query(f"""WITH {EV}, e AS (SELECT user_id, ts, event_id, CASE kind {' '.join(f"WHEN '{a}' THEN '{b}'" for a, b in PARTS.items())} END AS kind, item, category, duration_ms FROM ev),
+g AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) > INTERVAL 24 HOUR THEN 1 ELSE 0 END AS fresh FROM e),
+s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS seg, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM g),
+l AS (SELECT * FROM s QUALIFY seg = max(seg) OVER (PARTITION BY user_id)),
+x AS (SELECT user_id, 'clicked' AS what, item AS v, max(n) AS n FROM l WHERE kind = 'item_click' AND item <> '' GROUP BY ALL
+UNION ALL SELECT user_id, 'cart', item, max(CASE WHEN kind = 'cart_add' THEN n END) FROM l WHERE kind IN ('cart_add', 'cart_remove') AND item <> '' GROUP BY ALL HAVING max(CASE WHEN kind = 'cart_add' THEN n END) > coalesce(max(CASE WHEN kind = 'cart_remove' THEN n END), 0)
+UNION ALL SELECT user_id, 'recent', category, max(n) FROM l WHERE kind IN ('item_click', 'cart_add', 'purchase') GROUP BY ALL
+UNION ALL SELECT user_id, 'bounced', category, max(CASE WHEN kind = 'item_close' AND duration_ms > 0 AND duration_ms < 3000 THEN n END) FROM l GROUP BY ALL
+HAVING max(CASE WHEN kind = 'item_close' AND duration_ms > 0 AND duration_ms < 3000 THEN n END) > coalesce(max(CASE WHEN kind = 'purchase' THEN n END), 0)),
+k AS (SELECT * FROM x QUALIFY row_number() OVER (PARTITION BY user_id, what ORDER BY n DESC) <= 20),
+t AS (SELECT user_id, {', '.join(f"coalesce(string_agg(CASE WHEN what = '{w}' THEN v END, ';' ORDER BY n DESC), '') AS {w}" for w in ('clicked', 'cart', 'recent', 'bounced'))} FROM k GROUP BY user_id),
+c AS (SELECT user_id, string_agg(kind || ':' || CAST(m AS VARCHAR), ',' ORDER BY kind) AS counts, CAST(sum(m) AS BIGINT) AS version FROM (SELECT user_id, kind, count(*) AS m FROM l GROUP BY ALL) GROUP BY user_id),
+z AS (SELECT user_id, kind AS last_kind, ts FROM l QUALIFY n = max(n) OVER (PARTITION BY user_id))
+SELECT user_id, version, coalesce(clicked, '') AS clicked, coalesce(cart, '') AS cart, coalesce(recent, '') AS recent, coalesce(bounced, '') AS bounced, counts, last_kind, CAST(floor(epoch(ts)) AS BIGINT) AS updated_s
+FROM c JOIN z USING (user_id) LEFT JOIN t USING (user_id)""")
 def session_state(spark, sf_dir):
-    return O.fold_sessions(clicks(spark, sf_dir))
+    """The fold over every user's events: an expiring state of lists that keep the latest twenty."""
+    rows = clicks(spark, sf_dir).replace(PARTS, subset="kind")
+    out = O.fold_sessions(rows)
+    return out.select("user_id", "version", *[F.array_join(c, ";").alias(c) for c in ("clicked", "cart", "recent", "bounced")], "counts", "last_kind", F.unix_timestamp("updated").alias("updated_s"))
 
 
 @query(f"""WITH {EV} SELECT user_id, count(*) AS events, count(*) FILTER (kind = 'view') AS n_view, count(*) FILTER (kind = 'click') AS n_click, count(*) FILTER (kind = 'purchase') AS n_purchase,
@@ -261,8 +290,17 @@ def event_counts(spark, sf_dir):
     return O.event_counts(clicks(spark, sf_dir))
 
 
-CART = """w AS (SELECT user_id, category, CASE kind WHEN 'click' THEN 1 WHEN 'purchase' THEN -1 ELSE 0 END AS step, sum(CASE kind WHEN 'click' THEN 1 WHEN 'purchase' THEN -1 ELSE 0 END) OVER (PARTITION BY user_id, category ORDER BY ts, event_id) AS s FROM ev),
+def stretch(name: str, where: str, lifetime: str) -> str:
+    """The events of each user and category since the last gap longer than the lifetime."""
+    return f"""{name}_g AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id, category ORDER BY ts, event_id) > INTERVAL {lifetime} THEN 1 ELSE 0 END AS fresh FROM ev WHERE {where}),
+{name}_s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id, category ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS seg FROM {name}_g),
+{name} AS (SELECT * FROM {name}_s QUALIFY seg = max(seg) OVER (PARTITION BY user_id, category))"""
+
+
+CART = f"""{stretch('changes', "kind IN ('click', 'purchase')", '7 DAY')},
+w AS (SELECT user_id, category, CASE kind WHEN 'click' THEN 1 ELSE -1 END AS step, sum(CASE kind WHEN 'click' THEN 1 ELSE -1 END) OVER (PARTITION BY user_id, category ORDER BY ts, event_id) AS s FROM changes),
 cart AS (SELECT user_id, category, CAST(sum(step) - least(0, min(s)) AS BIGINT) AS n FROM w GROUP BY ALL HAVING sum(step) - least(0, min(s)) > 0)"""
+SKIPS = stretch("quick", "kind = 'view' AND coalesce(duration_ms, 0) < 2000", "4 HOUR") + ", skips AS (SELECT user_id, category, count(*) AS n FROM quick GROUP BY ALL)"
 
 
 @query(f"WITH {EV}, {CART} SELECT * FROM cart")
@@ -270,7 +308,7 @@ def cart_counts(spark, sf_dir):
     return O.cart_counts(clicks(spark, sf_dir))
 
 
-@query(f"""WITH {EV}, {CART}, skips AS (SELECT user_id, category, count(*) AS n FROM ev WHERE kind = 'view' AND coalesce(duration_ms, 0) < 2000 GROUP BY ALL),
+@query(f"""WITH {EV}, {CART}, {SKIPS},
 x AS (SELECT DISTINCT user_id, item, category, 10e0 AS score FROM ev), b AS (SELECT x.*, coalesce(skips.n, 0) AS k, round(score * CASE WHEN coalesce(cart.n, 0) > 0 THEN 1 + 0.15e0 * (1 - exp(-cart.n)) ELSE 1 END, 6) AS boosted FROM x LEFT JOIN cart USING (user_id, category) LEFT JOIN skips USING (user_id, category))
 SELECT user_id, item, category, score, boosted, round(boosted * CASE WHEN k > 0 THEN greatest(0.4e0, 1 - 0.2e0 * log2(1 + k)) ELSE 1 END, 4) AS final FROM b""")
 def cart_boost_skip_penalty(spark, sf_dir):

@@ -11,13 +11,13 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from spindrift.operators.online import SESSION_HOURS, STATE, Session
 
-HELD = "version bigint, clicked string, cart string, recent string, bounced string, purchases bigint, updated timestamp"
+HELD = STATE.split(", ", 1)[1]
 
 
 def restored(held: tuple) -> Session:
     s = Session()
-    s.version, lists, s.purchases, s.updated = held[0], held[1:5], held[5], held[6]
-    s.clicked, s.cart, s.recent, s.bounced = ([x for x in v.split("|") if x] for v in lists)
+    s.version, s.clicked, s.cart, s.recent, s.bounced, counts, s.last_kind, s.updated = (list(v) if not isinstance(v, str) and hasattr(v, "__iter__") else v for v in held)
+    s.counts = {k: int(n) for k, _, n in (x.rpartition(":") for x in counts.split(",") if x)}
     return s
 
 

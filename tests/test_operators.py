@@ -52,7 +52,8 @@ def test_archetype(spark):
 
 
 def test_session_fold_and_stream_agree(spark, small, tmp_path):
-    events = online.events_of(spark.read.parquet(f"{small}/events.parquet"))
+    events = online.events_of(spark.read.parquet(f"{small}/events.parquet")).replace({"click": "item_click", "view": "item_close", "signup": "cart_add", "error": "cart_remove"}, subset="kind")
+    events = events.withColumn("item", F.concat("item", F.lit("|x")))
     batch = {r["user_id"]: r for r in online.fold_sessions(events).collect()}
     source = str(tmp_path / "in")
     events.repartition(1).sortWithinPartitions("ts").write.parquet(source)
@@ -80,20 +81,36 @@ def test_session_windows_agree(spark, small, tmp_path):
 
 
 def test_cart_counter_never_negative(spark):
-    rows = [(1, "a", i, i, k) for i, k in enumerate(["purchase", "click", "purchase", "purchase", "click", "click"])]
-    df = spark.createDataFrame(rows, "user_id long, category string, ts long, event_id long, kind string")
+    day = datetime.datetime(2024, 1, 1)
+    rows = [(1, "a", day + datetime.timedelta(hours=i), i, k) for i, k in enumerate(["purchase", "click", "purchase", "purchase", "click", "click"])]
+    df = spark.createDataFrame(rows, "user_id long, category string, ts timestamp, event_id long, kind string")
     assert online.cart_counts(df).first()["n"] == 2
 
 
 def test_session_rules():
     s, t = online.Session(), pd.Timestamp("2024-01-01")
-    s.apply(t, "view", "i1", "c1", 500.0)
+    s.apply(t, "view", "i1", "c1", 500.0)  # neither a close nor a bounce
+    s.apply(t, "item_close", "i1", "c1", 3000.0)
+    assert s.bounced == [] and s.recent == [] and s.clicked == []
+    s.apply(t, "item_close", "i1", "c1", 500.0)
     assert s.bounced == ["c1"]
-    s.apply(t, "cart_add", "i1", "c1", None)
-    s.apply(t, "purchase", "i1", "c1", None)
-    assert s.cart == [] and s.bounced == [] and s.purchases == 1
-    s.apply(t + pd.Timedelta(hours=25), "click", "i2", "c2", None)
-    assert s.version == 1 and s.clicked == ["i2"]
+    s.apply(t, "cart_add", "i1", "", None)
+    s.apply(t, "cart_add", "", "c3", None)
+    assert s.cart == ["i1"] and s.recent == ["c3"]
+    s.apply(t, "purchase", "i1", "c1", None)  # clears the bounce, enters the recent ones, leaves the cart alone
+    assert s.cart == ["i1"] and s.bounced == [] and s.recent == ["c1", "c3"] and s.counts["purchase"] == 1 and s.last_kind == "purchase"
+    for i in range(25):
+        s.apply(t, "item_open", f"x|{i}", "c", None)
+    assert s.clicked == [f"x|{i}" for i in range(24, 4, -1)]
+    s.apply(t + pd.Timedelta(hours=25), "item_click", "i2", "c2", None)
+    assert s.version == 1 and s.clicked == ["i2"] and s.counts == {"item_click": 1}
+
+
+def test_counters_expire(spark):
+    day = datetime.datetime(2024, 1, 1)
+    rows = [(1, "a", day + datetime.timedelta(hours=h), i, k, 100.0) for i, (h, k) in enumerate([(0, "click"), (1, "click"), (200, "click"), (210, "purchase"), (211, "click"), (212, "view"), (217, "view"), (218, "view")])]
+    df = spark.createDataFrame(rows, "user_id long, category string, ts timestamp, event_id long, kind string, duration_ms double")
+    assert online.cart_counts(df).first()["n"] == 1 and online.skip_counts(df).first()["n"] == 2
 
 
 def test_metrics_edge_cases(spark):

@@ -26,7 +26,7 @@ def safe_ratio(a: Column, b: Column) -> Column:
 
 def recency_days(last: Column, today: Column) -> Column:
     """Days since, at least 0; a fixed large number if never."""
-    return F.coalesce(F.greatest(F.lit(0), F.datediff(today, last)), F.lit(MISSING_DAYS)).cast("double")
+    return F.when(last.isNull(), MISSING_DAYS).otherwise(F.greatest(F.lit(0), F.datediff(today, last))).cast("double")
 
 
 def recency_boost(days: Column, horizon: float) -> Column:
@@ -79,6 +79,27 @@ def match_gate(quality: Column, best: Column, specificity: Column) -> Column:
     return F.when((quality <= 0) | (best <= 0) | (quality < absolute) | (share < relative), F.lit(0.0)).otherwise(gate)
 
 
-def cache_key(namespace: str, columns: list[Column]) -> Column:
-    """A digest of the columns as JSON with sorted names."""
-    return F.concat(F.lit(f"{namespace}:"), F.sha2(F.to_json(F.struct(*columns)), 256))
+def cache_key(namespace: str, columns: dict[str, Column]) -> Column:
+    """A digest of the columns as JSON, names sorted and nulls kept."""
+    return F.concat(F.lit(f"{namespace}:"), F.sha2(F.to_json(F.struct(*[columns[n].alias(n) for n in sorted(columns)]), {"ignoreNullFields": "false"}), 256))
+
+
+def is_number(c: Column) -> Column:
+    """Whether ``lenient_double`` reads a number rather than falling back."""
+    return F.translate(F.trim(c), ",", ".").try_cast("double").isNotNull()
+
+
+def repeated(values: Column, counts: Column, each: int = 5, most: int = 180) -> Column:
+    """Every value as often as it counts (at most each times), in order, cut at most."""
+    many = F.zip_with(values, counts, lambda v, n: F.array_repeat(v, F.least(F.greatest(n, F.lit(0)), F.lit(each)).cast("int")))
+    return F.slice(F.flatten(many), 1, most)
+
+
+def json_field(c: Column, schema: str) -> Column:
+    """Parsed JSON, null for what can't be parsed."""
+    return F.from_json(c, schema)
+
+
+def in_bounds(top: Column, least: Column, duration: Column, kind: Column, kinds: tuple[str, ...]) -> Column:
+    """Whether a request is valid: 1 to 50 results, a least score of 0 to 1, no negative duration, a known kind of event."""
+    return top.between(1, 50) & least.between(0, 1) & F.coalesce(duration >= 0, F.lit(True)) & F.coalesce(kind.isin(*kinds), F.lit(True))

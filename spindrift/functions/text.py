@@ -17,8 +17,11 @@ cloudpickle.register_pickle_by_value(spindrift)
 
 TOKEN = r"[0-9A-Za-zА-Яа-яЁё]+"
 
-# Noise words of searching, noise words of keyword extraction, inflectional endings in the order they are tried, units of measure.
+# Noise words of searching, noise words of keyword extraction, words of purchasing, inflectional endings in the order they are tried,
+# units of measure, markers of works and of services.
 SEARCH_STOPWORDS = ("и", "в", "во", "на", "по", "для", "с", "со", "к", "ко", "из", "от", "до", "под", "над", "не", "или", "а", "но", "о", "об", "у", "the", "and", "for", "of", "to")
+KEYWORD_STOPWORDS = ("и", "в", "во", "на", "по", "под", "над", "для", "с", "со", "к", "ко", "из", "от", "до", "без", "при", "или", "а", "но", "не", "ни", "о", "об", "у", "же", "ли", "бы", "the", "and", "for", "of", "to", "n")
+SERVICE_WORDS = ("выполнение", "закупка", "оказание", "оказания", "приобретение", "поставка", "поставку", "работ", "работы", "товара", "товаров", "услуг", "услуги")
 ENDINGS = (
     "иями", "ями", "ами", "ией", "ией", "ого", "ему", "ому", "ыми", "ими", "его", "ого", "ая", "яя", "ое", "ее", "ые", "ие", "ий", "ый",
     "ой", "ам", "ям", "ах", "ях", "ом", "ем", "ов", "ев", "ей", "ую", "юю", "ия", "ья", "ие", "ье", "ию", "ью", "иям", "иях", "ию",
@@ -76,7 +79,7 @@ def unique_in_order(items: Column) -> Column:
     return F.array_distinct(F.filter(items, lambda x: x.isNotNull() & (x != "")))
 
 
-def extract_keywords(parts: list[Column], stopwords: tuple[str, ...] = SEARCH_STOPWORDS, limit: int = 24) -> Column:
+def extract_keywords(parts: list[Column], stopwords: tuple[str, ...] = KEYWORD_STOPWORDS, limit: int = 24) -> Column:
     """The first distinct informative tokens of several texts, joined."""
     tokens = F.concat(*[tokenize(p) for p in parts])
     return F.array_join(F.slice(F.array_distinct(F.filter(tokens, lambda t: ~is_noise(t, stopwords))), 1, limit), " ")
@@ -185,20 +188,56 @@ def truncate_words(c: Column, most: int) -> Column:
     return F.when(F.length(c) <= most, c).otherwise(F.concat(F.regexp_replace(short, r" [^ ]*$", ""), F.lit("…")))
 
 
-def query_variants(c: Column, service_words: tuple[str, ...], compact: int = 8) -> Column:
+def query_variants(c: Column, service_words: tuple[str, ...] = SERVICE_WORDS, compact: int = 8) -> Column:
     """Distinct (name, text) variants of a purchase name: whole, first clause, without service words, first tokens."""
     tokens = tokenize(c)
     stripped = F.filter(tokens, lambda t: ~t.isin(*service_words))
     clause = normalize_text(F.element_at(F.split(clean_text(c), r"[;,]| - "), 1))
-    made = [("full", F.array_join(tokens, " ")), ("clause", clause), ("stripped", F.array_join(stripped, " ")), ("compact", F.array_join(F.slice(stripped, 1, compact), " "))]
+    made = [("full", F.array_join(tokens, " ")), ("clause", clause), ("stripped", F.array_join(stripped, " ")), ("compact", F.array_join(F.slice(tokens, 1, compact), " "))]
     held = F.filter(F.array(*[F.struct(F.lit(n).alias("name"), t.alias("text")) for n, t in made]), lambda v: v["text"] != "")
     first = lambda kept, v: F.when(F.exists(kept, lambda k: k["text"] == v["text"]), kept).otherwise(F.concat(kept, F.array(v)))
     return F.aggregate(held, F.array().cast("array<struct<name:string,text:string>>"), first)
 
 
+def chosen_query(c: Column, service_words: tuple[str, ...] = SERVICE_WORDS, most: int = 12) -> Column:
+    """The (name, text) variant that asks best: stripped, then clause, compact, whole; of at most so many tokens and some telling one; null if there is none."""
+    order = {"stripped": 4, "clause": 3, "compact": 2, "full": 1}
+    place = lambda v: F.coalesce(*[F.when(v["name"] == n, p) for n, p in order.items()])
+    telling = lambda v: F.size(F.filter(F.split(v["text"], " "), lambda t: ~t.isin(*service_words)))
+    fit = F.filter(query_variants(c, service_words), lambda v: (F.size(F.split(v["text"], " ")) <= most) & (telling(v) > 0))
+    best = F.array_max(F.transform(fit, lambda v: F.struct(place(v).alias("p"), telling(v).alias("n"), (-F.size(F.split(v["text"], " "))).alias("m"), v["text"].alias("text"), v["name"].alias("name"))))
+    return F.when(best.isNotNull(), F.struct(best["name"].alias("name"), best["text"].alias("text")))
+
+
 def pseudo_queries(contract_name: Column, name: Column, category: Column, attributes: Column) -> Column:
-    """A map of five queries that could have led to a purchase."""
-    n, i, c, a = (normalize_text(x) for x in (contract_name, name, category, attributes))
-    join = lambda *xs: F.concat_ws(" ", *[F.nullif(x, F.lit("")) for x in xs])
-    made = {"contract": n, "name": i, "category": c, "name_category": join(i, c), "category_attributes": join(c, a)}
+    """A map of five queries that could have led to a purchase; contract and item name stand in for each other where one is empty."""
+    n, i, c, a = (F.nullif(normalize_text(x), F.lit("")) for x in (contract_name, name, category, attributes))
+    join = lambda *xs: F.concat_ws(" ", *xs)
+    made = {"contract": F.coalesce(n, i, F.lit("")), "name": F.coalesce(i, n, F.lit("")), "contract_category": join(n, c), "name_category": join(i, c), "name_category_attributes": join(i, c, a)}
     return F.create_map(*reduce(lambda xs, kv: [*xs, F.lit(kv[0]), kv[1]], made.items(), []))
+
+
+def document_text(name: Column, category: Column, keys: Column) -> Column:
+    """What stands for a product when texts are embedded: the name twice, category and keywords."""
+    n, c, k = (F.nullif(F.coalesce(x, F.lit("")), F.lit("")) for x in (name, category, keys))
+    return F.concat_ws(" ", n, n, c, k)
+
+
+def asked_text(corrected: Column, synonyms: Column, completions: Column, related: Column, fallback: Column) -> Column:
+    """What stands for a query: its distinct tokens, corrected ones first; the fallback if there are none."""
+    tokens = normalize_tokens(F.concat(corrected, synonyms, completions, related))
+    return F.when(F.size(tokens) > 0, F.array_join(tokens, " ")).otherwise(normalize_text(fallback))
+
+
+def needs_broad_retrieval(tokens: Column, completed: Column) -> Column:
+    """Whether a query should fetch more candidates: a completed token, or a short one that is no number."""
+    return completed | F.exists(tokens, lambda t: (F.length(t) <= 4) & ~t.rlike(r"^\d+$"))
+
+
+def meets_expectation(haystack: Column, every: Column, some: Column) -> Column:
+    """Whether a result's text holds all of one list and any of the other; empty lists ask nothing, but not both."""
+    text = normalize_text(haystack)
+    wanted = lambda xs: F.filter(F.transform(xs, normalize_text), lambda x: x != "")
+    every, some = wanted(every), wanted(some)
+    holds = F.forall(every, lambda x: F.contains(text, x)) & ((F.size(some) == 0) | F.exists(some, lambda x: F.contains(text, x)))
+    return holds & ((F.size(every) > 0) | (F.size(some) > 0))

@@ -28,7 +28,7 @@ def events(spark, sf_dir):
 
 
 def recency(last: str) -> str:
-    return f"CAST(coalesce(greatest(0, date_diff('day', {last}, day)), 3650) AS DOUBLE)"
+    return f"CAST(CASE WHEN {last} IS NULL THEN 3650 ELSE greatest(0, date_diff('day', {last}, day)) END AS DOUBLE)"
 
 
 @query(f"""WITH {EVENTS} SELECT {KEY}, count(*) OVER (PARTITION BY customer_id {BEFORE}) AS user_total, count(*) OVER (PARTITION BY customer_id, category {BEFORE}) AS user_category,

@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from spindrift.plans import personal, purchases, search  # noqa: F401
+from spindrift.plans import personal, purchases, rules, search  # noqa: F401
 from spindrift.plans.base import ORACLE_SQL, QUERIES  # noqa: F401

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from spindrift.functions import numbers as N
 from spindrift.functions import text as T
 from spindrift.operators import corpus as C
 from spindrift.operators import rewrite as R
@@ -32,7 +33,7 @@ def token_frequency(spark, sf_dir):
 
 
 @query(f"""WITH t AS (SELECT doc_id, {TOKENS.format('text')} AS w FROM documents),
-k AS (SELECT doc_id, list_filter(w, lambda x: NOT ({NOISE})) AS w FROM t),
+k AS (SELECT doc_id, list_filter(w, lambda x: NOT (x IN ('и', 'в', 'во', 'на', 'по', 'под', 'над', 'для', 'с', 'со', 'к', 'ко', 'из', 'от', 'до', 'без', 'при', 'или', 'а', 'но', 'не', 'ни', 'о', 'об', 'у', 'же', 'ли', 'бы', 'the', 'and', 'for', 'of', 'to', 'n') OR (length(x) = 1 AND NOT regexp_matches(x, '^[0-9]$')))) AS w FROM t),
 p AS (SELECT doc_id, x, min(i) AS i FROM (SELECT doc_id, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM k) GROUP BY ALL),
 f AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY i) <= 24)
 SELECT doc_id, coalesce(string_agg(x, ' ' ORDER BY i), '') AS keywords FROM documents LEFT JOIN f USING (doc_id) GROUP BY doc_id""")
@@ -169,9 +170,9 @@ def graph_embedding(spark, sf_dir):
     return V.graph_vectors(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
-@query("""SELECT doc_id, sha256(doc_id || '|' || lang || '|' || source) AS key FROM documents""")
+@query("""SELECT doc_id, 'documents:' || sha256('{"id":' || coalesce(CAST(doc_id AS VARCHAR), 'null') || ',"lang":' || coalesce('"' || lang || '"', 'null') || ',"source":' || coalesce('"' || source || '"', 'null') || '}') AS key FROM documents""")
 def cache_key(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(F.concat_ws("|", F.col("doc_id").cast("string"), "lang", "source"), 256).alias("key"))
+    return table(spark, sf_dir, "documents").select("doc_id", N.cache_key("documents", {"source": F.col("source"), "lang": F.col("lang"), "id": F.col("doc_id")}).alias("key"))
 
 
 @query("""WITH d AS (SELECT doc_id, n_chars FROM documents), r AS (SELECT *, row_number() OVER (ORDER BY n_chars DESC, doc_id) AS place, count(*) OVER () AS total FROM d)

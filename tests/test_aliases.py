@@ -1,5 +1,6 @@
 from pyspark.sql import functions as F
 
+from spindrift.functions import phrases as H
 from spindrift.operators import aliases as A
 
 
@@ -18,12 +19,12 @@ def test_dictionary(spark):
 
 def test_preview(spark):
     text = F.lit("Вес:1.50;Цвет:-;Назначение:для письма;Объем:16.00000")
-    assert one(spark, A.preview(text, ("назначение",))) == "Назначение: для письма; Вес: 1.5; Объем: 16"
+    assert one(spark, H.preview(text)) == "Назначение: для письма Цвет: - Вес: 1.5 Объем: 16"
 
 
 def test_prefix(spark):
     tokens = F.array(F.lit("ручка"), F.lit("синяя"))
-    assert one(spark, A.prefix_score(F.lit("руч"), tokens)) == 180.0
-    assert one(spark, A.prefix_score(F.lit("син"), tokens)) == 26.0
-    assert one(spark, A.prefix_score(F.lit("стол"), tokens)) == 0.0
+    assert one(spark, H.prefix_match(F.lit("руч"), tokens)) == 180.0
+    assert one(spark, H.prefix_match(F.lit("син"), tokens)) == 26.0
+    assert one(spark, H.prefix_match(F.lit("стол"), tokens)) == 0.0
     assert one(spark, A.abbreviation_like(F.lit("мфу"))) and not one(spark, A.abbreviation_like(F.lit("ручка")))

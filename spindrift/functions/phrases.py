@@ -25,7 +25,7 @@ NO_VALUES = ("", "0", "0.0", "0.00", "0.00000")
 
 
 def without_trailing_connectors(tokens: Column) -> Column:
-    last = F.array_max(F.transform(tokens, lambda t, i: F.when((F.length(t) > 1) & ~t.isin(*CONNECTORS), i + 1).otherwise(0)))
+    last = F.array_max(F.transform(tokens, lambda t, i: F.when((F.length(t) > 1) & ~F.array_contains(T.listed(CONNECTORS), t), i + 1).otherwise(0)))
     return F.slice(tokens, 1, F.coalesce(last, F.lit(0)))
 
 
@@ -55,7 +55,7 @@ def product_phrase(name: Column) -> Column:
     words = F.filter(before_first(T.tokenize(name), lambda t: has_digit(t) | t.isin(*MAKERS)), lambda t: F.length(t) > 1)
     longer = F.array_min(F.filter(F.transform(words, lambda t, i: F.when(F.length(t) > 2, i)), lambda i: i.isNotNull()))
     words = F.when(longer.isNull(), F.array().cast("array<string>")).otherwise(F.slice(words, longer + 1, F.size(words)))
-    rest = before_first(F.slice(words, 2, F.greatest(F.size(words), F.lit(1))), lambda t: t.isin(*FORMS))
+    rest = before_first(F.slice(words, 2, F.greatest(F.size(words), F.lit(1))), lambda t: F.array_contains(T.listed(FORMS), t))
     phrase = F.array_join(without_trailing_connectors(F.concat(F.slice(words, 1, 1), rest)), " ")
     return F.concat(F.upper(F.substring(phrase, 1, 1)), F.substring(phrase, 2, 1 << 20))
 
@@ -65,7 +65,7 @@ def significant_tokens(c: Column) -> Column:
 
 
 def significant(tokens: Column) -> Column:
-    return F.filter(tokens, lambda t: ~t.rlike("^[0-9]+$") & (F.length(t) > 2) & ~t.isin(*SMALL_UNITS))
+    return F.filter(tokens, lambda t: ~t.rlike("^[0-9]+$") & (F.length(t) > 2) & ~F.array_contains(T.listed(SMALL_UNITS), t))
 
 
 def prefix_match(query: Column, tokens: Column, secondary: bool = True) -> Column:

@@ -51,9 +51,14 @@ def normalize_text(c: Column) -> Column:
     return F.array_join(tokenize(c), " ")
 
 
+def listed(words: tuple[str, ...]) -> Column:
+    """The words as one constant, which keeps plans small where a rule is used often."""
+    return F.split(F.lit(" ".join(words)), " ")
+
+
 def is_noise(token: Column, stopwords: tuple[str, ...] = SEARCH_STOPWORDS) -> Column:
     """A stop-word, or one character that is no digit."""
-    return token.isin(*stopwords) | ((F.length(token) == 1) & ~token.rlike(r"^\d$"))
+    return F.array_contains(listed(stopwords), token) | ((F.length(token) == 1) & ~token.rlike(r"^\d$"))
 
 
 def normalize_tokens(tokens: Column) -> Column:
@@ -63,11 +68,9 @@ def normalize_tokens(tokens: Column) -> Column:
 
 def stem(token: Column) -> Column:
     """The token without the first listed ending that leaves three characters; short and numeric tokens stay."""
-    out = token
-    for ending in reversed(ENDINGS):
-        fits = F.endswith(token, F.lit(ending)) & (F.length(token) - len(ending) >= 3)
-        out = F.when(fits, F.substr(token, F.lit(1), F.length(token) - len(ending))).otherwise(out)
-    return F.when((F.length(token) <= 4) | token.rlike(r"^\d+$"), token).otherwise(out)
+    fits = F.filter(listed(ENDINGS), lambda e: F.endswith(token, e) & (F.length(token) - F.length(e) >= 3))
+    kept = (F.length(token) <= 4) | token.rlike(r"^\d+$")
+    return F.when(kept, token).otherwise(F.substr(token, F.lit(1), F.length(token) - F.coalesce(F.length(F.get(fits, F.lit(0))), F.lit(0))))
 
 
 def stem_tokens(tokens: Column) -> Column:

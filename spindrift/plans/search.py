@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from spindrift.functions import numbers as N
 from spindrift.functions import text as T
 from spindrift.operators import corpus as C
+from spindrift.operators import engine as E
 from spindrift.operators import rewrite as R
 from spindrift.operators import scoring as S
 from spindrift.operators import vectors as V
@@ -183,3 +184,22 @@ def pagination(spark, sf_dir):
     total = rows.agg(F.count("*").alias("total_found"))
     page = rows.orderBy(F.desc("n_chars"), "doc_id").offset(20).limit(10)
     return page.withColumn("one", F.lit(1)).join(F.broadcast(total.withColumn("one", F.lit(1))), "one").select("doc_id", "n_chars", "total_found", (F.col("total_found") > 30).alias("has_more"))
+
+
+def engine(spark, sf_dir):
+    """The products' index, and a few synonyms."""
+    rows = catalog(spark, sf_dir).withColumns({"attributes": F.lit("brand | size"), "key_tokens": T.extract_keywords([F.col("name"), F.col("category")])})
+    words = spark.createDataFrame([("large brass", "big metal"), ("ring", "band"), ("small", "little")], "source string, target string")
+    return E.built(rows, words)
+
+
+def asked_names(spark, sf_dir):
+    """The names of every twentieth product as queries."""
+    return catalog(spark, sf_dir).where(F.col("item_id") % 20 == 0).select(F.col("item_id").alias("query_id"), F.col("name").alias("query"))
+
+
+@query()
+def analyze_query(spark, sf_dir):
+    """What the engine makes of every twentieth product's name."""
+    out = E.analyze(asked_names(spark, sf_dir), engine(spark, sf_dir))
+    return out.select("query_id", "normalized", "corrected_query", *[F.array_join(c, " ").alias(c) for c in ("completions", "synonyms", "related", "stems", "expanded_stems")], "broad")

@@ -11,7 +11,8 @@ last two).  Two generative models of them are set against each other twice:
   share in labelled documents that are not toxic to that in all labelled ones, where it
   is below 1, over the root of the length.  It tells toxic texts, which differ in a few
   n-grams.  Shares are smoothed towards the usual one and each ratio is weighted by its
-  evidence, so n-grams of few documents count at every size and chance hardly does.
+  evidence, so n-grams of few documents count at every size and chance hardly does; what
+  is nearer to 0 than ``LEAST`` counts as 0.
 
 A document's log importance weight is what of these log ratios, in nats, lies below
 the threshold that labelled rows of a held-out fifth set (there a clean document lost
@@ -51,6 +52,8 @@ FOLDS = 5
 COST = 10
 #: Documents of the usual share that each share is smoothed by; the log likelihood ratio at which a feature counts half, and how steeply.
 SMOOTH, HALF, STEEP = 2.0, 8.0, 4
+#: Weighted log ratios nearer to 0 than this count as 0.
+LEAST = 0.01
 #: Words that lengths are smoothed by.
 FEW_WORDS = 20
 CHUNKS = 16
@@ -60,9 +63,7 @@ RAW, GOOD, TOXIC_DOCS, LABELLED_DOCS = range(4)
 
 def features(texts: pa.Array):
     """(index of the first text, word counts, feature buckets, text of each feature) block by block."""
-    four = texthash.blocks(texts, 4, 2)
-    five = texthash.blocks(texts, 5)
-    for (i, (whole, counts, head, tail, _)), (_, (_, _, longer, _, _)) in zip(four, five):
+    for i, (whole, counts, head, tail, _, longer) in texthash.blocks(texts, 4, 2, 5):
         doc = np.repeat(np.arange(len(counts)), counts)
         second = doc[1:] == doc[:-1]
         again = np.zeros(len(whole), bool)
@@ -170,7 +171,8 @@ def trained(vectors: np.ndarray, good_rows: int, known_rows: int, toxic_rows: in
     docs, clean, usual = v[LABELLED_DOCS], v[LABELLED_DOCS] - v[TOXIC_DOCS], 1 - toxic_rows / known_rows
     ratio = np.log((clean + SMOOTH * usual) / (docs + SMOOTH) / usual) if usual else np.zeros(BUCKETS)
     sure = np.maximum(evidence(clean, docs * usual) + evidence(docs - clean, docs * (1 - usual)), 0) ** STEEP
-    return Model(rate, np.minimum(ratio * sure / (sure + HALF**STEEP), 0.0))
+    signs = ratio * sure / (sure + HALF**STEEP)
+    return Model(rate, np.where(signs <= -LEAST, signs, 0.0))
 
 
 def threshold(good: np.ndarray, bad: np.ndarray) -> float:

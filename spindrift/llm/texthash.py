@@ -11,7 +11,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 U = np.uint64
 
 
@@ -46,10 +46,10 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return out[0], out[1]
 
 
-def words(data: np.ndarray, bounds: np.ndarray, up: np.ndarray, down: np.ndarray, head: int = 0, tail: int = 0):
-    """(hashes, words a text, head hashes, tail hashes, lengths) of the texts data[bounds[i]:bounds[i + 1]].
+def words(data: np.ndarray, bounds: np.ndarray, up: np.ndarray, down: np.ndarray, head: int = 0, tail: int = 0, longer: int = 0):
+    """(hashes, words a text, head hashes, tail hashes, lengths, longer head hashes) of the texts data[bounds[i]:bounds[i + 1]].
 
-    up and down: as many powers as there are bytes and one more.  head and tail: also hash each word's first and last so many bytes (whole words if shorter).
+    up and down: as many powers as there are bytes and one more.  head, longer and tail: also hash each word's first and last so many bytes (whole words if shorter).
     """
     n = len(data)
     space = SPACE[data]
@@ -74,6 +74,7 @@ def words(data: np.ndarray, bounds: np.ndarray, up: np.ndarray, down: np.ndarray
         spans(starts, np.minimum(starts + head, ends)) if head else None,
         spans(np.maximum(ends - tail, starts), ends) if tail else None,
         ends - starts,
+        spans(starts, np.minimum(starts + longer, ends)) if longer else None,
     )
 
 
@@ -88,7 +89,7 @@ def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return whole[bounds[0] : bounds[-1]], bounds - bounds[0]
 
 
-def blocks(texts: pa.Array, head: int = 0, tail: int = 0):
+def blocks(texts: pa.Array, head: int = 0, tail: int = 0, longer: int = 0):
     """(index of the first text, what ``words`` gives) for blocks of texts of about BLOCK bytes.
 
     A text longer than a block is hashed in parts that end at spaces, so memory
@@ -101,7 +102,7 @@ def blocks(texts: pa.Array, head: int = 0, tail: int = 0):
         j = max(i + 1, int(np.searchsorted(bounds, bounds[i] + BLOCK, side="right")) - 1)
         own = data[bounds[i] : bounds[j]]
         if len(own) <= 2 * BLOCK:
-            yield i, words(own, bounds[i : j + 1] - bounds[i], up, down, head, tail)
+            yield i, words(own, bounds[i : j + 1] - bounds[i], up, down, head, tail, longer)
         else:
             parts, at = [], 0
             while at < len(own):
@@ -111,7 +112,7 @@ def blocks(texts: pa.Array, head: int = 0, tail: int = 0):
                     stop = stop + int(gap[0]) if len(gap) else min(stop + BLOCK, len(own))
                 if stop - at >= len(up):
                     up, down = powers(stop - at + 1)
-                parts.append(words(own[at:stop], np.array([0, stop - at]), up, down, head, tail))
+                parts.append(words(own[at:stop], np.array([0, stop - at]), up, down, head, tail, longer))
                 at = stop
             joined = [np.concatenate(p) if p[0] is not None else None for p in zip(*parts)]
             joined[1] = np.array([joined[1].sum()])

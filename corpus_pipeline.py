@@ -1,8 +1,8 @@
 """The corpus pipeline: five stages over documents, each written and read again.
 
 Every stage but the last returns the columns of documents.  No SQL gives the rows of
-``run``: two stages fit models or search similar sets, so the tests hold it against
-a brute-force version.
+``run``: two stages fit models or search similar sets.  The tests hold each stage's
+operator against brute force, and the whole to its columns, ids and counts alone.
 """
 
 from __future__ import annotations

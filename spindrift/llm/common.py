@@ -25,6 +25,9 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BROADCAST_ROWS = 1_000_000
 #: Keys that hold more than this part of all rows, of which there can't be more than this many, are told to all tasks.
 MANY = 500_000
+#: Bytes of an Arrow batch of whole texts: a task holds a few of them beside each other, in the JVM and in Python.
+BATCH_BYTES = 4 << 20
+BATCH_SETTING, USUAL_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
 
 
 def trim() -> None:
@@ -46,6 +49,14 @@ def frugal(run):
     return wrapped
 
 
+def map_texts(df: DataFrame, run, schema: str) -> DataFrame:
+    """df.mapInArrow for rows with whole texts: in batches of ``BATCH_BYTES`` (set on the session where it has Spark's usual value), with memory given back."""
+    conf = df.sparkSession.conf
+    if conf.get(BATCH_SETTING, USUAL_BATCH) == USUAL_BATCH:
+        conf.set(BATCH_SETTING, f"{BATCH_BYTES}b")
+    return df.mapInArrow(frugal(run), schema)
+
+
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder that ``spark.checkpoint.dir`` names.  Where it is unset, a temporary one if the driver is all there is (tests), else an error."""
     context = spark.sparkContext

@@ -44,7 +44,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spindrift.llm import texthash
-from spindrift.llm.common import MANY, frugal, left_join, materialise, small_side, trim
+from spindrift.llm.common import MANY, left_join, map_texts, materialise, small_side, trim
 from spindrift.llm.components import components
 
 U = np.uint64
@@ -188,7 +188,7 @@ def tell(given: DataFrame, n: int, bits: int) -> DataFrame:
         if held.rows:
             yield told(list(held.told(bits)))
 
-    return given.mapInArrow(frugal(run), TOLD)
+    return map_texts(given, run, TOLD)
 
 
 def shared_tokens(lists: DataFrame, bits: int) -> DataFrame:

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from spindrift.llm.common import frugal, materialise, small_side
+from spindrift.llm.common import map_texts, materialise, small_side
 from spindrift.llm.tokens import WordTokenizer
 
 CAPACITY = 2048
@@ -77,7 +77,7 @@ def cut(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, ident: str =
                 yield table(rows)
 
     given = docs.select(F.col(ident).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return materialise(given.mapInArrow(frugal(run), PIECES), "pieces")
+    return materialise(map_texts(given, run, PIECES), "pieces")
 
 
 def knapsack(values: np.ndarray, sizes: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:

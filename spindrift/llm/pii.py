@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spindrift.llm.common import frugal
+from spindrift.llm.common import map_texts
 
 KINDS = ("email", "ip", "card", "phone")
 MORE_KINDS = ("iban", "ssn", "local_phone")
@@ -211,7 +211,7 @@ def detect(docs: DataFrame, text: str = "text", mask: bool = False, name: str =
     names = [f"c{i}" for i in range(len(kept))]  # clashing names travel as numbers
     given = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(kept, names)], F.col(f"`{text}`").alias("__text"))
     schema = ", ".join([*(f"{n} {given.schema[n].dataType.simpleString()}" for n in names), fields])
-    out = given.mapInArrow(frugal(run), schema)
+    out = map_texts(given, run, schema)
     back = [F.col("masked" if mask and c == text else n).alias(c) for c, n in zip(kept, names)]
     return out.select(*back, F.col("spans").alias(name))
 

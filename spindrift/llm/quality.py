@@ -43,7 +43,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spindrift.llm import texthash
-from spindrift.llm.common import frugal, materialise
+from spindrift.llm.common import map_texts, materialise
 
 SAMPLE = 200_000
 BUCKETS = 1 << 18
@@ -120,7 +120,7 @@ def counted(rows: DataFrame) -> tuple[np.ndarray, int, int, int]:
         return pa.table({"chunk": table["chunk"][:1], "lane": table["lane"][:1], "data": pa.array([zstandard.ZstdCompressor().compress(total.tobytes())], pa.binary())})
 
     schema = "chunk int, lane int, data binary"
-    parts = rows.select("text", "kind", "fold", F.coalesce(F.col("toxic") == 1, F.lit(False)).alias("toxic")).mapInArrow(frugal(count), schema)
+    parts = map_texts(rows.select("text", "kind", "fold", F.coalesce(F.col("toxic") == 1, F.lit(False)).alias("toxic")), count, schema)
     # two levels, so no task adds the vectors of more than a 64th of all tasks
     sums = parts.groupBy("chunk", "lane").applyInArrow(add, schema).groupBy("chunk").applyInArrow(add, schema)
     held = {r["chunk"]: np.frombuffer(zstandard.ZstdDecompressor().decompress(bytes(r["data"])), np.int64) for r in sums.collect()}
@@ -206,7 +206,7 @@ def scored(rows: DataFrame, model: Model) -> DataFrame:
             yield pa.RecordBatch.from_arrays(arrays, names=names)
 
     given = rows.select(F.col("doc_id").cast("long"), "text", gumbel("doc_id", "text").alias("noise"), "kind", F.col("quality").cast("int"), F.col("toxic").cast("int"), "fold")
-    return given.mapInArrow(frugal(run), SCORES)
+    return map_texts(given, run, SCORES)
 
 
 def kth_largest(df: DataFrame, column: str, k: int, bins: int = 4096, few: int = 10_000) -> float:
@@ -276,4 +276,4 @@ def keep(docs: DataFrame, labels: DataFrame, ident: str = "doc_id", text: str =
 
     given = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, names)], F.col(text).alias("__text"), gumbel(ident, text).alias("__noise"))
     schema = ", ".join(f"{n} {given.schema[n].dataType.simpleString()}" for n in names)
-    return given.mapInArrow(frugal(run), schema).select(*[F.col(n).alias(c) for c, n in zip(docs.columns, names)])
+    return map_texts(given, run, schema).select(*[F.col(n).alias(c) for c, n in zip(docs.columns, names)])

@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spindrift.llm.common import frugal, materialise, place, qualified
+from spindrift.llm.common import map_texts, materialise, place, qualified
 from spindrift.llm.texthash import mix
 from spindrift.llm.tokens import WordTokenizer
 
@@ -103,7 +103,7 @@ def sequences(docs: DataFrame, tokenizer: str, length: int = LENGTH, ident: str
             yield table()
 
     given = docs.select(F.col(ident).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return materialise(given.mapInArrow(frugal(run), CUT), "sequences")
+    return materialise(map_texts(given, run, CUT), "sequences")
 
 
 def shard_name(shard: int) -> str:

@@ -8,6 +8,7 @@ from spindrift.functions import numbers as N
 from spindrift.functions import text as T
 from spindrift.operators import corpus as C
 from spindrift.operators import engine as E
+from spindrift.operators import retrieval as RT
 from spindrift.operators import rewrite as R
 from spindrift.operators import scoring as S
 from spindrift.operators import vectors as V
@@ -203,3 +204,9 @@ def analyze_query(spark, sf_dir):
     """What the engine makes of every twentieth product's name."""
     out = E.analyze(asked_names(spark, sf_dir), engine(spark, sf_dir))
     return out.select("query_id", "normalized", "corrected_query", *[F.array_join(c, " ").alias(c) for c in ("completions", "synonyms", "related", "stems", "expanded_stems")], "broad")
+
+
+@query()
+def search_results(spark, sf_dir):
+    """Products found for the name of every twentieth among all: twenty a query, the limit is the feature."""
+    return RT.search(asked_names(spark, sf_dir), engine(spark, sf_dir))

@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from spindrift.operators import engine as E
+from spindrift.operators import retrieval as RT
 from spindrift.operators import scoring as S
 
 ROWS = [
@@ -55,3 +56,24 @@ def test_soft_overlap(spark):
     words = spark.createDataFrame([("ручка", 1)], "token string, frequency long")
     got = {r["item_id"]: r["overlap"] for r in E.soft_overlaps(pairs, edges, words, 0).collect()}
     assert abs(got[1] - (1 + 0.58) / 2) < 1e-9 and got[2] == 0.0
+
+
+def test_search(asked, index):
+    rows = RT.search(asked, index, least=0.55).collect()
+    got = {}
+    for r in sorted(rows, key=lambda r: (r["query_id"], r["rank"])):
+        got.setdefault(QUERIES[r["query_id"]], []).append(r)
+    assert [r["item_id"] for r in got["парацетамол 500 мг"]][0] == 3 and [r["item_id"] for r in got["парацетомол 500 мг"]][0] == 3
+    assert got["флешка 16 гб"][0]["item_id"] == 2 and got["флешка 16 гб"][0]["synonym_bonus"] == 1.0 and got["мног"][0]["item_id"] == 4
+    assert got["бутылочное горлышко"][0]["item_id"] == 5 and {r["item_id"] for r in got["дефибриллятор наружный"]} >= {6}
+    assert "" not in got and None not in got and "зззззз" not in got
+    for found in got.values():
+        assert [r["rank"] for r in found] == list(range(1, len(found) + 1)) and {r["total_found"] for r in found} == {len(found)} and not found[0]["has_more"]
+        assert [r["score"] for r in found] == sorted((r["score"] for r in found), reverse=True)
+
+
+def test_search_pages(asked, index):
+    one = asked.where("query = 'парацетамол 500 мг'")
+    whole = [r["item_id"] for r in RT.search(one, index, least=0.0).orderBy("rank").collect()]
+    first, second = (RT.search(one, index, limit=1, offset=i, least=0.0).collect() for i in (0, 1))
+    assert [r["item_id"] for r in first + second] == whole[:2] and first[0]["has_more"]

@@ -383,15 +383,11 @@ def keyed_sets(sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     return pairs, stars.unionByName(longer) if most > COLD else stars
 
 
-def links(sets: DataFrame, percent: int) -> DataFrame:
-    """a, b: verified links that connect what the threshold connects.  sets: node (unique), doc, n, tokens, keys."""
-    pairs, stars = keyed_sets(sets, percent)
-    one = sets.select(F.col("node").alias("a"), F.col("doc").alias("da"), F.col("n").alias("na"), F.col("tokens").alias("ta"))
-    two = sets.select(F.col("node").alias("b"), F.col("doc").alias("db"), F.col("n").alias("nb"), F.col("tokens").alias("tb"))
-    shared = F.size(F.array_intersect("ta", "tb"))
-    cold = pairs.join(one, "a").join(two, "b").where(shared * 100 >= (F.col("na") + F.col("nb") - shared) * percent).select(F.col("da").alias("a"), F.col("db").alias("b"))
+def deal(clusters: DataFrame, percent: int) -> DataFrame:
+    """component, node, p, i, q, j: the pairs of blocks of its cluster that a set belongs to, so that all sets which can link meet in one.
 
-    clusters = components(stars, "clusters").join(sets.select("node", "n"), "node")
+    clusters: component, node, n (size of the set).  A block holds some ``BLOCK`` sets and ``BLOCK_TOKENS`` tokens.
+    """
     # bands of sizes: sets that link are in the same or in neighbouring ones
     width = -math.log(percent / 100) * 1.0001 if percent < 100 else 1e-6
     large = clusters.groupBy("component").agg(F.count("*").alias("m"), F.sum("n").alias("t")).where((F.col("m") > BLOCK) | (F.col("t") > BLOCK_TOKENS))
@@ -407,7 +403,18 @@ def links(sets: DataFrame, percent: int) -> DataFrame:
     others = lambda name, make: F.when(F.col(name).isNotNull(), F.transform(F.sequence(F.lit(0), F.col(name) - 1), make)).otherwise(F.array())
     above = others("above", lambda o: F.struct(F.col("band").alias("p"), F.col("block").alias("i"), (F.col("band") + 1).alias("q"), o.alias("j")))
     below = others("below", lambda o: F.struct((F.col("band") - 1).alias("p"), o.alias("i"), F.col("band").alias("q"), F.col("block").alias("j")))
-    dealt = placed.select("component", "node", F.explode(F.concat(own, above, below)).alias("to")).select("component", "node", "to.*")
+    return placed.select("component", "node", F.explode(F.concat(own, above, below)).alias("to")).select("component", "node", "to.*")
+
+
+def links(sets: DataFrame, percent: int) -> DataFrame:
+    """a, b: verified links that connect what the threshold connects.  sets: node (unique), doc, n, tokens, keys."""
+    pairs, stars = keyed_sets(sets, percent)
+    one = sets.select(F.col("node").alias("a"), F.col("doc").alias("da"), F.col("n").alias("na"), F.col("tokens").alias("ta"))
+    two = sets.select(F.col("node").alias("b"), F.col("doc").alias("db"), F.col("n").alias("nb"), F.col("tokens").alias("tb"))
+    shared = F.size(F.array_intersect("ta", "tb"))
+    cold = pairs.join(one, "a").join(two, "b").where(shared * 100 >= (F.col("na") + F.col("nb") - shared) * percent).select(F.col("da").alias("a"), F.col("db").alias("b"))
+
+    dealt = deal(components(stars, "clusters").join(sets.select("node", "n"), "node"), percent)
     dealt = dealt.join(sets.select("node", "doc", "n", "tokens"), "node")
 
     def verify(group: pa.Table) -> pa.Table:
@@ -422,6 +429,19 @@ def links(sets: DataFrame, percent: int) -> DataFrame:
     return cold.unionByName(warm)
 
 
+def labelled(rows: DataFrame, classes: DataFrame, linked: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, class_id, component_id of rows (doc, n, sig), from classes (sig, m, class_id: its least id) and links of class ids (a, b)."""
+    named = rows.where("sig IS NOT NULL AND doc IS NOT NULL").select("doc", "sig")
+    # rows that share an id and differ in text
+    ids = named.groupBy("doc").agg(F.min("sig").alias("x"), F.max("sig").alias("y")).where("x <> y").select("doc")
+    same = named.join(ids, "doc", "left_semi").join(classes, "sig").select(F.col("doc").alias("a"), F.col("class_id").alias("b"))
+    found = components(linked.unionByName(same))
+    told = classes.join(found, F.col("class_id") == F.col("node"), "left").where("m > 1 OR component IS NOT NULL").select("sig", "class_id", "component")
+    out = left_join(rows.select("doc", "n", "sig"), materialise(told, "told"), "sig")
+    label = F.coalesce("component", "class_id", "doc")
+    return out.select(F.col("doc").alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), F.coalesce("class_id", "doc").alias("class_id"), F.when(F.col("doc").isNotNull(), label).alias("component_id"))
+
+
 def near_duplicates(docs: DataFrame, n: int = 4, percent: int = 85, ident: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, class_id (least id with the same set), component_id of every row."""
     given = docs.select(F.col(f"`{ident}`").cast("long").alias("doc"), F.col(f"`{text}`").alias("text"))
@@ -434,14 +454,7 @@ def near_duplicates(docs: DataFrame, n: int = 4, percent: int = 85, ident: str =
     own = (F.col("doc") == F.col("class_id")) & (F.col("list") == F.col("class_list"))
     stand = materialise(rows.where("node IS NOT NULL").select("node", "sig", "doc", "list").join(classes, "sig").where(own).select("node"), "stand")
     sets = rows.where("node IS NOT NULL").join(small_side(stand, stand.count()), "node", "left_semi")
-    # rows that share an id and differ in text
-    ids = named.groupBy("doc").agg(F.min("sig").alias("x"), F.max("sig").alias("y")).where("x <> y").select("doc")
-    same = named.join(ids, "doc", "left_semi").join(classes, "sig").select(F.col("doc").alias("a"), F.col("class_id").alias("b"))
-    found = components(links(sets, percent).unionByName(same))
-    told = classes.join(found, F.col("class_id") == F.col("node"), "left").where("m > 1 OR component IS NOT NULL").select("sig", "class_id", "component")
-    out = left_join(rows.select("doc", "n", "sig"), materialise(told, "told"), "sig")
-    label = F.coalesce("component", "class_id", "doc")
-    return out.select(F.col("doc").alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), F.coalesce("class_id", "doc").alias("class_id"), F.when(F.col("doc").isNotNull(), label).alias("component_id"))
+    return labelled(rows, classes, links(sets, percent))
 
 
 def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80, ident: str = "doc_id", text: str = "text") -> DataFrame:

@@ -71,7 +71,7 @@ def test_session_windows_agree(spark, small, tmp_path):
     raw = spark.read.parquet(f"{small}/events.parquet")
     source = str(tmp_path / "in")
     raw.withColumn("ts", F.col("ts").cast("timestamp")).repartition(1).write.parquet(source)
-    late = raw.withColumns({"ts": F.lit("2099-01-01").cast("timestamp"), "user_id": F.lit(-1)}).limit(1)
+    late = raw.withColumns({"ts": F.lit("2099-01-01").cast("timestamp"), "user_id": F.lit(-1).cast("long")}).limit(1)
     late.write.mode("append").parquet(source)
     stream = spark.readStream.schema(spark.read.parquet(source).schema).option("maxFilesPerTrigger", 1).parquet(source)
     windows.session_counts(stream).writeStream.outputMode("append").format("memory").queryName("closed").trigger(availableNow=True).start().awaitTermination(120)

@@ -7,8 +7,9 @@ Dense similarity is 0 unless a table of it is given.
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -23,14 +24,25 @@ FIELDS = {"name": 3.7, "category": 2.1, "key_tokens": 0.7}
 CANDIDATES, BROAD = 250, 400
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """df computed once, in the shared folder that ``spark.checkpoint.dir`` names; where it is unset a temporary one serves a local driver, else it is an error."""
-    context = df.sparkSession.sparkContext
+def shared_root(spark: SparkSession) -> str:
+    """The shared folder that ``spark.checkpoint.dir`` names; where it is unset a temporary one serves a local driver, else it is an error."""
+    context = spark.sparkContext
     if not context.getCheckpointDir():
-        root = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        root = spark.conf.get("spark.checkpoint.dir", None)
         if not root and not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         context.setCheckpointDir(root or tempfile.mkdtemp(prefix="spindrift-"))
+    return context.getCheckpointDir().rstrip("/")
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A fresh path in the shared folder."""
+    return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """df computed once, in the shared folder."""
+    shared_root(df.sparkSession)
     return df.checkpoint()
 
 

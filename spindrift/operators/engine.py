@@ -14,6 +14,9 @@ from spindrift.functions import numbers as N
 from spindrift.functions import text as T
 from spindrift.operators import corpus as C
 from spindrift.operators import rewrite as R
+from spindrift.operators.dense import Dense
+from spindrift.operators.index import Catalog
+from spindrift.operators.shared import shared_path
 
 
 def none() -> Column:
@@ -22,22 +25,51 @@ def none() -> Column:
 
 @dataclass
 class Index:
-    """What a search needs: products (item_id, name, category, attributes, key_tokens), words, related words, synonyms, the number of products."""
+    """What a search needs: the stored products, words, related words, synonyms, how many products there are and how long they are."""
 
+    store: Catalog
     catalog: DataFrame
     vocabulary: DataFrame
     edges: DataFrame
     dictionary: DataFrame
     total: int
+    mean: float
+    dense: Dense | None = None
 
 
-def built(catalog: DataFrame, dictionary: DataFrame, least_frequency: int = 10) -> Index:
-    """The index of products with name, category, attributes (keys between bars) and key_tokens.
+WORD_COLUMNS = ["name", "category", "key_tokens"]
+
+
+def rebuild_words(store: Catalog) -> None:
+    """Writes the frequencies of the products' words anew, and nothing else."""
+    C.token_frequency(store.rows(), *WORD_COLUMNS).write.mode("overwrite").parquet(f"{store.path}/vocabulary")
+
+
+def rebuild_edges(store: Catalog, least_frequency: int = 10) -> None:
+    """Writes the graph of related words anew, and nothing else."""
+    C.cooccurrence(store.rows(), "item_id", WORD_COLUMNS, least_frequency).write.mode("overwrite").parquet(f"{store.path}/edges")
+
+
+def rebuild_dictionary(store: Catalog, dictionary: DataFrame) -> None:
+    """Writes the synonyms (source, target) anew, and nothing else."""
+    dictionary.select("source", "target").write.mode("overwrite").parquet(f"{store.path}/dictionary")
+
+
+def opened(spark, path: str) -> Index:
+    """The index that ``built`` stored; dense vectors serve if they fit it."""
+    store = Catalog.open(spark, path)
+    read = lambda name: spark.read.parquet(f"{path}/{name}")
+    return Index(store, store.rows(), read("vocabulary"), read("edges"), read("dictionary"), *store.size(), dense=Dense.open(spark, path))
 
-    Words and related words are kept, as they serve every search.
-    """
-    columns = ["name", "category", "key_tokens"]
-    return Index(catalog, C.token_frequency(catalog, *columns).cache(), C.cooccurrence(catalog, "item_id", columns, least_frequency).cache(), dictionary.cache(), catalog.count())
+
+def built(catalog: DataFrame, dictionary: DataFrame, least_frequency: int = 10, path: str | None = None) -> Index:
+    """The index of products with name, category, attributes (keys between bars) and key_tokens, stored below path (a fresh one by default)."""
+    path = path or shared_path(catalog.sparkSession, "index")
+    store = Catalog.create(catalog, path)
+    rebuild_words(store)
+    rebuild_edges(store, least_frequency)
+    rebuild_dictionary(store, dictionary)
+    return opened(catalog.sparkSession, path)
 
 
 def inflection_only(a: Column, b: Column) -> Column:
@@ -79,25 +111,37 @@ def analyze(queries: DataFrame, index: Index) -> DataFrame:
     })
 
 
-def soft_overlaps(pairs: DataFrame, edges: DataFrame, vocabulary: DataFrame, total: int) -> DataFrame:
-    """query_id, item_id, overlap: the mean of both ways' share of tokens (by inverse frequency) that the other text has something like.
-
-    pairs: query_id, item_id, left, right (arrays of distinct tokens).  Tokens with one stem are alike, then those of nearly
-    the same n-grams, then those that an edge relates.
-    """
-    met = pairs.select("query_id", "item_id", F.explode("left").alias("l"), "right").select("query_id", "item_id", "l", F.explode("right").alias("r"))
+def likeness(pairs: DataFrame, edges: DataFrame) -> DataFrame:
+    """l, r, like of token pairs (l, r) that are alike at all: of one stem, of nearly the same n-grams, or related by an edge."""
     there = edges.select(F.col("token").alias("l"), F.col("neighbor").alias("r"), F.col("score").alias("there"))
     back = edges.select(F.col("neighbor").alias("l"), F.col("token").alias("r"), F.col("score").alias("back"))
-    held = met.select("l", "r").distinct().join(there, ["l", "r"], "left").join(back, ["l", "r"], "left")
+    held = pairs.join(there, ["l", "r"], "left").join(back, ["l", "r"], "left")
     surface = T.jaccard(T.char_ngrams(F.col("l")), T.char_ngrams(F.col("r")))
     edge = F.greatest(F.coalesce("there", F.lit(0.0)), F.coalesce("back", F.lit(0.0)))
     like = F.greatest(F.when(surface >= 0.82, F.least(F.lit(0.96), 0.55 + 0.45 * surface)).otherwise(0.0), F.when(edge > 0, F.least(F.lit(0.88), 0.22 + 1.8 * edge)).otherwise(0.0))
-    likes = held.select("l", "r", F.when(T.stem(F.col("l")) == T.stem(F.col("r")), 1.0).otherwise(like).alias("like"))
-    full = met.join(likes, ["l", "r"])
+    return held.select("l", "r", F.when(T.stem(F.col("l")) == T.stem(F.col("r")), 1.0).otherwise(like).alias("like")).where("like > 0")
 
-    def way(side: str) -> DataFrame:
-        best = full.groupBy("query_id", "item_id", F.col(side).alias("token")).agg(F.max("like").alias("like"))
-        weighed = best.join(vocabulary.select("token", "frequency"), "token", "left").withColumn("w", N.idf(F.coalesce("frequency", F.lit(0)), F.lit(float(total))))
-        return weighed.groupBy("query_id", "item_id").agg((F.sum(F.col("w") * F.col("like")) / F.sum("w")).alias(side))
 
-    return way("l").join(way("r"), ["query_id", "item_id"]).select("query_id", "item_id", ((F.col("l") + F.col("r")) / 2).alias("overlap"))
+def soft_overlaps(pairs: DataFrame, edges: DataFrame, vocabulary: DataFrame, total: int) -> DataFrame:
+    """query_id, item_id, overlap: the mean of both ways' share of tokens (by inverse frequency) that the other text has something like.
+
+    pairs: query_id, item_id, left, right (arrays of distinct tokens).  Each pair of tokens is compared once.  What a text's tokens are like and
+    weigh goes to the text, one row a distinct text; the overlap is then a matter of one row.
+    """
+    words = pairs.select(F.explode("left").alias("l"), "right").select("l", F.explode("right").alias("r")).distinct()
+    like = likeness(words, edges).groupBy("l").agg(F.map_from_entries(F.collect_list(F.struct("r", "like"))).alias("like"))
+    weight = vocabulary.select("token", "frequency")
+
+    def weighed(side: str) -> DataFrame:
+        each = pairs.select(side).distinct().withColumn("text", F.xxhash64(side)).select("text", side, F.explode(side).alias("token")).join(weight, "token", "left")
+        return each.withColumn("w", N.idf(F.coalesce("frequency", F.lit(0)), F.lit(float(total))))
+
+    # the map of a token that is like nothing is null, and so is what is looked up in it
+    left = weighed("left").join(like.withColumnRenamed("l", "token"), "token", "left").groupBy("left").agg(F.collect_list(F.struct("w", "like")).alias("held"))
+    right = weighed("right").groupBy("right").agg(F.collect_list(F.struct("token", "w")).alias("words"))
+    full = pairs.join(left, "left").join(right, "right")
+    found = lambda e, r: F.coalesce(F.try_element_at(e["like"], r["token"]), F.lit(0.0))
+    best_right = lambda e: F.array_max(F.transform("words", lambda r: found(e, r)))
+    best_left = lambda r: F.array_max(F.transform("held", lambda e: found(e, r)))
+    mean = lambda items, best: F.aggregate(items, F.lit(0.0), lambda s, e: s + e["w"] * best(e)) / F.aggregate(items, F.lit(0.0), lambda s, e: s + e["w"])
+    return full.select("query_id", "item_id", ((mean("held", best_right) + mean("words", best_left)) / 2).alias("overlap"))

@@ -1,92 +1,72 @@
 """Search end to end: candidates of analysed queries, their features, the ranked page.
 
 All queries of a batch run together.  What a query keeps is bounded by its limits, so the windows by query are too.
-Dense similarity is 0 unless a table of it is given.
+Dense similarity is 0 unless the index has vectors or a table of it is given.
 """
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from spindrift.functions import text as T
-from spindrift.operators import corpus as C
 from spindrift.operators import engine as E
 from spindrift.operators import scoring as S
+from spindrift.operators.index import FIELDS, best_rows
+from spindrift.operators.shared import stored
 
-# Weights of the fields, those of a field's raw and normalised text added (1.6 + 2.1, 0.9 + 1.2, 0.7).
-FIELDS = {"name": 3.7, "category": 2.1, "key_tokens": 0.7}
 # How many candidates a query gets, and a broad one at least.
 CANDIDATES, BROAD = 250, 400
 
 
-def shared_root(spark: SparkSession) -> str:
-    """The shared folder that ``spark.checkpoint.dir`` names; where it is unset a temporary one serves a local driver, else it is an error."""
-    context = spark.sparkContext
-    if not context.getCheckpointDir():
-        root = spark.conf.get("spark.checkpoint.dir", None)
-        if not root and not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        context.setCheckpointDir(root or tempfile.mkdtemp(prefix="spindrift-"))
-    return context.getCheckpointDir().rstrip("/")
-
-
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder."""
-    return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame) -> DataFrame:
-    """df computed once, in the shared folder."""
-    shared_root(df.sparkSession)
-    return df.checkpoint()
-
-
-def matched(analysed: DataFrame, index: E.Index, terms: Column, most: int) -> DataFrame:
-    """query_id, item_id, rank of the products that hold words which begin with one of a query's terms."""
-    asked = stored(analysed.select("query_id", F.explode(F.array_distinct(terms)).alias("prefix")).where("prefix <> ''"))
-    fields = list(FIELDS)
-    held = C.postings(index.catalog, "item_id", fields, asked.select("prefix").distinct())
-    best = C.bm25(held, C.field_stats(index.catalog, fields), asked, FIELDS, top=most)
-    return best.select("query_id", F.col("row").alias("item_id"), "rank")
+def matched(asked: DataFrame, index: E.Index, most: int) -> DataFrame:
+    """query_id, item_id, rank of the products that hold words which begin with one of a query's prefixes.  asked: query_id, prefix."""
+    asked = stored(asked.where("prefix <> ''").distinct())
+    hits = stored(index.store.hits(asked.select("prefix").distinct()))
+    return best_rows(hits, asked, index.total, index.mean, most).select("query_id", "item_id", "rank")
 
 
 def candidates(analysed: DataFrame, index: E.Index, limit: int = CANDIDATES) -> DataFrame:
-    """query_id, item_id: the best products by the words asked for, then by related words, of which a query gets more the fewer it has by the former."""
+    """query_id, item_id, source: the best products by the words asked for (0), by related words (1), by their vectors (2).
+
+    Related words and vectors bring the more products the fewer the words found.  What several find has the first of them as its source.
+    """
     long = lambda c: F.filter(c, lambda x: F.length(x) >= 3)
     most = max(limit, BROAD)
     sized = analysed.withColumn("most", F.when(F.col("broad"), most).otherwise(limit))
-    lexical = matched(analysed, index, F.concat("corrected", long(F.col("lexical_stems"))), most)
-    lexical = stored(lexical.join(sized.select("query_id", "most"), "query_id").where(F.col("rank") <= F.col("most")).select("query_id", "item_id"))
+    words = analysed.select("query_id", F.explode(F.concat("corrected", long(F.col("lexical_stems")))).alias("prefix"))
+    near = analysed.select("query_id", F.explode(long(F.col("related_stems"))).alias("prefix"))
+    # both kinds of question go to the index at once
+    both = words.select(F.struct(F.lit(0).alias("source"), "query_id").alias("query_id"), "prefix").unionByName(near.select(F.struct(F.lit(1).alias("source"), "query_id").alias("query_id"), "prefix"))
+    found = stored(matched(both, index, max(most, 120)).select("query_id.source", "query_id.query_id", "item_id", "rank"))
+    lexical = found.where("source = 0").join(sized.select("query_id", "most"), "query_id").where(F.col("rank") <= F.col("most"))
     hits = lexical.groupBy("query_id").agg(F.count("*").alias("hits"))
-    part = lambda n: F.floor(F.col("most") / n)
-    few = (
-        F.when(F.size("related") == 0, 0)
-        .when(F.coalesce("hits", F.lit(0)) == 0, F.greatest("most", F.lit(80)))
-        .when(F.size("corrected") <= 1, F.least(F.greatest(F.lit(40), part(2)), F.lit(120)))
-        .otherwise(F.least(F.greatest(F.lit(30), part(3)), F.lit(80)))
-    )
-    limits = sized.join(hits, "query_id", "left").select("query_id", few.alias("few"))
-    near = matched(analysed, index, long(F.col("related_stems")), max(most, 120)).join(limits, "query_id").where(F.col("rank") <= F.col("few"))
-    return lexical.unionByName(near.select("query_id", "item_id")).distinct()
+    part = lambda least, n, cap: F.least(F.greatest(F.lit(least), F.floor(F.col("most") / n)), F.lit(cap))
+    none, alone = F.coalesce("hits", F.lit(0)) == 0, F.size("corrected") <= 1
+    hinted = (F.size("related") > 0) | (F.size("synonyms") > 0)
+    few = F.when(F.size("related") == 0, 0).when(none, F.greatest("most", F.lit(80))).when(alone, part(40, 2, 120)).otherwise(part(30, 3, 80))
+    dense = F.when(none, part(80, 1, 160)).when((F.size("corrected") == 1) & ~hinted, 0).when(hinted, part(24, 3, 80)).otherwise(part(16, 4, 48))
+    limits = sized.join(hits, "query_id", "left").select("query_id", few.alias("few"), dense.alias("dense"))
+    related = found.where("source = 1").join(limits, "query_id").where(F.col("rank") <= F.col("few"))
+    out = lexical.select("query_id", "item_id", F.lit(0).alias("source")).unionByName(related.select("query_id", "item_id", F.lit(1).alias("source")))
+    if index.dense:
+        vectors = index.dense.search(index.dense.query_vectors(analysed, "corrected"), 160).join(limits, "query_id").where(F.col("rank") <= F.col("dense"))
+        out = out.unionByName(vectors.select("query_id", "item_id", F.lit(2).alias("source")))
+    return out.groupBy("query_id", "item_id").agg(F.min("source").alias("source"))
 
 
 def featured(pairs: DataFrame, analysed: DataFrame, index: E.Index, dense: DataFrame | None = None) -> DataFrame:
-    """pairs (query_id, item_id) with the product's columns, fifteen features and semantic_score.
+    """pairs (query_id, item_id, source) with the product's columns, fifteen features and semantic_score.
 
-    dense: query_id, item_id, dense_similarity; pairs that it lacks have 0.
+    dense: query_id, item_id, dense_similarity; pairs that it lacks have 0.  Without it the index's own vectors serve, if it has any.
     """
-    rows = index.catalog.select("item_id", "name", "category", "attributes", "key_tokens", *[T.tokenize(T.normalize_text(F.col(c))).alias(f"{c}_words") for c in FIELDS])
-    rows = rows.withColumns({f"{c}_stems": T.stem_tokens(F.col(f"{c}_words")) for c in FIELDS})
-    met = pairs.join(rows, "item_id").join(analysed, "query_id")
-    met = stored(met.withColumn("said", F.array_distinct(F.concat(*[f"{c}_words" for c in FIELDS]))))
+    met = stored(pairs.join(index.catalog, "item_id").join(analysed, "query_id"))
     soft = E.soft_overlaps(met.select("query_id", "item_id", F.col("corrected").alias("left"), F.col("said").alias("right")), index.edges, index.vocabulary, index.total)
     held = met.join(soft, ["query_id", "item_id"], "left")
-    held = held.join(dense, ["query_id", "item_id"], "left") if dense else held.withColumn("dense_similarity", F.lit(0.0))
+    if dense is None and index.dense:
+        dense = index.dense.scores(met.select("query_id", "item_id"), index.dense.query_vectors(analysed, "corrected"))
+    held = held.join(dense, ["query_id", "item_id"], "left") if dense is not None else held.withColumn("dense_similarity", F.lit(0.0))
     share = lambda a, b: F.size(F.array_intersect(a, b)) / F.greatest(F.lit(1), F.size(a))
     covers = lambda b: ((F.size("stems") > 0) & (F.size(F.array_except("stems", b)) == 0)).cast("double")
     target = F.when(F.col("corrected_query") != "", F.col("corrected_query")).otherwise(F.col("normalized"))
@@ -96,8 +76,8 @@ def featured(pairs: DataFrame, analysed: DataFrame, index: E.Index, dense: DataF
         "name_overlap": share("stems", "name_stems"), "category_overlap": share("expanded_stems", "category_stems"), "key_overlap": share("expanded_stems", "key_tokens_stems"),
         "semantic_name_overlap": share("related_stems", "name_stems"), "semantic_category_overlap": share("related_stems", "category_stems"), "semantic_key_overlap": share("related_stems", "key_tokens_stems"),
         "sentence_similarity": F.greatest(S.sentence_similarity(F.col("corrected"), F.col("said")), F.coalesce("overlap", F.lit(0.0))),
-        "dense_similarity": F.coalesce("dense_similarity", F.lit(0.0)), "bm25": F.lit(1.0),
-        "attribute_score": S.attribute_score(F.col("spans"), T.attribute_spans(F.lower(F.concat_ws(" ", T.normalize_text(F.col("name")), "attributes"))), F.col("name_words")),
+        "dense_similarity": F.coalesce("dense_similarity", F.lit(0.0)), "bm25": F.when(F.col("source") < 2, 1.0).otherwise(1 / 1_000_001),
+        "attribute_score": S.attribute_score(F.col("spans"), T.attribute_spans(F.lower(F.concat_ws(" ", T.normalize_text(F.col("name")), "attributes"))), F.concat("name_words", T.tokenize(F.col("attributes")))),
     })
     meets = (F.col("name_overlap") > 0) | (F.col("category_overlap") > 0)
     best = F.greatest("sentence_similarity", "semantic_name_overlap", "semantic_category_overlap", "semantic_key_overlap", "dense_similarity")

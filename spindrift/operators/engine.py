@@ -16,7 +16,7 @@ from spindrift.operators import corpus as C
 from spindrift.operators import rewrite as R
 from spindrift.operators.dense import Dense
 from spindrift.operators.index import Catalog
-from spindrift.operators.shared import shared_path
+from spindrift.operators.shared import shared_path, stored
 
 
 def none() -> Column:
@@ -91,17 +91,21 @@ def analyze(queries: DataFrame, index: Index) -> DataFrame:
     known = index.dictionary.select(F.col("source").alias("token")).where(~F.contains("token", F.lit(" "))).distinct()
     better = R.corrections(R.correction_candidates(words.join(known, "token", "left_anti"), index.vocabulary)).where(~inflection_only(F.col("token"), F.col("candidate")))
     fixed = words.join(better.select("token", "candidate"), "token", "left").select("query_id", "at", F.coalesce("candidate", "token").alias("corrected"))
-    corrected = gathered(fixed, "corrected", "at")
+    corrected = stored(gathered(fixed, "corrected", "at"))
     each = corrected.select("query_id", F.posexplode("corrected").alias("at", "token"))
-    ends = R.completions(each.select(F.col("token").alias("prefix")), index.vocabulary).select(F.col("prefix").alias("token"), F.col("token").alias("completions"), "rank")
-    completions = gathered(each.join(ends, "token"), "completions", "at", "rank")
+    ends = R.completions(each.select(F.col("token").alias("prefix")), index.vocabulary).select(F.col("prefix").alias("token"), F.col("token").alias("value"), "rank")
     said = R.synonyms(corrected.select("query_id", F.col("corrected").alias("tokens")), index.dictionary)
-    synonyms = gathered(said.select("query_id", "source", F.posexplode(T.tokenize(F.col("target"))).alias("at", "synonyms")), "synonyms", "source", "at")
+    said = said.select("query_id", "source", F.posexplode(T.tokenize(F.col("target"))).alias("at", "value"))
     near = R.related(each.select("query_id", "token"), index.edges, index.vocabulary, index.total)
-    related = gathered(near.select("query_id", (-F.col("score")).alias("less"), F.col("neighbor").alias("related")), "related", "less")
-    out = asked
-    for part in (corrected, completions, synonyms, related):
-        out = out.join(part, "query_id", "left")
+    # the parts as rows of one kind each, so that they meet in one aggregation
+    part = lambda rows, kind, *order: rows.select("query_id", F.lit(kind).alias("kind"), F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)], F.col("value")).alias("held"))
+    zero, no = F.lit(0.0), F.lit("")
+    parts = part(each.join(ends, "token"), "completions", no, F.col("at").cast("double"), F.col("rank").cast("double"))
+    parts = parts.unionByName(part(said, "synonyms", F.col("source"), F.col("at").cast("double"), zero))
+    parts = parts.unionByName(part(near.withColumnRenamed("neighbor", "value"), "related", no, -F.col("score"), zero))
+    kinds = ("completions", "synonyms", "related")
+    lists = [F.array_distinct(F.transform(F.array_sort(F.collect_list(F.when(F.col("kind") == k, F.col("held")))), lambda x: x["value"])).alias(k) for k in kinds]
+    out = asked.join(corrected, "query_id", "left").join(parts.groupBy("query_id").agg(*lists), "query_id", "left")
     out = out.withColumns({c: F.coalesce(c, none()) for c in ("corrected", "completions", "synonyms", "related")})
     lexical = F.array_distinct(F.concat("corrected", "synonyms", "completions"))
     return out.withColumns({

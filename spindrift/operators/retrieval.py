@@ -92,11 +92,13 @@ def search(queries: DataFrame, index: E.Index, limit: int = 20, offset: int = 0,
     analysed = stored(E.analyze(queries, index))
     held = featured(stored(candidates(analysed, index, candidate_limit)), analysed, index, dense)
     named = ("semantic_name_overlap", "semantic_category_overlap", "semantic_key_overlap", "sentence_similarity", "dense_similarity", "synonym_bonus", "bm25")
+    own = ("exact_phrase", "full_name_cover", "full_category_cover", "corrected_overlap", "name_overlap", "category_overlap", "key_overlap")
+    features = (*own, *named, "attribute_score")
+    # costly, and read by the filter, the score and the page
+    held = stored(held.select("query_id", "item_id", "semantic_score", *features))
     scored = held.withColumn("score", F.round(S.lexical_score({c: F.col(c) for c in named}) + F.col("attribute_score"), 4))
     order = W.partitionBy("query_id").orderBy(F.desc("score"), F.desc("exact_phrase"), F.desc("corrected_overlap"), F.desc("category_overlap"), "item_id")
     kept = scored.where(S.passes(F.col("semantic_score"), F.lit(least)))
     placed = kept.withColumns({"place": F.row_number().over(order), "total_found": F.count("*").over(W.partitionBy("query_id"))})
     page = placed.where((F.col("place") > offset) & (F.col("place") <= offset + limit))
-    own = ("exact_phrase", "full_name_cover", "full_category_cover", "corrected_overlap", "name_overlap", "category_overlap", "key_overlap")
-    features = [F.round(c, 4).alias(c) for c in (*own, *named, "attribute_score")]
-    return page.select("query_id", "item_id", (F.col("place") - offset).alias("rank"), "score", "semantic_score", "total_found", (F.col("total_found") > offset + limit).alias("has_more"), *features)
+    return page.select("query_id", "item_id", (F.col("place") - offset).alias("rank"), "score", "semantic_score", "total_found", (F.col("total_found") > offset + limit).alias("has_more"), *[F.round(c, 4).alias(c) for c in features])

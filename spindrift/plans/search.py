@@ -12,6 +12,9 @@ from spindrift.operators import retrieval as RT
 from spindrift.operators import rewrite as R
 from spindrift.operators import scoring as S
 from spindrift.operators import vectors as V
+from spindrift.operators.dense import Dense
+from spindrift.operators.index import Catalog, best_rows
+from spindrift.operators.shared import shared_path, stored
 from spindrift.plans.base import CATALOG, catalog, query, table
 
 TOKENS = "regexp_extract_all(lower(translate({0}, 'ё', 'е')), '[0-9A-Za-zА-Яа-яЁё]+')"
@@ -187,26 +190,90 @@ def pagination(spark, sf_dir):
     return page.withColumn("one", F.lit(1)).join(F.broadcast(total.withColumn("one", F.lit(1))), "one").select("doc_id", "n_chars", "total_found", (F.col("total_found") > 30).alias("has_more"))
 
 
+SYNONYMS = [("large brass", "big metal"), ("ring", "band"), ("small", "little")]
+
+
+def products(spark, sf_dir):
+    """Products with attribute keys between bars and key tokens."""
+    size = F.concat(F.lit("size "), F.col("p_size").cast("string"), F.when(F.col("p_size") % 2 == 0, F.lit(" gb")).otherwise(F.lit(" hz")))
+    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("item_id"), F.col("p_name").alias("name"), F.col("p_type").alias("category"), F.concat_ws(" | ", "p_brand", size).alias("attributes"))
+    return rows.withColumn("key_tokens", T.extract_keywords([F.col("name"), F.col("category")]))
+
+
 def engine(spark, sf_dir):
     """The products' index, and a few synonyms."""
-    rows = catalog(spark, sf_dir).withColumns({"attributes": F.lit("brand | size"), "key_tokens": T.extract_keywords([F.col("name"), F.col("category")])})
-    words = spark.createDataFrame([("large brass", "big metal"), ("ring", "band"), ("small", "little")], "source string, target string")
-    return E.built(rows, words)
+    return E.built(products(spark, sf_dir), spark.createDataFrame(SYNONYMS, "source string, target string"))
 
 
 def asked_names(spark, sf_dir):
-    """The names of every twentieth product as queries."""
-    return catalog(spark, sf_dir).where(F.col("item_id") % 20 == 0).select(F.col("item_id").alias("query_id"), F.col("name").alias("query"))
-
-
-@query()
+    """Queries of every twentieth product: its name as it is, with a letter dropped, its start, its synonyms' sources, or its name and size."""
+    rows = table(spark, sf_dir, "part").where(F.col("p_partkey") % 20 == 0)
+    words, kind = F.split("p_name", " "), F.pmod(F.floor(F.col("p_partkey") / 20), F.lit(5))
+    dropped = F.array_join(F.transform(words, lambda w: F.concat(F.substring(w, 1, 2), F.substring(w, 4, 50))), " ")
+    size = F.concat_ws(" ", "p_name", F.col("p_size").cast("string"), F.when(F.col("p_size") % 2 == 0, F.lit("gb")).otherwise(F.lit("hz")))
+    query = F.when(kind == 0, F.col("p_name")).when(kind == 1, dropped).when(kind == 2, F.substring(words[1], 1, 3)).when(kind == 3, F.concat_ws(" ", F.lit("large brass"), words[1])).otherwise(size)
+    return rows.select(F.col("p_partkey").alias("query_id"), query.alias("query"))
+
+
+ASKED_NAMES = """asked AS (SELECT p_partkey AS query_id, CASE p_partkey // 20 % 5 WHEN 0 THEN p_name
+  WHEN 1 THEN array_to_string(list_transform(str_split(p_name, ' '), lambda w: substring(w, 1, 2) || substring(w, 4)), ' ')
+  WHEN 2 THEN substring(str_split(p_name, ' ')[2], 1, 3) WHEN 3 THEN 'large brass ' || str_split(p_name, ' ')[2] ELSE p_name || ' ' || p_size || CASE p_size % 2 WHEN 0 THEN ' gb' ELSE ' hz' END END AS query
+  FROM part WHERE p_partkey % 20 = 0)"""
+#: Words of names, categories and key tokens, which are the distinct words of the other two.
+VOCABULARY = f"""pw AS (SELECT p_partkey AS item_id, {TOKENS.format('p_name')} AS n, {TOKENS.format('p_type')} AS c FROM part),
+prod AS (SELECT *, list_distinct(n || c) AS k FROM pw),
+voc AS (SELECT token, count(*) AS frequency FROM (SELECT unnest(n || c || k) AS token FROM prod) WHERE length(token) >= 2 GROUP BY token)"""
+#: Of each query its words with the best correction of those that are neither known, begin a known word, nor are a synonym's source.
+CORRECTED = f"""{VOCABULARY}, {ASKED_NAMES}, d(source, target) AS (VALUES ('large brass', 'big metal'), ('ring', 'band'), ('small', 'little')),
+qw AS (SELECT query_id, array_to_string({TOKENS.format('query')}, ' ') AS normalized, list_distinct({TOKENS.format('query')}) AS ws FROM asked),
+w AS (SELECT query_id, x AS token, list_position({TOKENS.format('query')}, x) AS pos FROM (SELECT query_id, query, unnest(list_distinct({TOKENS.format('query')})) AS x FROM asked)),
+u AS (SELECT DISTINCT token FROM w WHERE length(token) > 2 AND NOT regexp_matches(token, '^[0-9]+$') AND token NOT IN ('ring', 'small') AND NOT EXISTS (SELECT 1 FROM voc WHERE starts_with(voc.token, w.token))),
+near1 AS (SELECT u.token, v.token AS candidate, frequency FROM u JOIN voc AS v ON left(u.token, 1) = left(v.token, 1) AND abs(length(u.token) - length(v.token)) <= 2),
+near2 AS (SELECT u.token, v.token AS candidate, frequency FROM u JOIN voc AS v ON abs(length(u.token) - length(v.token)) <= 1 WHERE u.token NOT IN (SELECT token FROM near1)),
+fix AS (SELECT token, candidate FROM (SELECT * FROM near1 UNION ALL SELECT * FROM near2) WHERE damerau_levenshtein(token, candidate) <= 2 QUALIFY row_number() OVER (PARTITION BY token ORDER BY damerau_levenshtein(token, candidate), frequency DESC, candidate) = 1),
+cw AS (SELECT query_id, coalesce(candidate, token) AS token, min(pos) AS pos FROM w LEFT JOIN fix USING (token) GROUP BY ALL),
+cq AS (SELECT query_id, string_agg(token, ' ' ORDER BY pos) AS corrected_query FROM cw GROUP BY query_id),
+ends AS (SELECT p.token AS prefix, v.token, row_number() OVER (PARTITION BY p.token ORDER BY frequency DESC, length(v.token), v.token) AS rk FROM (SELECT DISTINCT token FROM cw) AS p JOIN voc AS v ON starts_with(v.token, p.token) AND v.token <> p.token
+  WHERE length(p.token) >= 3 AND NOT regexp_matches(p.token, '^[0-9]+$') AND p.token NOT IN (SELECT token FROM voc WHERE length(token) > 4)),
+comp AS (SELECT query_id, string_agg(token, ' ' ORDER BY pos, rk) AS completions FROM (SELECT cw.query_id, ends.token, min(pos) AS pos, min(rk) AS rk FROM cw JOIN ends ON ends.prefix = cw.token AND rk <= 6 GROUP BY ALL) GROUP BY query_id),
+syn AS (SELECT query_id, string_agg(x, ' ' ORDER BY source, i) AS synonyms FROM (SELECT query_id, source, unnest(str_split(target, ' ')) AS x, generate_subscripts(str_split(target, ' '), 1) AS i FROM cq JOIN d ON contains(' ' || corrected_query || ' ', ' ' || source || ' ')) GROUP BY query_id)"""
+
+
+@query(f"""WITH {CORRECTED}
+SELECT query_id, normalized, coalesce(corrected_query, '') AS corrected_query, coalesce(completions, '') AS completions, coalesce(synonyms, '') AS synonyms FROM qw LEFT JOIN cq USING (query_id) LEFT JOIN comp USING (query_id) LEFT JOIN syn USING (query_id)""")
 def analyze_query(spark, sf_dir):
-    """What the engine makes of every twentieth product's name."""
+    """What the engine makes of queries with mistakes, beginnings of words, synonyms and sizes."""
     out = E.analyze(asked_names(spark, sf_dir), engine(spark, sf_dir))
-    return out.select("query_id", "normalized", "corrected_query", *[F.array_join(c, " ").alias(c) for c in ("completions", "synonyms", "related", "stems", "expanded_stems")], "broad")
+    return out.select("query_id", "normalized", "corrected_query", *[F.array_join(c, " ").alias(c) for c in ("completions", "synonyms")])
+
+
+@query(f"""WITH {VOCABULARY}, q AS (SELECT DISTINCT item_id AS query_id, substring(x, 1, 4) AS prefix FROM (SELECT item_id, unnest(n) AS x FROM prod UNION ALL SELECT item_id, unnest(c) FROM prod) WHERE item_id % 20 = 0),
+rows AS (SELECT item_id, n, c, k, 2 * len(n) + 2 * len(c) + len(k) AS length FROM prod), size AS (SELECT count(*) AS total, avg(length) AS mean FROM rows),
+begins(p) AS (SELECT DISTINCT prefix FROM q), hits AS (SELECT p AS prefix, item_id, length, 3.7e0 * len(list_filter(n, lambda x: starts_with(x, p))) + 2.1e0 * len(list_filter(c, lambda x: starts_with(x, p))) + 0.7e0 * len(list_filter(k, lambda x: starts_with(x, p))) AS tf FROM rows, begins),
+held AS (SELECT *, count(*) OVER (PARTITION BY prefix) AS df FROM hits WHERE tf > 0),
+score AS (SELECT query_id, item_id, round(sum(greatest(ln((total - df + 0.5e0) / (df + 0.5e0)), 1e-6) * tf * 2.2e0 / (tf + 1.2e0 * (0.25e0 + 0.75e0 * length / mean))), 6) AS score FROM q JOIN held USING (prefix), size GROUP BY ALL)
+SELECT query_id, item_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS INTEGER) AS rank FROM score QUALIFY rank <= 20""")
+def index_search(spark, sf_dir):
+    """Twenty products a query (every twentieth product's words, cut to four letters) from an index that was built of others' names and then updated: the limit is the feature."""
+    rows = products(spark, sf_dir)
+    changed = F.col("item_id") % 3 == 0
+    old = rows.withColumn("name", F.when(changed, F.concat_ws(" ", "category", F.lit("old"))).otherwise(F.col("name")))
+    gone = rows.where("item_id % 7 = 0").select((-F.col("item_id") - 1).alias("item_id"), *[c for c in rows.columns if c != "item_id"])
+    store = Catalog.create(old.unionByName(gone), shared_path(spark, "index")).update(rows.where(changed), removed=gone)
+    words = F.array_distinct(F.transform(F.concat(T.tokenize(F.col("name")), T.tokenize(F.col("category"))), lambda w: F.substring(w, 1, 4)))
+    asked = rows.where("item_id % 20 = 0").select(F.col("item_id").alias("query_id"), F.explode(words).alias("prefix"))
+    return best_rows(stored(store.hits(asked.select("prefix").distinct())), asked, *store.size(), 20)
 
 
 @query()
 def search_results(spark, sf_dir):
-    """Products found for the name of every twentieth among all: twenty a query, the limit is the feature."""
+    """Products found for the queries of every twentieth among all: twenty a query, the limit is the feature."""
     return RT.search(asked_names(spark, sf_dir), engine(spark, sf_dir))
+
+
+@query()
+def dense_search(spark, sf_dir):
+    """The same queries with the products' vectors beside the words."""
+    index = engine(spark, sf_dir)
+    Dense.build(index.catalog, index.vocabulary, index.edges, index.total, index.store.path)
+    return RT.search(asked_names(spark, sf_dir), E.opened(spark, index.store.path))

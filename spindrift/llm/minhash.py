@@ -39,20 +39,22 @@ SAMPLES, ROWS, BITS = 128, 4, 512
 CHUNK = 2048  # tokens hashed at once
 FAILURES = 20  # comparisons of a pair of blocks that may fail, a document, before all its sets are multiplied at once
 
-FLIPS = texthash.mix(np.arange(1, SAMPLES + 1, dtype=U) * U(0x9E3779B97F4A7C15))
-TIMES = texthash.mix(FLIPS + U(1)) | U(1)
-PLACES = texthash.mix(FLIPS + U(2))
+PLACES = texthash.mix(np.arange(1, SAMPLES + 1, dtype=U) * U(0x9E3779B97F4A7C15))
+FLIPS = (texthash.mix(PLACES + U(1)) >> U(32)).astype(np.uint32)[:, None]
+TIMES = (texthash.mix(PLACES + U(2)) >> U(32)).astype(np.uint32)[:, None] | np.uint32(1)
 
 SKETCHES = "doc bigint, n int, sig binary, sketch array<bigint>, keys array<bigint>"
 SETS = "doc bigint, sig binary, tokens array<bigint>"
 
 
 def minima(tokens: np.ndarray) -> np.ndarray:
-    """The least value of each of ``SAMPLES`` hash functions over the tokens."""
-    out = np.full(SAMPLES, ~U(0))
-    for a in range(0, len(tokens), CHUNK):
-        np.minimum(out, ((tokens[a : a + CHUNK, None] ^ FLIPS) * TIMES).min(0), out=out)
-    return out
+    """The least value of each of ``SAMPLES`` hash functions over the tokens' upper halves (32 bits, which processors multiply and compare many at a time)."""
+    out, halves = np.full(SAMPLES, ~np.uint32(0)), (tokens >> U(32)).astype(np.uint32)
+    for a in range(0, len(halves), CHUNK):
+        values = FLIPS ^ halves[None, a : a + CHUNK]
+        np.multiply(values, TIMES, out=values)
+        np.minimum(out, values.min(1), out=out)
+    return out.astype(U)
 
 
 def odd_sketch(values: np.ndarray) -> np.ndarray:

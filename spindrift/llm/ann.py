@@ -160,8 +160,11 @@ def nearest(table: DataFrame, queries: Column, k: int = 5, ident: str = "vec_id"
 
     held = materialise(rows.where(F.size("v") == size).mapInArrow(assign, "vec_id bigint, v array<double>, asks boolean, leaf int"), "leaves")
     counts, distinct = np.zeros(tree.leaves, np.int64), np.zeros(tree.leaves, np.int64)
-    for r in held.groupBy("leaf").agg(F.count("*").alias("n"), F.count_distinct("vec_id").alias("ids")).collect():  # as many rows as the tree has leaves
-        counts[r["leaf"]], distinct[r["leaf"]] = r["n"], r["ids"]
+    for r in held.groupBy("leaf").agg(F.count("*").alias("n")).collect():  # as many rows as the tree has leaves
+        counts[r["leaf"]] = r["n"]
+    # an id counts in the first of its leaves alone, so that leaves together never seem to hold more ids than they do
+    for r in held.groupBy("vec_id").agg(F.min("leaf").alias("leaf")).groupBy("leaf").agg(F.count("*").alias("ids")).collect():
+        distinct[r["leaf"]] = r["ids"]
 
     def probe(batches):
         for batch in batches:
@@ -210,8 +213,14 @@ def nearest(table: DataFrame, queries: Column, k: int = 5, ident: str = "vec_id"
             members = [by[a : a + k + 1] for a in np.searchsorted(same[by], np.arange(len(first)))]
             members = [m[same[m] == u] for u, m in enumerate(members)]
             near = (v[q] / size[q, None]) @ (v[apart] / size[apart, None]).T
-            most = min(k + 1, len(apart))
-            edge = np.partition(near, len(apart) - most, axis=1)[:, len(apart) - most]
+            # the cut is at the (k + 1)-th id, whose best vector counts, however many vectors the ids before it have
+            listed = np.concatenate(members)
+            of = np.repeat(np.arange(len(members)), [len(m) for m in members])
+            by = np.argsort(ids[c[listed]], kind="stable")
+            starts = np.flatnonzero(np.diff(ids[c[listed]][by], prepend=ids[c[listed]][by][:1] - 1))
+            best = np.maximum.reduceat(near[:, of[by]], starts, axis=1) if len(starts) < len(by) or len(by) > len(apart) else near
+            most = min(k + 1, best.shape[1])
+            edge = np.partition(best, best.shape[1] - most, axis=1)[:, best.shape[1] - most]
             i, j = np.nonzero(near >= edge[:, None] - 1e-9)
             score = np.einsum("nd,nd->n", v[q[i]], v[apart[j]]) / (size[q[i]] * size[apart[j]])
             many = np.array([len(members[u]) for u in j])

@@ -41,6 +41,7 @@ import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from spindrift.llm import texthash
@@ -458,14 +459,26 @@ def near_duplicates(docs: DataFrame, n: int = 4, percent: int = 85, ident: str =
 
 
 def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80, ident: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with one row of each component: that of the least id.  Rows without an id or without words stay; of rows that share an id one stays."""
-    found = near_duplicates(docs, n, percent, ident, text)
-    gone = materialise(found.where("component_id <> doc_id").select(F.col("doc_id").alias("__gone")).distinct(), "gone")
-    again = materialise(found.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("__again")), "again")
-    kept = docs.join(small_side(gone, gone.count()), F.col(ident) == F.col("__gone"), "left_anti")
+    """docs with one row of each group of near copies: that of the least id.  Rows without an id or without words stay.
+
+    Rows that share an id are told apart by their text: they go only if a near copy of them stays, and of those that also share
+    their text that of the least hash of all columns stays, so a run can be repeated.
+    """
+    key = F.col(f"`{ident}`").cast("long")
+    again = materialise(docs.where(key.isNotNull()).groupBy(key.alias("__again")).agg(F.count("*").alias("n")).where("n > 1").select("__again"), "again")
     repeated = again.count()
     if not repeated:
-        return kept
-    twice = small_side(again, repeated)
-    single = kept.join(twice, F.col(ident) == F.col("__again"), "left_anti")
-    return single.unionByName(kept.join(twice, F.col(ident) == F.col("__again"), "left_semi").dropDuplicates([ident]))
+        return without_copies(docs.withColumn("__key", key), n, percent, text).drop("__key")
+    told = docs.join(small_side(again, repeated), key == F.col("__again"), "left")
+    told = materialise(told.withColumn("__key", F.when(F.col("__again").isNotNull(), F.xxhash64(f"`{ident}`", f"`{text}`")).otherwise(key)), "told-apart")
+    kept = without_copies(told, n, percent, text)
+    order = W.partitionBy("__key").orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]))
+    first = kept.where("__again IS NOT NULL").withColumn("__place", F.row_number().over(order)).where("__place = 1").drop("__place")
+    return kept.where("__again IS NULL").unionByName(first).drop("__key", "__again")
+
+
+def without_copies(docs: DataFrame, n: int, percent: int, text: str) -> DataFrame:
+    """docs without the rows whose near copy has a lesser __key."""
+    found = near_duplicates(docs, n, percent, "__key", text)
+    gone = materialise(found.where("component_id <> doc_id").select(F.col("doc_id").alias("__gone")).distinct(), "gone")
+    return docs.join(small_side(gone, gone.count()), F.col("__key") == F.col("__gone"), "left_anti")

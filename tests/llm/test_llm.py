@@ -78,6 +78,23 @@ def test_nearest_against_brute_force(spark):
     assert [i for _, i, _ in sorted(got[1000])] == [50, 1001, 1002, 1003, 1004]
 
 
+def test_nearest_where_one_id_has_many_vectors(spark):
+    g = np.random.default_rng(3)
+    q = g.normal(size=8)
+    many = [(9, (q + 0.01 * g.normal(size=8)).tolist()) for _ in range(50)] + [(8, (q + 0.02 * g.normal(size=8)).tolist()) for _ in range(30)]
+    others = [(i, g.normal(size=8).tolist()) for i in range(1, 8)]
+    rows = [(50, q.tolist())] + many + others
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    got = [r["vec_id"] for r in ann.nearest(df, F.col("vec_id") == 50).orderBy("rank").collect()]
+    unit = lambda x: np.array(x) / np.linalg.norm(x)
+    best = {}
+    for i, x in rows[1:]:
+        best[i] = max(best.get(i, -2.0), float(unit(q) @ unit(x)))
+    want = sorted(best, key=lambda i: -best[i])
+    assert len(set(got)) == 5 and got[:2] == want[:2] and got == sorted(got, key=lambda i: -best[i]) and len(set(got) & set(want[:5])) >= 4
+
+
+
 def test_nearest_among_repeated_rows(spark):
     rows = [(i, [1.0, 0.0]) for i in range(10)] * 4 + [(100 + i, [1.0, 0.1 + i / 100]) for i in range(10)]
     got = ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), F.col("vec_id") == 0)
@@ -424,6 +441,19 @@ def test_one_of_each(spark, docs):
     assert ids.count(None) == 1
 
 
+def test_one_of_each_tells_rows_of_one_id_apart(spark):
+    one, two = prose(60), prose(60)
+    rows = [(1, one, "x"), (1, two, "y"), (1, two, "y"), (1, two, "z"), (2, one, "x"), (3, one + " more", "x"), (4, prose(40), "x"), (4, None, "x"), (4, None, "x"), (None, one, "x"), (5, "", "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = [jaccard.one_of_each(df.repartition(n)).collect() for n in (1, 3)]
+    assert sorted(map(repr, got[0])) == sorted(map(repr, got[1])) and got[0][0].asDict().keys() == {"doc_id", "text", "source"}
+    left = sorted((r["doc_id"] or 0, r["text"] or "") for r in got[0])
+    kept_one = [r for r in left if r[1].startswith(one)]
+    assert len([r for r in kept_one if r[0]]) == 1  # of ids 1, 2 and 3 with near copies one stays
+    assert (1, two) in left and left.count((1, two)) == 1 and left.count((4, "")) == 1 and (0, one) in left and (5, "") in left
+    assert jaccard.one_of_each(df.limit(0)).count() == 0
+
+
 def test_components_of_chains(spark, monkeypatch):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (7, 7)]
     df = spark.createDataFrame(edges, "a long, b long")

@@ -192,10 +192,13 @@ def truncate_words(c: Column, most: int) -> Column:
 
 
 def query_variants(c: Column, service_words: tuple[str, ...] = SERVICE_WORDS, compact: int = 8) -> Column:
-    """Distinct (name, text) variants of a purchase name: whole, first clause, without service words, first tokens."""
+    """Distinct (name, text) variants of a purchase name: whole, first clause, without service words, first tokens.
+
+    The clause is cut from the normalised text, which has no separators left, so it is the whole and drops out as a repeat.
+    """
     tokens = tokenize(c)
     stripped = F.filter(tokens, lambda t: ~t.isin(*service_words))
-    clause = normalize_text(F.element_at(F.split(clean_text(c), r"[;,]| - "), 1))
+    clause = F.element_at(F.split(F.array_join(tokens, " "), r"[;,]| - "), 1)
     made = [("full", F.array_join(tokens, " ")), ("clause", clause), ("stripped", F.array_join(stripped, " ")), ("compact", F.array_join(F.slice(tokens, 1, compact), " "))]
     held = F.filter(F.array(*[F.struct(F.lit(n).alias("name"), t.alias("text")) for n, t in made]), lambda v: v["text"] != "")
     first = lambda kept, v: F.when(F.exists(kept, lambda k: k["text"] == v["text"]), kept).otherwise(F.concat(kept, F.array(v)))

@@ -1,131 +1,70 @@
-"""Queries that hold the text and number rules to cases; the SQL states the results outright."""
+"""Queries of the text, alias and number rules over the columns of tables."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from spindrift.functions import numbers as N
-from spindrift.functions import phrases as H
 from spindrift.functions import text as T
 from spindrift.operators import aliases as A
-from spindrift.operators import personal as Z
-from spindrift.operators import rewrite as R
-from spindrift.plans.base import query
-
-S = F.lit
-
-
-def words(*xs: str) -> Column:
-    return F.array(*[F.lit(x) for x in xs]) if xs else F.array().cast("array<string>")
-
-
-def joined(c: Column, sep: str = "|") -> Column:
-    return F.array_join(c, sep)
-
-
-def cases(spark, held: dict[str, Column]):
-    """name, got of each case."""
-    rows = [F.struct(F.lit(n).alias("name"), c.cast("string").alias("got")) for n, c in held.items()]
-    return spark.range(1).select(F.inline(F.array(*rows)))
-
-
-def stated(want: dict[str, str | None]) -> str:
-    say = lambda v: "NULL" if v is None else "'" + v.replace("'", "''") + "'"
-    return "SELECT * FROM (VALUES " + ", ".join(f"({say(n)}, {say(v)})" for n, v in want.items()) + ") AS t(name, got)"
-
-
-@query(stated({
-    "clean": "ООО Ромашка, Москва", "clean null": "", "tokens": "елка|5|ручка", "normal": "парацетамол таблетки 500 мг 10", "distinct": "стол|дуб|5|а1", "stem": "медицинск|ручк|шт|12345|стол|канцелярск",
-    "stems": "ручк|син", "order": "b|a|c", "keywords": "поставка ручек синих школы", "kind works": "works", "kind services": "services", "kind goods": "goods", "codes": "n02bg|a15", "code same": "1.0", "code part": "0.8", "code none": "0.0",
-    "pipes": "а|б", "number": "16", "half": "1.5", "plain": "12", "cut": "один…", "uncut": "один два",
-    "variants": "full:поставка ручек синих|clause:поставка ручек|stripped:ручек синих", "compact": "поставка а1 а2 а3 а4 а5 а6 а7", "chosen": "stripped:ручек синих", "chosen none": None,
-    "pseudo contract": "ручка", "pseudo name": "ручка", "pseudo contract_category": "канцтовары", "pseudo name_category": "ручка канцтовары", "pseudo name_category_attributes": "ручка канцтовары цвет",
-    "document": "ручка ручка канцтовары цвет", "asked": "ручка синий pen", "asked fallback": "ручка", "broad": "true", "narrow": "false", "meets": "true", "meets not": "false", "meets nothing": "false",
-    "phrase": "true", "part of a word": "false", "spans": "16 гб|500 мг",
-}))
-def text_rules(spark, sf_dir):
-    pseudo = T.pseudo_queries(S(""), S("Ручка"), S("Канцтовары"), S("Цвет"))
-    listed = lambda v: joined(F.transform(v, lambda x: F.concat_ws(":", x["name"], x["text"])))
-    chosen = lambda x: F.concat_ws(":", T.chosen_query(S(x))["name"], T.chosen_query(S(x))["text"])
-    return cases(spark, {
-        "clean": T.clean_text(S('﻿"ООО  Ромашка,\tМосква"')), "clean null": T.clean_text(S(None).cast("string")), "tokens": joined(T.tokenize(S(" Ёлка, №5 Ручка"))),
-        "normal": T.normalize_text(S("Парацетамол, таблетки 500 мг №10")), "distinct": joined(T.normalize_tokens(words("Стол", "и", "дуб", "стол", "5", "я", "А1"))),
-        "stem": joined(F.transform(words("медицинские", "ручки", "шт", "12345", "столами", "канцелярская"), T.stem)), "stems": joined(T.stem_tokens(words("ручка", "ручки", "и", "синяя"))),
-        "order": joined(T.unique_in_order(words("b", "a", "", "b", "c"))), "keywords": T.extract_keywords([S("Поставка ручек без n синих"), S("же для школы, ручек")]),
-        "kind works": T.item_kind(S("Ремонт крыши"), S("услуги")), "kind services": T.item_kind(S("Услуга связи"), S("")), "kind goods": T.item_kind(S("Стол"), S("Мебель")),
-        "codes": joined(T.category_codes(S("Анальгетики N02BG и A15"))), "code same": T.code_match(words("n02bg"), words("n02bg", "a15")), "code part": T.code_match(words("n02"), words("n02bg")), "code none": T.code_match(words("n02"), words("a15")),
-        "pipes": joined(T.pipe_list(S(" а | |б"))), "number": T.humanize_number(S("16.00000")), "half": T.humanize_number(S("1.50")), "plain": T.humanize_number(S("12")), "cut": T.truncate_words(S("один два три"), 9), "uncut": T.truncate_words(S("один два"), 9),
-        "variants": listed(T.query_variants(S("Поставка ручек, синих"))), "compact": F.element_at(F.filter(T.query_variants(S("Поставка а1 а2 а3 а4 а5 а6 а7 а8 а9")), lambda v: v["name"] == "compact"), 1)["text"],
-        "chosen": chosen("Поставка ручек, синих"), "chosen none": T.chosen_query(S("Оказание услуг"))["text"], **{f"pseudo {n}": pseudo[n] for n in ("contract", "name", "contract_category", "name_category", "name_category_attributes")},
-        "document": T.document_text(S("ручка"), S("канцтовары"), S("цвет")), "asked": T.asked_text(words("ручка", "синий"), words("pen", "ручка"), words(), words(), S("x")), "asked fallback": T.asked_text(words(), words(), words(), words(), S("Ручка")),
-        "broad": T.needs_broad_retrieval(words("стол", "12"), S(False)), "narrow": T.needs_broad_retrieval(words("столик", "12"), S(False)),
-        "meets": T.meets_expectation(S("Флеш-накопитель 16 Гб"), words("накопитель"), words("16 гб", "32 гб")), "meets not": T.meets_expectation(S("Флеш 8 Гб"), words("флеш"), words("16 гб")), "meets nothing": T.meets_expectation(S("Флеш"), words(), words()),
-        "phrase": T.contains_phrase(words("флеш", "накопитель"), S("флеш накопитель")), "part of a word": T.contains_phrase(words("флеш", "накопитель"), S("флеш нак")),
-        "spans": joined(F.transform(T.attribute_spans(S("Флешка 16 ГБ, 500мг и 16 гб")), lambda x: F.concat_ws(" ", x["value"], x["unit"]))),
-    })
-
-
-@query(stated({
-    "pair": "мфу=многофункциональное устройство:true", "pair of two": "usb хаб=концентратор портов:false", "roman": "", "inflected": "", "longer": "", "noise": "", "acronym": "true", "acronym latin": "true", "acronym no": "false", "acronym roman": "false",
-    "bad empty": "true", "bad noise": "true", "bad word": "true", "bad digits": "true", "bad tiny": "true", "good": "false", "short": "true", "short no": "false", "adjective": "true", "adjective no": "false",
-    "informative": "true", "too frequent": "false", "frequent abbreviation": "true", "frequent adjective": "false", "unknown": "false", "priority": "3.8439", "alike": "true", "one way": "false", "both ways": "true", "faint": "false", "same": "false", "everywhere": "false",
-}))
-def alias_rules(spark, sf_dir):
-    pairs = lambda x: joined(F.transform(A.bracketed(S(x)), lambda p: F.concat(p["alias"], S("="), p["base"], S(":"), p["short"].cast("string"))))
-    allowed = lambda s, t, score, n, back, f, g: R.target_allowed(S(s), S(t), S(score), S(n), S(back).cast("double"), S(f), S(g))
-    return cases(spark, {
-        "pair": pairs("Многофункциональное устройство (МФУ)"), "pair of two": pairs("Концентратор портов (USB ХАБ)"), "roman": pairs("Сталь марки (III)"), "inflected": pairs("Стол (столы)"), "longer": pairs("Стол (АБВГДЕЖ)"), "noise": pairs("Стол для школы (СДШ)"),
-        "acronym": A.acronym_like(S("М.Ф.У.")), "acronym latin": A.acronym_like(S("usb3")), "acronym no": A.acronym_like(S("столы")), "acronym roman": A.acronym_like(S("xiv")),
-        "bad empty": A.bad_alias(S("!")), "bad noise": A.bad_alias(S("стол для")), "bad word": A.bad_alias(S("цвет синий")), "bad digits": A.bad_alias(S("стол 5")), "bad tiny": A.bad_alias(S("аб вг")), "good": A.bad_alias(S("мфу")),
-        "short": A.abbreviation_like(S("мфу")), "short no": A.abbreviation_like(S("ручка")), "adjective": A.adjective_like(S("медицинский")), "adjective no": A.adjective_like(S("стол")),
-        "informative": R.informative(S("насос"), S(100)), "too frequent": R.informative(S("насосы"), S(15_000)), "frequent abbreviation": R.informative(S("мфу"), S(20_000)), "frequent adjective": R.informative(S("синий"), S(2_000)), "unknown": R.informative(S("насос"), S(0)),
-        "priority": F.round(R.source_priority(S("мфу"), S(100), 230), 4),
-        "alike": allowed("ручка", "ручки", 0.01, 1, None, 10, 10), "one way": allowed("насос", "труба", 0.3, 5, None, 10, 10), "both ways": allowed("насос", "труба", 0.3, 5, 0.2, 10, 10), "faint": allowed("насос", "труба", 0.07, 5, 0.2, 10, 10),
-        "same": allowed("насос", "насос", 0.9, 5, 0.2, 10, 10), "everywhere": allowed("насос", "трубопровод", 0.9, 5, 0.2, 10, 20_000),
-    })
-
-
-@query(stated({
-    "name": "анализатор мочи полуавтоматический", "name one": "", "name cut": "стул", "category": "анализаторы мочи", "product": "Альбумин", "product maker": "Ручка шариковая", "product pair": "Бумага офисная", "product none": "",
-    "significant": "раствор|альбумин", "whole": "180.0", "later": "26.0", "none": "0.0", "stem": "38.0", "later stem": "18.0", "brief": "55.0", "brief first": "120.0", "first only": "0.0",
-    "preview": "Назначение: для письма Цвет: - Вес: 1.5 Объем: 16", "preview long": "Ручка для письма на бумаге Тип: шариковая", "preview once": "Вес: 1 Длина: 2", "preview none": "",
-    "keys": "Характеристики: а, б, в, г, д…", "keys few": "Характеристики: а, б", "label cart": "Продолжить подбор в этой категории", "label type": "По типу учреждения", "label own": "На основе ваших закупок", "label region": "Популярно в вашем регионе",
-    "label peers": "Популярно у похожих заказчиков", "label session": "Продолжить подбор в этой категории", "label none": None, "label bounced": None, "corrected": "парацетамол", "uncorrected": None, "user": "u1", "user inn": "user-77", "user nobody": "anonymous", "session nobody": None,
-    "neighbor": "накопитель", "neighbor mixed": "", "neighbor same": "", "neighbor short": "", "quality": "0.75", "quality blend": "0.7", "quality score": "0.5",
-}))
-def phrase_rules(spark, sf_dir):
-    label = lambda codes, category="", session=(), bounced=False: H.reason_label(words(*codes), S(category), words(*session), S(bounced))
-    q = lambda **f: H.match_quality({k: S(v) for k, v in f.items()})
-    return cases(spark, {
-        "name": H.name_phrase(S("Анализатор мочи полуавтоматический 5000 тестов"), S("анализ")), "name one": H.name_phrase(S("Стул 5"), S("стул на")), "name cut": H.name_phrase(S("Стул на 4 ножках"), S("сту")), "category": H.category_phrase(S("Анализаторы мочи 12 и")),
-        "product": H.product_phrase(S("альбумин раствор для инфузий 10%")), "product maker": H.product_phrase(S("я ручка шариковая ООО Ромашка")), "product pair": H.product_phrase(S("аб бумага офисная а4")), "product none": H.product_phrase(S("5 шт")),
-        "significant": joined(H.significant_tokens(S("Раствор 5 мг, г, альбумин таб"))), "whole": H.prefix_match(S("руч"), words("ручка", "синяя")), "later": H.prefix_match(S("син"), words("ручка", "синяя")), "none": H.prefix_match(S("стол"), words("ручка", "синяя")),
-        "stem": H.prefix_match(S("ручками"), words("ручка", "синяя")), "later stem": H.prefix_match(S("синими"), words("ручка", "синяя")), "brief": H.prefix_match(S("си"), words("ручка", "синяя")), "brief first": H.prefix_match(S("ру"), words("ручка", "синяя")), "first only": H.prefix_match(S("си"), words("ручка", "синяя"), secondary=False),
-        "preview": H.preview(S("Вес:1.50;Цвет:-;Назначение:для письма;Объем:16.00000")), "preview long": H.preview(S("Тип:шариковая;Описание:ручка для письма на бумаге;Вес:0.0")), "preview once": H.preview(S("Вес:1;Длина:2;Вес:3;Ширина:0")), "preview none": H.preview(S("Вес:0;Цвет")),
-        "keys": H.fallback_preview(S("а|б|в|г|д|е")), "keys few": H.fallback_preview(S("а | |б")), "label cart": label(["SESSION_CART_BOOST", "USER_REPEAT_BUY"]), "label type": label(["INSTITUTION_TYPE_PREFIX_MATCH", "REGIONAL_POPULARITY"]), "label own": label(["SUPPLIER_AFFINITY", "REGIONAL_POPULARITY"]),
-        "label region": label(["REGIONAL_POPULARITY", "SIMILAR_CUSTOMER_POPULARITY"]), "label peers": label(["SIMILAR_CUSTOMER_POPULARITY"]), "label session": label([], "Ручки", ["ручки"]), "label none": label([], "Ручки", ["столы"]), "label bounced": label(["SESSION_CART_BOOST"], bounced=True),
-        "corrected": H.shown_correction(S("парацетамол"), S("парацетомол")), "uncorrected": H.shown_correction(S("стол"), S("стол")), "user": H.user_key(S("u1"), S("77")), "user inn": H.user_key(S(""), S("77")), "user nobody": H.user_key(S(None).cast("string"), S("")), "session nobody": H.user_key(S(None).cast("string"), S(""), anonymous=False),
-        "neighbor": H.learned_neighbor(S("флешка"), S("Накопитель")), "neighbor mixed": H.learned_neighbor(S("флешка"), S("uсб")), "neighbor same": H.learned_neighbor(S("флешка"), S("флешка")), "neighbor short": H.learned_neighbor(S("флешка"), S("гб")),
-        "quality": q(corrected_overlap=0.75, category_overlap=0.5), "quality blend": q(name_overlap=0.5, category_overlap=1.0, sentence_similarity=1.0), "quality score": H.match_quality({}, S(6.0)),
-    })
-
-
-@query(stated({
-    "comma": "12.5", "word": "0.0", "word read": "false", "comma read": "true", "date": "2024-02-03", "date russian": "2024-03-02", "date zulu": "2024-02-03", "date none": None, "cosine": "0.6", "cosine zero": "0.0", "never": "3650.0", "future": "0.0", "boost": "0.5", "boost never": "0.0",
-    "repeated": "a|a|b|b|b|b|b", "repeated cut": "a|a|b", "json": "5", "json broken": None, "bounds": "true", "bounds top": "false", "bounds score": "false", "bounds duration": "false", "bounds kind": "false", "key order": "true", "key null": "true",
-    "session": "48.5", "session codes": "SESSION_CLICK_BOOST|SESSION_CART_BOOST|SESSION_CATEGORY_BOOST", "session tier": "100.0", "bounced": "-10.0",
-}))
-def number_rules(spark, sf_dir):
-    today = S("2024-05-01").cast("date")
-    valid = lambda top=20, least=0.55, ms=100, kind="purchase": N.in_bounds(S(top), S(least), S(ms), S(kind), ("cart_add", "purchase"))
-    score, codes, tier = Z.session_adjustment(S("i"), S("c"), words("i"), words("i"), words("c"), words("x"))
-    v = lambda *xs: F.array(*[S(float(x)) for x in xs])
-    key = lambda **c: N.cache_key("search", c)
-    return cases(spark, {
-        "comma": N.lenient_double(S(" 12,5")), "word": N.lenient_double(S("дорого")), "word read": N.is_number(S("дорого")), "comma read": N.is_number(S("12,5")), "date": N.lenient_date(S("2024-02-03 10:00:00")), "date russian": N.lenient_date(S("02.03.2024")), "date zulu": N.lenient_date(S("2024-02-03T10:00:00Z")), "date none": N.lenient_date(S("нет")),
-        "cosine": F.round(N.cosine(v(3, 4), v(1, 0)), 6), "cosine zero": N.cosine(v(0, 0), v(1, 0)), "never": N.recency_days(S(None).cast("date"), today), "future": N.recency_days(S("2024-06-01").cast("date"), today), "boost": N.recency_boost(S(45.0), 90.0), "boost never": N.recency_boost(S(3650.0), 90.0),
-        "repeated": joined(N.repeated(words("a", "b", "c"), F.array(S(2), S(9), S(0)))), "repeated cut": joined(N.repeated(words("a", "b"), F.array(S(2), S(9)), most=3)), "json": N.json_field(S('{"a": 5}'), "a int")["a"], "json broken": N.json_field(S("{a"), "a int")["a"],
-        "bounds": valid(), "bounds top": valid(top=51), "bounds score": valid(least=1.5), "bounds duration": valid(ms=-1), "bounds kind": valid(kind="look"), "key order": key(a=S(1), b=S("x")) == key(b=S("x"), a=S(1)), "key null": key(a=S(None).cast("int"), b=S("x")) != key(b=S("x")),
-        "session": score, "session codes": joined(codes), "session tier": tier, "bounced": Z.session_adjustment(S("i"), S("c"), words(), words(), words(), words("c"))[0],
-    })
+from spindrift.plans.base import query, table
+from spindrift.plans.search import NOISE, TOKENS
+
+ENDINGS = "[" + ", ".join(f"'{e}'" for e in T.ENDINGS) + "]"
+WORDS = TOKENS.format("coalesce(text, '')")
+STEM = f"CASE WHEN length(x) <= 4 OR regexp_full_match(x, '[0-9]+') THEN x ELSE left(x, length(x) - coalesce(length(list_filter({ENDINGS}, lambda e: ends_with(x, e) AND length(x) - length(e) >= 3)[1]), 0)) END"
+
+
+@query(f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS text, {WORDS} AS w FROM documents), s AS (SELECT *, list_distinct(list_filter(list_transform(w, lambda x: {STEM}), lambda x: NOT ({NOISE}))) AS stems FROM d)
+SELECT doc_id, sha256(array_to_string(w, ' ')) AS normalized, CAST(len(list_distinct(list_filter(w, lambda x: NOT ({NOISE})))) AS INTEGER) AS telling, sha256(array_to_string(list_sort(stems), ' ')) AS stems,
+sha256(regexp_replace(trim(regexp_replace(trim(translate(text, chr(65279) || chr(9) || chr(10) || chr(13), '    ')), '^"+|"+$', '', 'g')), '[ \t\n\f\r]+', ' ', 'g')) AS cleaned,
+array_to_string(list_sort(list_distinct(list_filter(w, lambda x: regexp_full_match(x, '[a-zа-я][0-9]{{2}}[a-zа-я]{{0,2}}')))), ',') AS codes FROM s""")
+def text_shapes(spark, sf_dir):
+    """Every document's text normalised, reduced to telling tokens and stems, cleaned, and the codes in it."""
+    text = F.col("text")
+    digest = lambda tokens: F.sha2(F.array_join(tokens, " "), 256)
+    return table(spark, sf_dir, "documents").select(
+        "doc_id", F.sha2(T.normalize_text(text), 256).alias("normalized"), F.size(T.normalize_tokens(T.tokenize(text))).alias("telling"), digest(F.array_sort(T.stem_tokens(T.tokenize(text)))).alias("stems"),
+        F.sha2(T.clean_text(text), 256).alias("cleaned"), F.array_join(F.array_sort(T.category_codes(text)), ",").alias("codes"),
+    )
+
+
+@query("""WITH o AS (SELECT *, CAST(o_orderdate AS DATE) AS day, CAST(CAST(o_totalprice AS DECIMAL(12,2)) AS VARCHAR) AS said, o_orderkey % 4 AS form FROM orders),
+r AS (SELECT *, CASE WHEN form = 3 THEN NULL ELSE day END AS read, CASE WHEN form = 3 THEN 3650e0 ELSE CAST(greatest(0, date_diff('day', day, DATE '2001-01-01')) AS DOUBLE) END AS days FROM o)
+SELECT o_orderkey AS order_id, CAST(said AS DOUBLE) AS amount, 0e0 AS priority, false AS priority_is_number, rtrim(rtrim(said, '0'), '.') AS shown, read AS day, days,
+CASE WHEN days >= 3650 THEN 0e0 ELSE round(greatest(0e0, 1 - days / 90e0), 6) END AS boost, (o_orderkey % 60 BETWEEN 1 AND 50) AND (o_orderkey % 13 / 10.0 BETWEEN 0 AND 1) AND o_totalprice >= 100000 AND o_orderstatus IN ('O', 'F') AS valid FROM r""")
+def number_shapes(spark, sf_dir):
+    """Amounts and days of every order read back from text in several forms, their recency, and whether a request made of them is valid."""
+    rows, day = table(spark, sf_dir, "orders"), F.col("o_orderdate")
+    said = F.col("o_totalprice").cast("decimal(12,2)").cast("string")
+    form = F.col("o_orderkey") % 4
+    written = F.when(form == 0, F.date_format(day, "dd.MM.yyyy")).when(form == 1, F.date_format(day, "yyyy-MM-dd HH:mm:ss")).when(form == 2, F.date_format(day, "yyyy-MM-dd'T'HH:mm:ss'Z'")).otherwise(F.lit("someday"))
+    read = N.lenient_date(written)
+    days = N.recency_days(read, F.lit("2001-01-01").cast("date"))
+    valid = N.in_bounds(F.col("o_orderkey") % 60, (F.col("o_orderkey") % 13) / 10, F.col("o_totalprice") - 100000, F.col("o_orderstatus"), ("O", "F"))
+    return rows.select(
+        F.col("o_orderkey").alias("order_id"), N.lenient_double(F.concat(F.lit(" "), F.translate(said, ".", ","))).alias("amount"), N.lenient_double("o_orderpriority").alias("priority"),
+        N.is_number(F.col("o_orderpriority")).alias("priority_is_number"), T.humanize_number(said).alias("shown"), read.alias("day"), days.alias("days"), F.round(N.recency_boost(days, 90.0), 6).alias("boost"), valid.alias("valid"),
+    )
+
+
+@query("""WITH p AS (SELECT *, str_split(p_name, ' ')[-1] AS last, lower(p_type) AS kind, 'n' || lpad(CAST(p_size AS VARCHAR), 2, '0') AS code, p_name || ' ' || p_type AS named FROM part)
+SELECT p_partkey AS item_id, CASE p_partkey % 3 WHEN 0 THEN 'works' WHEN 1 THEN 'services' ELSE 'goods' END AS item_kind, CASE WHEN code = 'n11' THEN 1e0 WHEN p_size = 12 THEN 0.8e0 ELSE 0e0 END AS code_match,
+CASE WHEN length(named) <= 12 THEN named ELSE regexp_replace(left(named, 11), ' [^ ]*$', '') || '…' END AS cut, p_brand || ';' || p_type AS listed, p_type NOT IN ('MIXED') AS acronym, regexp_full_match(replace(p_name, ' ', ''), '[A-Za-z0-9]{2,16}') AND NOT regexp_full_match(replace(lower(p_name), ' ', ''), '[ivxlcdm]+') AS acronym_of_words, length(last) <= 2 AND length(split_part(p_name, ' ', 1)) <= 2 AS bad,
+length(last) <= 5 AND length(regexp_replace(last, '[aeiouy]', '', 'g')) >= length(last) - (CASE WHEN contains(last, 'y') THEN 1 ELSE 0 END) - 1 + (CASE WHEN contains(last, 'y') THEN 1 ELSE 0 END) AS abbreviation, true AS phrase, split_part(p_name, ' ', 1) IN ('red', 'blue') AS expected,
+p_name || ' ' || p_name || ' ' || p_type || ' size' AS document, p_name || ' ' || kind AS pseudo, 'stripped:' || p_name || ' ' || kind AS chosen, CASE WHEN p_size BETWEEN 10 AND 99 THEN 'c' || CAST(p_size AS VARCHAR) ELSE '' END AS codes FROM p""")
+def product_shapes(spark, sf_dir):
+    """Kind, codes, cut and listed texts, alias tests, phrases and queries made of every product's name, brand and type."""
+    name, kind, size = F.col("p_name"), F.col("p_type"), F.col("p_size")
+    last = F.element_at(F.split(name, " "), -1)
+    work = F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit("Ремонт: "), name)).when(F.col("p_partkey") % 3 == 1, F.concat(name, F.lit(" (услуги)"))).otherwise(name)
+    code = F.concat(F.lit("Тип N"), F.lpad(size.cast("string"), 2, "0"))
+    asked = F.array(F.lit("n11"), F.lit("n12bg"))
+    chosen = T.chosen_query(F.concat(F.lit("Поставка "), name, F.lit(", "), kind))
+    return table(spark, sf_dir, "part").select(
+        F.col("p_partkey").alias("item_id"), T.item_kind(work, kind).alias("item_kind"), T.code_match(T.category_codes(code), asked).alias("code_match"), T.truncate_words(F.concat_ws(" ", name, kind), 12).alias("cut"),
+        F.array_join(T.pipe_list(F.concat_ws("|", F.concat(F.lit(" "), "p_brand"), F.lit(" "), kind)), ";").alias("listed"), A.acronym_like(kind).alias("acronym"), A.acronym_like(name).alias("acronym_of_words"), A.bad_alias(name).alias("bad"),
+        A.abbreviation_like(last).alias("abbreviation"), T.contains_phrase(T.tokenize(name), last).alias("phrase"), T.meets_expectation(name, F.array(last), F.array(F.lit("Red"), F.lit("blue"))).alias("expected"),
+        T.document_text(name, kind, F.lit("size")).alias("document"), T.pseudo_queries(F.lit(""), name, kind, F.lit(None).cast("string"))["name_category"].alias("pseudo"), F.concat_ws(":", chosen["name"], chosen["text"]).alias("chosen"),
+        F.array_join(T.category_codes(F.concat(F.lit("c"), size.cast("string"))), ",").alias("codes"),
+    )

@@ -214,13 +214,18 @@ def nearest(table: DataFrame, queries: Column, k: int = 5, ident: str = "vec_id"
             members = [m[same[m] == u] for u, m in enumerate(members)]
             near = (v[q] / size[q, None]) @ (v[apart] / size[apart, None]).T
             # the cut is at the (k + 1)-th id, whose best vector counts, however many vectors the ids before it have
-            listed = np.concatenate(members)
+            listed = c[np.concatenate(members)]
             of = np.repeat(np.arange(len(members)), [len(m) for m in members])
-            by = np.argsort(ids[c[listed]], kind="stable")
-            starts = np.flatnonzero(np.diff(ids[c[listed]][by], prepend=ids[c[listed]][by][:1] - 1))
-            best = np.maximum.reduceat(near[:, of[by]], starts, axis=1) if len(starts) < len(by) or len(by) > len(apart) else near
-            most = min(k + 1, best.shape[1])
-            edge = np.partition(best, best.shape[1] - most, axis=1)[:, best.shape[1] - most]
+            by = np.argsort(ids[listed], kind="stable")
+            starts = np.flatnonzero(np.diff(ids[listed][by], prepend=ids[listed][by][:1] - 1))
+            if len(starts) == len(by):  # each vector has ids of its own
+                most = min(k + 1, len(apart))
+                edge = np.partition(near, len(apart) - most, axis=1)[:, len(apart) - most]
+            else:
+                most, edge = min(k + 1, len(starts)), np.zeros(len(q))
+                for a in range(0, len(q), 64):
+                    best = np.maximum.reduceat(near[a : a + 64, of[by]], starts, axis=1)
+                    edge[a : a + 64] = np.partition(best, len(starts) - most, axis=1)[:, len(starts) - most]
             i, j = np.nonzero(near >= edge[:, None] - 1e-9)
             score = np.einsum("nd,nd->n", v[q[i]], v[apart[j]]) / (size[q[i]] * size[apart[j]])
             many = np.array([len(members[u]) for u in j])

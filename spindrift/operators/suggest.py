@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from spindrift.functions import phrases as H
 from spindrift.functions import text as T
+from spindrift.operators.shared import stored
 
 #: Ties between kinds of suggestion.
 KINDS = ("query", "correction", "product", "category")
@@ -17,10 +19,12 @@ def merged(groups: DataFrame, limit: int = 10) -> DataFrame:
 
     Texts mean the same if their stems do; the best of them takes the earliest place.
     """
+    groups = stored(groups)
     own = W.partitionBy("asked", "group").orderBy(F.desc("score"), "text")
     turn = groups.withColumn("turn", F.row_number().over(own))
     placed = turn.withColumn("position", F.row_number().over(W.partitionBy("asked").orderBy("turn", "group", "text")))
-    keyed = placed.withColumn("meaning", F.array_join(T.stem_tokens(T.tokenize(F.col("text"))), " "))
+    meanings = stored(groups.select("text").distinct().withColumn("meaning", F.array_join(T.stem_tokens(T.tokenize(F.col("text"))), " ")))
+    keyed = placed.join(meanings, "text")
     rank = F.array_position(F.array(*[F.lit(k) for k in KINDS]), F.col("kind"))
     same = W.partitionBy("asked", "meaning")
     best = keyed.withColumns({"first": F.min("position").over(same), "again": F.row_number().over(same.orderBy(F.desc("score"), rank, F.length("text"), "text"))}).where("again = 1")
@@ -43,3 +47,116 @@ def query_support(purchases: DataFrame) -> DataFrame:
 def benchmark(purchases: DataFrame, least: int = 3, least_top: int = 2, least_share: float = 0.6) -> DataFrame:
     """Queries with enough support whose best item leads clearly."""
     return query_support(purchases).where((F.col("support") >= least) & (F.col("top") >= least_top) & (F.col("share") >= least_share))
+
+
+#: Edge prefixes that are kept, and how many products each keeps.
+EDGES, KEPT = (2, 3, 4), 120
+# What a short prefix asks of products whose category doesn't fit (share that the type bought; purchases).
+LEAST_SHARE_ALONE, LEAST_COUNT = 0.45, 3
+TOP_OF_TYPE = 30
+
+
+def prefix_table(products: DataFrame, edges: tuple[int, ...] = EDGES, most: int = KEPT) -> DataFrame:
+    """prefix, item_id, name, category, place: of each edge prefix of the normalised names the products of shortest name (then by name, then id).
+
+    A product has as many prefixes as there are edges; of each prefix every task sends on its best ones alone.
+    """
+    text = T.normalize_text(F.col("name"))
+    held = products.select("item_id", "name", "category", text.alias("text")).where("text <> ''")
+    cut = F.array_distinct(F.filter(F.array(*[F.when(F.length("text") >= n, F.substring("text", 1, n)) for n in edges]), lambda x: x.isNotNull()))
+    order = W.partitionBy("prefix").orderBy(F.length("text"), "text", "item_id")
+    ranked = held.select(F.explode(cut).alias("prefix"), "item_id", "name", "category", "text").withColumn("place", F.row_number().over(order))
+    return ranked.where(F.col("place") <= most).drop("text")
+
+
+def short_prefix(query: Column, customer: Column) -> Column:
+    """The query as a prefix of 2 to 4 characters, if it is one token and the customer is known; else null."""
+    text = T.normalize_text(query)
+    return F.when(customer.isNotNull() & (F.size(T.tokenize(query)) == 1) & F.length(text).between(EDGES[0], EDGES[-1]), text)
+
+
+def type_stats(lines: DataFrame, people: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(type, item_id, count; customer_id, item_id, own; item_id, total) of purchases; people: customer_id, type."""
+    own = lines.groupBy("customer_id", "item_id").agg(F.count("*").alias("own"))
+    typed = own.join(people, "customer_id").groupBy("type", "item_id").agg(F.sum("own").alias("count"))
+    return typed, own, own.groupBy("item_id").agg(F.sum("own").alias("total"))
+
+
+def same_type_prefix(asked: DataFrame, prefixes: DataFrame, people: DataFrame, lines: DataFrame, typical: DataFrame, preferred: DataFrame, recommended: DataFrame) -> DataFrame:
+    """customer_id, query, item_id, name, count, score, rank: products that begin with a short query and that other customers of the same type buy.
+
+    asked: customer_id, query.  typical: type and category; preferred: customer_id, category, weight; recommended: customer_id, item_id, weight.
+    Customers whose type nobody else bought for are shown what all customers bought of the typical categories.
+    A product is admitted if its category, or the codes in it, fit the customer, or if enough of its purchases come from the type.
+    """
+    typed, own, totals = type_stats(lines, people)
+    held = asked.withColumn("prefix", short_prefix(F.col("query"), F.col("customer_id"))).where("prefix IS NOT NULL").join(people, "customer_id").join(prefixes, "prefix")
+    rows = held.join(typed, ["type", "item_id"], "left").join(own, ["customer_id", "item_id"], "left").join(totals, "item_id", "left")
+    rows = rows.join(typical.select("type", "category", F.lit(True).alias("usual")).distinct(), ["type", "category"], "left")
+    peers = F.coalesce("count", F.lit(0)) - F.coalesce("own", F.lit(0))
+    some = F.max(peers).over(W.partitionBy("customer_id", "query")) > 0
+    count = F.when(some, peers).otherwise(F.when(F.coalesce("usual", F.lit(False)), F.coalesce("total", F.lit(0)) - F.coalesce("own", F.lit(0))).otherwise(0))
+    rows = rows.withColumns({"n": count, "total": F.greatest(count, F.coalesce("total", F.lit(0)))}).where("n > 0")
+    best = preferred.groupBy("customer_id", "category").agg(F.max("weight").alias("liked"))
+    rows = rows.join(best, ["customer_id", "category"], "left").join(recommended.groupBy("customer_id", "item_id").agg(F.max("weight").alias("advised")), ["customer_id", "item_id"], "left")
+    known = typical.groupBy("type").agg(F.flatten(F.collect_set(T.category_codes(F.col("category")))).alias("codes"))
+    rows = rows.join(known, "type", "left")
+    match = H.prefix_match(F.col("query"), T.tokenize(F.col("name")), secondary=False)
+    code = 14.0 * T.code_match(T.category_codes(F.col("category")), F.coalesce("codes", F.array().cast("array<string>")))
+    liked = F.when(F.coalesce("usual", F.lit(False)), 12.0).otherwise(F.least(F.lit(10.0), F.coalesce("liked", F.lit(0.0)) * 1.8))
+    rows = rows.withColumns({"match": match, "code": code, "liked": liked, "part": F.col("n") / F.col("total")}).where("match > 0")
+    fits = F.greatest("liked", "code") > 0
+    admitted = fits | ((F.col("part") >= LEAST_SHARE_ALONE) & (F.col("n") >= LEAST_COUNT))
+    score = 0.06 * F.col("match") + F.least(F.lit(14.0), 2.5 * F.log1p("n")) + 18.0 * F.col("part") + F.col("liked") + F.col("code") + F.least(F.lit(6.0), F.coalesce("advised", F.lit(0.0))) - F.when(fits, 0.0).otherwise(10.0)
+    scored = rows.where(admitted).withColumn("score", F.round(score, 4))
+    order = W.partitionBy("customer_id", "query").orderBy(F.desc("score"), F.desc("n"), F.desc("name"), "item_id")
+    ranked = scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= TOP_OF_TYPE)
+    return ranked.select("customer_id", "query", "item_id", "name", F.col("n").alias("count"), "score", "rank")
+
+
+def matching(rows: DataFrame, phrase: Column) -> DataFrame:
+    """query, name, text, match of the distinct pairs (query, name) of which the phrase made of the name, or the name, begins like the query; computed once, as these are long expressions."""
+    names = stored(rows.select("name").distinct().select("name", phrase.alias("phrase")))
+    names = stored(names.select("name", F.when(F.col("phrase") == "", F.col("name")).otherwise(F.col("phrase")).alias("text")).withColumns({"of_text": T.tokenize(F.col("text")), "of_name": T.tokenize(F.col("name"))}))
+    pairs = stored(rows.select("query", "name").distinct().join(names, "name"))
+    scored = [stored(pairs.select("query", "name", H.prefix_match(F.col("query"), F.col(c)).alias(c))) for c in ("of_text", "of_name")]
+    both = pairs.select("query", "name", "text").join(scored[0], ["query", "name"]).join(scored[1], ["query", "name"])
+    return both.select("query", "name", "text", F.greatest("of_text", "of_name").alias("match")).where("match > 0")
+
+
+def product_suggestions(rows: DataFrame, group: int) -> DataFrame:
+    """asked, group, kind, text, score of products (asked, query, name, count, score) whose name or short phrase begins like the query.
+
+    score: what recommends the product, null for 0.
+    """
+    held = rows.join(matching(rows, H.product_phrase(F.col("name"))), ["query", "name"])
+    query = T.normalize_text(F.col("query"))
+    begins = lambda c: F.when(F.startswith(T.normalize_text(F.col(c)), query), 1).otherwise(0)
+    score = F.col("match") + F.least(F.col("count").cast("double"), F.lit(15.0)) + F.least(F.coalesce("score", F.lit(0.0)), F.lit(12.0)) + 18.0 * begins("text") + 10.0 * begins("name") + 35.0
+    return held.where(T.normalize_text(F.col("name")) != query).select("asked", F.lit(group).alias("group"), F.lit("product").alias("kind"), "text", F.round(score, 4).alias("score"))
+
+
+def category_suggestions(rows: DataFrame, group: int) -> DataFrame:
+    """The same of a customer's categories (asked, query, category)."""
+    named = rows.select("asked", "query", F.col("category").alias("name"))
+    held = named.join(matching(named, H.category_phrase(F.col("name"))), ["query", "name"]).where(F.col("text") != T.normalize_text(F.col("query")))
+    return held.select("asked", F.lit(group).alias("group"), F.lit("category").alias("kind"), "text", (F.col("match") + 20.0).alias("score"))
+
+
+def query_suggestions(analysed: DataFrame, group: int) -> DataFrame:
+    """Of analysed queries (asked, normalized, corrected_query, synonyms): the corrected query, if it differs, and synonyms."""
+    rows = analysed.select("asked", "normalized", F.explode(F.concat(
+        F.array(F.struct(F.lit("correction").alias("kind"), F.col("corrected_query").alias("text"), F.lit(180.0).alias("score"))),
+        F.transform("synonyms", lambda s: F.struct(F.lit("query").alias("kind"), s.alias("text"), F.lit(160.0).alias("score"))),
+    )).alias("s"))
+    return rows.where("s.text <> '' AND s.text <> normalized").select("asked", F.lit(group).alias("group"), "s.*")
+
+
+def suggested(products: DataFrame, of_type: DataFrame, categories: DataFrame, queries: DataFrame, limit: int = 5) -> DataFrame:
+    """The groups merged; who has products of the type for a short prefix gets no categories.
+
+    products, of_type: asked, query, name, count, score.  categories: asked, query, category.  queries: see ``query_suggestions``.
+    """
+    mine, typed, named = product_suggestions(products, 1), product_suggestions(of_type, 2), category_suggestions(categories, 3)
+    named = named.join(typed.select("asked").distinct(), "asked", "left_anti")
+    return merged(mine.unionByName(typed).unionByName(named).unionByName(query_suggestions(queries, 4)), limit)

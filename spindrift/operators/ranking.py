@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from spindrift.functions import text as T
+
 
 def rank_metrics(rows: DataFrame, group: str = "group_id", label: str = "label", score: str = "score", ident: str = "candidate_id") -> DataFrame:
     """Of each group: nDCG at 5 and 10, reciprocal rank, recall and hit at 10.  Ties in score go to the larger id; groups without positives count 0."""
@@ -55,28 +57,55 @@ def category_buckets(counts: DataFrame) -> DataFrame:
     return counts.select("category", F.when(top <= quarter, "frequent").when(low <= quarter, "rare").otherwise("regular").alias("bucket"))
 
 
-def negatives(positives: DataFrame, catalog: DataFrame, same: int = 2, total: int = 6, seed: int = 7) -> DataFrame:
-    """group_id, item_id, kind: for each positive so many others of its category, the rest from anywhere.
+#: How many products a token's postings keep for similar texts, and how many products share a ring of others.
+POSTINGS, RING = 500, 64
+
+
+def similar_texts(asked: DataFrame, catalog: DataFrame, most: int, cap: int = POSTINGS) -> DataFrame:
+    """words, item_id, shared, place: the products that share most tokens with each array of words (ties: smaller id).
+
+    A token stands for its first ``cap`` products by id: what a frequent token has beyond them is found by the other tokens of the text or
+    not at all, so a text meets at most cap products a token.  Products are found by name, category and attributes.
+    """
+    tokens = F.array_distinct(F.concat(*[T.tokenize(F.col(c)) for c in ("name", "category", "attributes")]))
+    held = catalog.select("item_id", F.explode(tokens).alias("token"))
+    held = held.withColumn("__n", F.row_number().over(W.partitionBy("token").orderBy("item_id"))).where(F.col("__n") <= cap).drop("__n")
+    words = asked.select("words").distinct()
+    met = words.withColumn("token", F.explode(F.array_distinct("words"))).join(held, "token").groupBy("words", "item_id").agg(F.count("*").alias("shared"))
+    order = W.partitionBy("words").orderBy(F.desc("shared"), "item_id")
+    return met.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most)
+
+
+def negatives(positives: DataFrame, catalog: DataFrame, same: int = 2, similar: int = 2, total: int = 6, seed: int = 7) -> DataFrame:
+    """group_id, item_id, kind: for each positive (group_id, item_id, category, words) so many others of its category, then of the most similar text, the rest from anywhere.
 
-    Others stand on a ring in hash order; a group starts at its own place, so nothing is
-    drawn at random and no group meets the whole catalog.
+    Others stand on rings in hash order, those of a category on one, all on many small ones; a group starts at its own place, so nothing is
+    drawn at random, no group meets the whole catalog and no window numbers it.
     """
     place = F.row_number().over(W.partitionBy("category").orderBy(F.xxhash64("item_id", F.lit(seed)), "item_id")) - 1
     own = catalog.select("item_id", "category").withColumns({"place": place, "size": F.count("*").over(W.partitionBy("category"))})
-    ring = catalog.select("item_id").withColumn("place", F.row_number().over(W.orderBy(F.xxhash64("item_id", F.lit(seed + 1)), "item_id")) - 1)
-    n = catalog.count()
+    rings = max(1, catalog.count() // RING)
+    ring = F.pmod(F.xxhash64("item_id", F.lit(seed + 1)), F.lit(rings))
+    around = W.partitionBy("ring").orderBy(F.xxhash64("other", F.lit(seed + 2)), "other")
+    everywhere = catalog.select(F.col("item_id").alias("other"), ring.alias("ring")).withColumns({"place": F.row_number().over(around) - 1, "size": F.count("*").over(W.partitionBy("ring"))})
     start = lambda s: F.pmod(F.xxhash64("group_id", F.lit(s)), F.lit(1 << 40))
-    near = positives.withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(same)))).join(own.groupBy("category").agg(F.max("size").alias("size")), "category")
-    near = near.withColumn("place", F.pmod(start(1) + F.col("step"), F.col("size")).cast("int")).join(own.select("category", "place", F.col("item_id").alias("other")), ["category", "place"]).withColumn("kind", F.lit("same_category"))
-    far = positives.withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(2 * total)))).withColumn("place", F.pmod(start(2) + F.col("step"), F.lit(n)).cast("int")).join(ring.select("place", F.col("item_id").alias("other")), "place").withColumn("kind", F.lit("any"))
+    step = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n)))
+    near = positives.withColumn("step", step(same)).join(own.groupBy("category").agg(F.max("size").alias("size")), "category")
+    near = near.withColumn("place", F.pmod(start(1) + F.col("step"), F.col("size")).cast("int")).join(own.select("category", "place", F.col("item_id").alias("other")), ["category", "place"]).withColumn("kind", F.lit(0))
+    alike = positives.join(similar_texts(positives, catalog, same + similar + 1).withColumnRenamed("item_id", "other"), "words").withColumn("step", F.col("place")).withColumn("kind", F.lit(1))
+    far = positives.withColumns({"ring": F.pmod(start(2), F.lit(rings)), "step": step(2 * total)}).join(everywhere.groupBy("ring").agg(F.max("size").alias("size")), "ring")
+    far = far.where(F.col("step") < F.col("size")).withColumn("place", F.pmod(start(3) + F.col("step"), F.col("size")).cast("int")).join(everywhere.select("ring", "place", "other"), ["ring", "place"]).withColumn("kind", F.lit(2))
     cols = ["group_id", "item_id", "other", "kind", "step"]
-    held = near.select(*cols).unionByName(far.select(*cols)).where("other <> item_id")
-    first = W.partitionBy("group_id", "other").orderBy(F.desc("kind"), "step")
-    once = held.withColumn("again", F.row_number().over(first)).where("again = 1")
-    ranked = once.withColumn("turn", F.row_number().over(W.partitionBy("group_id", "kind").orderBy("step")))
-    some = ranked.where((F.col("kind") == "any") | (F.col("turn") <= same))
-    order = W.partitionBy("group_id").orderBy(F.desc("kind"), "turn")
-    return some.withColumn("place", F.row_number().over(order)).where(F.col("place") <= total).select("group_id", F.col("other").alias("item_id"), "kind")
+    held = near.select(*cols).unionByName(alike.select(*cols)).unionByName(far.select(*cols)).where("other <> item_id")
+    # the picks of a category come first; what they took is no similar text any more, and so on
+    taken = held.where("kind = 0").withColumn("turn", F.row_number().over(W.partitionBy("group_id").orderBy("step", "other"))).where(F.col("turn") <= same)
+    rest = held.where("kind > 0").join(taken.select("group_id", "other"), ["group_id", "other"], "left_anti")
+    once = rest.withColumn("again", F.row_number().over(W.partitionBy("group_id", "other").orderBy("kind", "step"))).where("again = 1")
+    ranked = once.withColumn("turn", F.row_number().over(W.partitionBy("group_id", "kind").orderBy("step", "other"))).where((F.col("kind") == 2) | (F.col("turn") <= similar))
+    full = taken.select(*cols, "turn").unionByName(ranked.select(*cols, "turn"))
+    order = W.partitionBy("group_id").orderBy("kind", "turn")
+    names = F.element_at(F.array(F.lit("same_category"), F.lit("similar_text"), F.lit("any")), F.col("kind") + 1)
+    return full.withColumn("place", F.row_number().over(order)).where(F.col("place") <= total).select("group_id", F.col("other").alias("item_id"), names.alias("kind"))
 
 
 def group_split(groups: DataFrame, key: str, train: float = 0.7, valid: float = 0.85, seed: int = 11) -> DataFrame:

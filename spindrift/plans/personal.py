@@ -86,7 +86,7 @@ def boost(days: str, horizon: str) -> str:
 SELECT {KEY}, round(1.8e0 * ln(1 + uc) + 2.2e0 * CASE WHEN ut > 0 THEN uc / ut ELSE 0e0 END + 2.8e0 * CASE WHEN ui > 0 THEN 1 ELSE 0 END + 1.4e0 * {boost('cr', '90e0')} + 1.2e0 * {boost('ir', '180e0')} + 0.4e0 + 0.35e0 * ln(1 + pop), 6) AS score,
 CASE WHEN ut > 0 AND uc / ut >= 0.2 THEN true ELSE false END AS affine FROM f""")
 def rule_score(spark, sf_dir):
-    out = X.global_priors(X.user_history(events(spark, sf_dir)))
+    out = X.user_history(events(spark, sf_dir)).withColumn("item_popularity", F.count("*").over(X.before("item_id")))
     share = N.safe_ratio(F.col("user_category"), F.col("user_total"))
     repeat = (F.col("user_item") > 0).cast("double")
     score = X.rule_score({"user_category": F.col("user_category"), "category_share": share, "repeat": repeat, "category_recency": F.col("category_recency"), "item_recency": F.col("item_recency"), "item_popularity": F.col("item_popularity")})
@@ -246,10 +246,23 @@ def category_buckets(spark, sf_dir):
 def negative_samples(spark, sf_dir):
     """Six negatives of every order line's product."""
     lines = P.with_category(contracts(spark, sf_dir), catalog(spark, sf_dir))
-    positives = lines.select(F.concat_ws("-", "contract_id", "line", "item_id", "supplier_id").alias("group_id"), "item_id", "category").distinct()
+    words = catalog(spark, sf_dir).select("item_id", F.array_sort(F.array_distinct(T.tokenize(F.concat_ws(" ", "name", "category")))).alias("words"))
+    positives = lines.select(F.concat_ws("-", "contract_id", "line", "item_id", "supplier_id").alias("group_id"), "item_id", "category").distinct().join(words, "item_id")
     return K.negatives(positives, catalog(spark, sf_dir))
 
 
+@query(f"""WITH {CATALOG}, t AS (SELECT item_id, unnest(list_distinct(regexp_extract_all(lower(name || ' ' || category || ' ' || attributes), '[0-9a-z]+'))) AS token FROM catalog),
+p AS (SELECT * FROM t QUALIFY row_number() OVER (PARTITION BY token ORDER BY item_id) <= 500),
+q AS (SELECT item_id AS query_id, unnest(list_distinct(regexp_extract_all(lower(name || ' ' || category), '[0-9a-z]+'))) AS token FROM catalog),
+m AS (SELECT query_id, item_id, count(*) AS shared FROM q JOIN p USING (token) GROUP BY ALL)
+SELECT query_id, item_id, shared, CAST(row_number() OVER (PARTITION BY query_id ORDER BY shared DESC, item_id) AS INTEGER) AS place FROM m QUALIFY place <= 5""")
+def similar_texts(spark, sf_dir):
+    """Of every product's words the five products that share most of them: the limit, and the 500 products a token, are the feature."""
+    rows = catalog(spark, sf_dir)
+    asked = rows.select(F.col("item_id").alias("query_id"), F.array_sort(F.array_distinct(T.tokenize(F.concat_ws(" ", "name", "category")))).alias("words"))
+    return asked.join(K.similar_texts(asked, rows, 5), "words").select("query_id", "item_id", "shared", "place")
+
+
 EV = """ev AS (SELECT event_id, user_id, ts, event_type AS kind, coalesce(json_extract_string(props, '$.k'), '') AS item,
 'c' || CAST(((coalesce(TRY_CAST(json_extract_string(props, '$.k') AS BIGINT), 0) % 7) + 7) % 7 AS VARCHAR) AS category, value * 100 AS duration_ms FROM events)"""
 

@@ -121,15 +121,30 @@ def test_metrics_edge_cases(spark):
 
 
 def test_negatives_are_whole(spark):
-    items = spark.createDataFrame([(i, f"c{i % 3}") for i in range(40)], "item_id long, category string")
-    got = ranking.negatives(items.select(F.concat(F.lit("g"), F.col("item_id")).alias("group_id"), "item_id", "category"), items).collect()
+    items = spark.createDataFrame([(i, f"thing{i % 5} part{i % 7}", f"c{i % 3}", "a:b") for i in range(40)], "item_id long, name string, category string, attributes string")
+    asked = items.select(F.concat(F.lit("g"), F.col("item_id")).alias("group_id"), "item_id", "category", F.split("name", " ").alias("words"))
+    got = ranking.negatives(asked, items).collect()
     by = {}
     for r in got:
         by.setdefault(r["group_id"], []).append(r)
     assert len(by) == 40
     for g, rows in by.items():
-        assert len({r["item_id"] for r in rows}) == 6 and int(g[1:]) not in {r["item_id"] for r in rows}
-        assert sum(r["kind"] == "same_category" for r in rows) == 2
+        i = int(g[1:])
+        assert len({r["item_id"] for r in rows}) == 6 and i not in {r["item_id"] for r in rows}
+        assert sum(r["kind"] == "same_category" for r in rows) == 2 and all(r["item_id"] % 3 == i % 3 for r in rows if r["kind"] == "same_category")
+        near = [r["item_id"] for r in rows if r["kind"] == "similar_text"]
+        assert len(near) == 2 and all(x % 5 == i % 5 or x % 7 == i % 7 for x in near)
+    assert ranking.negatives(asked, items).count() == ranking.negatives(asked.repartition(5), items.repartition(3)).intersect(ranking.negatives(asked, items)).count()
+    assert ranking.negatives(asked.limit(0), items.limit(0)).count() == 0
+
+
+def test_similar_texts_with_a_cap(spark):
+    items = spark.createDataFrame([(i, "pen red" if i == 9 else "pen", None, "") for i in range(10)], "item_id long, name string, category string, attributes string")
+    asked = spark.createDataFrame([(["pen", "red"],), (["pen", "pen"],), ([],), (None,)], "words array<string>")
+    got = {tuple(r["words"]): [] for r in ranking.similar_texts(asked, items, 3, cap=2).collect()}
+    for r in ranking.similar_texts(asked, items, 3, cap=2).orderBy("place").collect():
+        got[tuple(r["words"])].append((r["item_id"], r["shared"]))
+    assert got == {("pen", "red"): [(0, 1), (1, 1), (9, 1)], ("pen", "pen"): [(0, 1), (1, 1)]}
 
 
 def test_suggestions_merge(spark):

@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from spindrift.plans import personal, profiles, purchases, rules, search, state, suggestions  # noqa: F401
+from spindrift.plans import personal, profiles, purchases, rerank, rules, search, state, suggestions  # noqa: F401
 from spindrift.plans.base import ORACLE_SQL, QUERIES  # noqa: F401

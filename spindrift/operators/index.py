@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from spindrift.functions import text as T
 from spindrift.operators.corpus import BROADCAST_ROWS
+from spindrift.operators.shared import stored
 
 # Weight of a token of each field, and how often the field's tokens count in a row's length (names and categories stand there twice, raw and normalised).
 FIELDS = {"name": (3.7, 2), "category": (2.1, 2), "key_tokens": (0.7, 1)}
@@ -139,13 +140,23 @@ def best_rows(hits: DataFrame, asked: DataFrame, total: int, mean: float, top: i
 
     The rate of a prefix is ln((N - n + .5) / (n + .5)), at least a tiny number, n being the rows that hold it.  A query's common prefixes
     only add to rows that a rarer one brings in, as soon as all of them together stay below the score of the top-th row
-    of a single prefix; so frequent words meet the rows of rare ones, not all of theirs.  hits is read several times.
+    of a single prefix; so frequent words meet the rows of rare ones, not all of theirs.  Queries of the same prefixes are one question, and
+    rows that hold the same prefixes equally often at the same length are one until the page is made, of which top rows at most stand in it.
     """
+    sets = stored(asked.groupBy("query_id").agg(F.array_sort(F.collect_set("prefix")).alias("set")))
+    first = sets.groupBy("set").agg(F.min("query_id").alias("first"))
+    askers = sets.join(first, "set").select("query_id", "first")
+    asked = first.select(F.col("first").alias("query_id"), F.explode("set").alias("prefix"))
+    alike = stored(hits.groupBy("item_id").agg(F.array_sort(F.collect_list(F.struct("prefix", "tf"))).alias("held"), F.max("length").alias("length")))
+    kinds = stored(alike.groupBy("held", "length").agg(F.min("item_id").alias("kind"), F.count("*").alias("rows")))
+    same = W.partitionBy("held", "length").orderBy("item_id")
+    members = alike.withColumn("place", F.row_number().over(same)).where(F.col("place") <= top).join(kinds, ["held", "length"]).select("kind", "item_id")
     norm = (1 - B + B * F.col("length") / mean) if mean else F.lit(1.0)
-    scored = hits.select("prefix", "item_id", (F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * norm)).alias("part"))
+    scored = kinds.select(F.inline("held"), "length", "kind", "rows").select("prefix", "kind", "rows", (F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * norm)).alias("part"))
     order = W.partitionBy("prefix").orderBy(F.desc("part"))
-    floors = scored.withColumn("place", F.row_number().over(order)).where(F.col("place") == top).select("prefix", F.col("part").alias("least"))
-    seen = scored.groupBy("prefix").agg(F.count("*").alias("n"), F.max("part").alias("most"))
+    most = scored.withColumn("place", F.row_number().over(order)).where(F.col("place") <= top)
+    floors = most.withColumn("so_far", F.sum("rows").over(order)).where(F.col("so_far") >= top).groupBy("prefix").agg(F.max("part").alias("least"))
+    seen = scored.groupBy("prefix").agg(F.sum("rows").alias("n"), F.max("part").alias("most"))
     rate = F.greatest(F.log((total - F.col("n") + 0.5) / (F.col("n") + 0.5)), F.lit(LEAST_RATE))
     words = seen.join(floors, "prefix", "left").withColumn("rate", rate)
     words = asked.join(words, "prefix").select("query_id", "prefix", "rate", (F.col("rate") * F.col("most")).alias("most"), (F.col("rate") * F.coalesce("least", F.lit(0.0))).alias("least"))
@@ -153,9 +164,14 @@ def best_rows(hits: DataFrame, asked: DataFrame, total: int, mean: float, top: i
     below = F.sum("most").over(own.orderBy("most", "prefix"))
     # a small margin, as sums differ in their last digits
     words = words.withColumn("brings", below >= F.max("least").over(own) * (1 - 1e-9)).select("query_id", "prefix", "rate", "brings")
-    bring = scored.join(words.where("brings"), "prefix").select("query_id", "item_id", "prefix", (F.col("rate") * F.col("part")).alias("score"))
-    rows = bring.select("query_id", "item_id").distinct()
-    add = rows.join(words.where("NOT brings"), "query_id").join(scored, ["prefix", "item_id"]).select("query_id", "item_id", "prefix", (F.col("rate") * F.col("part")).alias("score"))
-    sums = bring.unionByName(add).groupBy("query_id", "item_id").agg(F.round(F.sum("score"), 6).alias("score"))
-    place = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "item_id"))
-    return sums.withColumn("rank", place).where(F.col("rank") <= top)
+    bring = scored.join(words.where("brings"), "prefix").select("query_id", "kind", "prefix", (F.col("rate") * F.col("part")).alias("score"))
+    rows = bring.select("query_id", "kind").distinct()
+    add = rows.join(words.where("NOT brings"), "query_id").join(scored, ["prefix", "kind"]).select("query_id", "kind", "prefix", (F.col("rate") * F.col("part")).alias("score"))
+    sums = bring.unionByName(add).groupBy("query_id", "kind").agg(F.round(F.sum("score"), 6).alias("score"))
+    # each kind before another has a row before all of the other's
+    best = sums.withColumn("place", F.row_number().over(own.orderBy(F.desc("score"), "kind"))).where(F.col("place") <= top).join(kinds.select("kind", "rows"), "kind")
+    better = F.sum("rows").over(own.orderBy(F.desc("score")).rangeBetween(W.unboundedPreceding, W.currentRow)) - F.sum("rows").over(W.partitionBy("query_id", "score"))
+    shown = best.withColumn("better", better).where(F.col("better") < top).join(members, "kind")
+    place = F.row_number().over(own.orderBy(F.desc("score"), "item_id"))
+    page = shown.select("query_id", "item_id", "score").withColumn("rank", place).where(F.col("rank") <= top)
+    return page.withColumnRenamed("query_id", "first").join(askers, "first").select("query_id", "item_id", "score", "rank")

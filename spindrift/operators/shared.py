@@ -24,6 +24,20 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+#: About how many rows a task sorts or groups at most.
+ROWS_A_TASK = 1_000_000
+
+
+def tasks_for(spark: SparkSession, rows: int) -> int:
+    """How many partitions rows take so that none has many more than ``ROWS_A_TASK``: the session's number, or more where that doesn't do."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // ROWS_A_TASK))
+
+
+def spread(df: DataFrame, rows: int, *keys: str) -> DataFrame:
+    """df dealt by keys to the partitions that so many rows take; windows and groups by these keys, or by them and more, then shuffle nothing."""
+    return df.repartition(tasks_for(df.sparkSession, rows), *keys)
+
+
 def stored(df: DataFrame) -> DataFrame:
     """df computed once, in the shared folder."""
     shared_root(df.sparkSession)

@@ -4,7 +4,8 @@ import math
 
 from pyspark.sql import functions as F
 
-from spindrift.operators import index
+import __spark_entry__
+from spindrift.operators import index, purchases, shared
 
 
 def widest(df):
@@ -40,3 +41,22 @@ def test_alike_rows_and_queries_are_scored_once(spark):
         got.setdefault(r["query_id"], []).append((r["item_id"], round(r["score"], 6)))
     assert got == want
     assert widest(found) <= 2400  # 36,000 and more before
+
+
+def test_windows_by_customer_take_as_many_tasks_as_their_rows_need(spark, small, monkeypatch):
+    lines = spark.read.parquet(f"{small}/lineitem.parquet").count()
+    plain = sorted(map(str, __spark_entry__.queries()["rule_score"](spark, small).collect()))
+    monkeypatch.setattr(shared, "ROWS_A_TASK", lines // 20)
+    for name in ("pit_user_features", "pit_trailing_counts", "history_priority", "reason_trace", "rule_score"):
+        got = __spark_entry__.queries()[name](spark, small)
+        sizes = [r[1] for r in got.groupBy(F.spark_partition_id()).count().collect()]
+        assert len(sizes) > 12 and max(sizes) < lines / 6, name  # four partitions before
+    assert sorted(map(str, __spark_entry__.queries()["rule_score"](spark, small).collect())) == plain
+
+
+def test_peers_meet_where_the_customer_is(spark):
+    stats = spark.range(4000).select((F.col("id") % 1000).alias("customer_id"), F.concat(F.lit("c"), (F.col("id") % 7 + F.col("id") / 1000).cast("int").cast("string")).alias("category"), (F.col("id") % 13).alias("purchase_count"), F.lit(1.0).alias("total_amount"))
+    people, lists = purchases.overlap_peers(stats, top=2, limit=5, rows=20 * shared.ROWS_A_TASK)
+    held = people.join(lists, "list")
+    assert held.count() == 5000 and held.where("customer_id = peer_id").count() == 0
+    assert len({r[0] for r in people.select(F.spark_partition_id()).distinct().collect()}) > 12

@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from spindrift.operators.corpus import BROADCAST_ROWS
+from spindrift.operators.shared import spread, stored
+
 
 def money(column: str):
     """An exact sum of cents, the same in whatever order the parts arrive, as a double."""
@@ -123,25 +126,34 @@ def price_bands(stats: DataFrame, offers: DataFrame, catalog: DataFrame) -> Data
     return rows.join(catalog.select("item_id", "category"), "item_id").groupBy("category").agg(F.percentile("proxy", 0.25).alias("p25"), F.percentile("proxy", 0.75).alias("p75"))
 
 
-def overlap_peers(category_stats: DataFrame, top: int = 5, limit: int = 120) -> tuple[DataFrame, DataFrame]:
+def few(rows: DataFrame) -> DataFrame:
+    """rows, broadcast if a count tells that they are few."""
+    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
+
+
+def overlap_peers(category_stats: DataFrame, top: int = 5, limit: int = 120, rows: int = 0) -> tuple[DataFrame, DataFrame]:
     """(customer_id, list; list, peer_id, shared, purchases): the peers that share most of each customer's top categories.
 
     Peers depend on the set of top categories alone, save that nobody is their own peer.  So lists are made once a
     distinct set, one longer than the limit, and only customers who stand in their set's own list have one of their own.
+    A customer's categories stand in one partition and meet all sets there, so nothing is dealt by set or category, of which there are few.
+    rows: how many category_stats there are at most.  category_stats: one row a customer and category.
     """
+    category_stats = stored(spread(category_stats, rows, "customer_id"))
     order = W.partitionBy("customer_id").orderBy(F.desc("purchase_count"), F.desc("total_amount"), "category")
     mine = category_stats.withColumn("place", F.row_number().over(order)).where(F.col("place") <= top)
     mine = mine.groupBy("customer_id").agg(F.array_sort(F.collect_list("category")).alias("held")).select("customer_id", "held", F.to_json("held").alias("set"))
     theirs = category_stats.select(F.col("customer_id").alias("peer_id"), "category", "purchase_count")
-    met = mine.select("set", "held").distinct().select("set", F.explode("held").alias("category")).join(theirs, "category")
-    sums = met.groupBy("set", "peer_id").agg(F.count_distinct("category").alias("shared"), F.sum("purchase_count").alias("purchases"))
+    asked = stored(mine.select("set", "held").distinct().select("set", F.explode("held").alias("category")))
+    met = theirs.join(few(asked), "category")
+    sums = met.groupBy("peer_id", "set").agg(F.count("*").alias("shared"), F.sum("purchase_count").alias("purchases"))
     best = W.partitionBy("set").orderBy(F.desc("shared"), F.desc("purchases"), "peer_id")
-    ranked = sums.withColumn("place", F.row_number().over(best)).where(F.col("place") <= limit + 1)
-    inside = mine.join(ranked.select("set", F.col("peer_id").alias("customer_id")), ["set", "customer_id"]).select("set", "customer_id", F.concat_ws("#", "set", "customer_id").alias("list"))
+    ranked = stored(sums.withColumn("place", F.row_number().over(best)).where(F.col("place") <= limit + 1))
+    inside = mine.join(few(ranked.select("set", F.col("peer_id").alias("customer_id"))), ["set", "customer_id"]).select("set", "customer_id", F.concat_ws("#", "set", "customer_id").alias("list"))
     own = inside.join(ranked, "set").where("customer_id <> peer_id").select("list", "peer_id", "shared", "purchases")
     common = ranked.where(F.col("place") <= limit).select(F.col("set").alias("list"), "peer_id", "shared", "purchases")
-    people = mine.join(inside.select("customer_id", "list"), "customer_id", "left").select("customer_id", F.coalesce("list", "set").alias("list"))
-    return people, common.unionByName(own)
+    people = mine.join(few(stored(inside.select("customer_id", "list"))), "customer_id", "left").select("customer_id", F.coalesce("list", "set").alias("list"))
+    return people, few(stored(common.unionByName(own)))
 
 
 def orphans(lines: DataFrame, catalog: DataFrame) -> DataFrame:

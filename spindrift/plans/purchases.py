@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from spindrift.operators import purchases as P
-from spindrift.plans.base import CATALOG, CONTRACTS, CUSTOMER_REGIONS, SUPPLIER_REGIONS, catalog, contracts, query, regions, table
+from spindrift.plans.base import CATALOG, CONTRACTS, CUSTOMER_REGIONS, SUPPLIER_REGIONS, catalog, contracts, line_count, query, regions, table
 
 STATS = "count(*) AS purchase_count, round(sum(amount), 2) AS total_amount, min(day) AS first_day, max(day) AS last_day"
 TODAY = "2001-08-01"
@@ -163,7 +163,7 @@ q AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY customer_id ORDER
 
 
 def peer_lists(spark, sf_dir):
-    return P.overlap_peers(P.purchase_stats(P.with_category(contracts(spark, sf_dir), catalog(spark, sf_dir)), "customer_id", "category"), top=2)
+    return P.overlap_peers(P.purchase_stats(P.with_category(contracts(spark, sf_dir), catalog(spark, sf_dir)), "customer_id", "category"), top=2, rows=line_count(spark, sf_dir))
 
 
 @query(f"WITH {PEERS} SELECT * FROM q")
@@ -178,7 +178,8 @@ SELECT customer_id, item_id, purchase_count, round(total_amount, 2) AS total_amo
 def peer_recommendations(spark, sf_dir):
     """Twenty items that every customer's peers buy most, summed once a list of peers: the limit is the feature."""
     people, lists = peer_lists(spark, sf_dir)
-    stats = P.purchase_stats(contracts(spark, sf_dir), "customer_id", "item_id").select(F.col("customer_id").alias("peer_id"), "item_id", "purchase_count", "total_amount")
+    asked = P.few(lists.select(F.col("peer_id").alias("customer_id")).distinct())
+    stats = P.purchase_stats(contracts(spark, sf_dir).join(asked, "customer_id", "left_semi"), "customer_id", "item_id").select(F.col("customer_id").alias("peer_id"), "item_id", "purchase_count", "total_amount")
     sums = stats.join(lists, "peer_id").groupBy("list", "item_id").agg(F.sum("purchase_count").alias("purchase_count"), P.money("total_amount").alias("total_amount"))
     out = P.item_weights(sums, ["list"]).where("rank <= 20").drop("rank", "weight")
     return rounded(people.join(out, "list").select("customer_id", "item_id", "purchase_count", "total_amount"))

@@ -7,6 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from spindrift.functions import numbers as N
+from spindrift.operators.purchases import few
+from spindrift.operators.shared import spread, stored
 
 #: Events are taken in this order.
 ORDER = ("day", "contract_id", "customer_id", "item_id", "line", "supplier_id", "amount")
@@ -56,27 +58,33 @@ def rolling_amounts(events: DataFrame, key: str, rows: int = 200) -> DataFrame:
     })
 
 
-def earlier(events: DataFrame, name: str, *keys: str) -> DataFrame:
-    """events with the number of earlier events of the same keys, for keys of many events: day totals first, so only one day's events of a key share a sort."""
-    totals = events.groupBy(*keys, "day").agg(F.count("*").alias("n"))
+def earlier(events: DataFrame, totals: DataFrame, name: str, *keys: str) -> DataFrame:
+    """events with the number of earlier events of the same keys, for keys of many events: day totals first, so only one day's events of a key share a sort.
+
+    totals: counts n by day and at least the keys.
+    """
     running = W.partitionBy(*keys).orderBy("day").rowsBetween(W.unboundedPreceding, -1)
-    totals = totals.select(*keys, "day", F.coalesce(F.sum("n").over(running), F.lit(0)).alias("__before"))
-    placed = events.join(totals, [*keys, "day"])
+    totals = totals.groupBy(*keys, "day").agg(F.sum("n").alias("n")).select(*keys, "day", F.coalesce(F.sum("n").over(running), F.lit(0)).alias("__before"))
+    placed = events.join(few(totals), [*keys, "day"])
     return placed.withColumn(name, F.col("__before") + F.row_number().over(W.partitionBy(*keys, "day").orderBy(*ORDER)) - 1).drop("__before")
 
 
-def global_priors(events: DataFrame) -> DataFrame:
+def global_priors(events: DataFrame, rows: int = 0) -> DataFrame:
     """Popularity of item and category before each event: overall, in the customer's region, in the month of the year.
 
-    Categories are few and their events many, so those counts go by day.
+    Categories are few and their events many, so those counts go by day.  Events are dealt twice, by item and by category and day, which
+    serves the other keys too.  rows: how many events there are at most.
     """
-    held = events.withColumn("month", F.month("day")).withColumns({
+    events = events.withColumn("month", F.month("day"))
+    totals = stored(events.groupBy("region", "month", "category", "day").agg(F.count("*").alias("n")))
+    held = spread(events, rows, "item_id").withColumns({
         "item_popularity": F.count("*").over(before("item_id")),
         "region_item_popularity": F.count("*").over(before("region", "item_id")),
     })
-    held = earlier(held, "category_popularity", "category")
-    held = earlier(held, "region_category_popularity", "region", "category")
-    return earlier(held, "seasonal_popularity", "month", "category").drop("month")
+    held = spread(held, rows, "category", "day")
+    held = earlier(held, totals, "category_popularity", "category")
+    held = earlier(held, totals, "region_category_popularity", "region", "category")
+    return earlier(held, totals, "seasonal_popularity", "month", "category").drop("month")
 
 
 def dominant_supplier(events: DataFrame) -> DataFrame:

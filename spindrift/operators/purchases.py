@@ -139,7 +139,7 @@ def overlap_peers(category_stats: DataFrame, top: int = 5, limit: int = 120, row
     A customer's categories stand in one partition and meet all sets there, so nothing is dealt by set or category, of which there are few.
     rows: how many category_stats there are at most.  category_stats: one row a customer and category.
     """
-    category_stats = stored(spread(category_stats, rows, "customer_id"))
+    category_stats = spread(stored(category_stats), rows, "customer_id")
     order = W.partitionBy("customer_id").orderBy(F.desc("purchase_count"), F.desc("total_amount"), "category")
     mine = category_stats.withColumn("place", F.row_number().over(order)).where(F.col("place") <= top)
     mine = mine.groupBy("customer_id").agg(F.array_sort(F.collect_list("category")).alias("held")).select("customer_id", "held", F.to_json("held").alias("set"))

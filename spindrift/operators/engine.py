@@ -85,8 +85,13 @@ def gathered(rows: DataFrame, value: str, *order: str) -> DataFrame:
 
 
 def analyze(queries: DataFrame, index: Index) -> DataFrame:
-    """Of each query (query_id, query): its tokens, the corrected ones, completions, synonyms and related tokens, stems of all, value and unit pairs."""
-    asked = queries.select("query_id", "query", T.normalize_text(F.col("query")).alias("normalized"), T.normalize_tokens(T.tokenize(F.col("query"))).alias("tokens"))
+    """Of each query (query_id, query): its tokens, the corrected ones, completions, synonyms and related tokens, stems of all, value and unit pairs.
+
+    Equal queries are one until the end.
+    """
+    askers = queries.select("query_id", "query")
+    asked = askers.groupBy("query").agg(F.min("query_id").alias("query_id"))
+    asked = asked.select("query_id", "query", T.normalize_text(F.col("query")).alias("normalized"), T.normalize_tokens(T.tokenize(F.col("query"))).alias("tokens"))
     words = asked.select("query_id", F.posexplode("tokens").alias("at", "token"))
     known = index.dictionary.select(F.col("source").alias("token")).where(~F.contains("token", F.lit(" "))).distinct()
     better = R.corrections(R.correction_candidates(words.join(known, "token", "left_anti"), index.vocabulary)).where(~inflection_only(F.col("token"), F.col("candidate")))
@@ -108,11 +113,12 @@ def analyze(queries: DataFrame, index: Index) -> DataFrame:
     out = asked.join(corrected, "query_id", "left").join(parts.groupBy("query_id").agg(*lists), "query_id", "left")
     out = out.withColumns({c: F.coalesce(c, none()) for c in ("corrected", "completions", "synonyms", "related")})
     lexical = F.array_distinct(F.concat("corrected", "synonyms", "completions"))
-    return out.withColumns({
+    out = out.withColumns({
         "corrected_query": F.array_join("corrected", " "), "stems": T.stem_tokens(F.col("corrected")), "lexical_stems": T.stem_tokens(lexical),
         "expanded_stems": T.stem_tokens(F.array_distinct(F.concat(lexical, "related"))), "related_stems": T.stem_tokens(F.col("related")), "spans": T.attribute_spans(F.col("query")),
         "broad": T.needs_broad_retrieval(F.col("corrected"), F.size("completions") > 0),
     })
+    return askers.withColumnRenamed("query", "said").join(out.drop("query_id"), F.col("said").eqNullSafe(F.col("query"))).drop("said")
 
 
 def likeness(pairs: DataFrame, edges: DataFrame) -> DataFrame:

@@ -5,7 +5,8 @@ import math
 from pyspark.sql import functions as F
 
 import __spark_entry__
-from spindrift.operators import index, purchases, shared
+from spindrift.operators import engine, index, purchases, retrieval, shared
+from spindrift.operators import vectors as vectors_of
 
 
 def widest(df):
@@ -60,3 +61,41 @@ def test_peers_meet_where_the_customer_is(spark):
     held = people.join(lists, "list")
     assert held.count() == 5000 and held.where("customer_id = peer_id").count() == 0
     assert len({r[0] for r in people.select(F.spark_partition_id()).distinct().collect()}) > 12
+
+
+def test_equal_vectors_are_compared_once(spark):
+    vectors = [[1.0, 0.0, 0.0], [0.6, 0.8, 0.0], [0.0, 0.0, 0.0], [-1.0, 0.0, 0.0], [1.0, None, 0.0], [0.5, 0.5]]
+    rows = spark.createDataFrame([(i, vectors[i % 6]) for i in range(1200)], "vec_id long, embedding array<float>")
+    asked = rows.where("vec_id % 20 < 2").selectExpr("vec_id AS query_id", "embedding AS asked")
+    got = {}
+    found = vectors_of.exact_topk(rows, asked, 7)
+    for r in sorted(found.collect(), key=lambda r: (r["query_id"], r["rank"])):
+        got.setdefault(r["query_id"], []).append((r["vec_id"], round(r["score"], 6)))
+    want = {}
+    for q in (i for i in range(1200) if i % 20 < 2 and i % 6 in (0, 1, 3, 5)):
+        want[q] = [(i, 1.0) for i in range(q % 6, 1200, 6) if i != q][:7]
+    assert got == want
+    assert widest(found) <= 1500  # 144,000 before
+    apart = spark.range(400).selectExpr("id AS vec_id", "array(cos(id), sin(id), 0.5D) AS embedding")
+    some = apart.where("vec_id % 20 = 0").selectExpr("vec_id AS query_id", "embedding AS asked")
+    rows = vectors_of.exact_topk(apart, some, 3).select("query_id", "vec_id", "rank", "score").collect()
+    assert len(rows) == 60
+    for q, i, rank, score in rows:
+        near = sorted(((math.cos(q - x) + 0.25) / 1.25 for x in range(400) if x != q), reverse=True)
+        assert abs(near[rank - 1] - score) < 1e-9 and abs((math.cos(q - i) + 0.25) / 1.25 - score) < 1e-9  # q + x and q - x are as near
+
+
+def test_alike_products_and_queries_are_featured_once(spark, monkeypatch):
+    kinds = [("red pen", "pens", "a | 5 gb"), ("blue pen", "pens", "a | 7 gb"), ("table", "tables", "b")]
+    rows = spark.createDataFrame([(i, *kinds[i % 3], kinds[i % 3][0]) for i in range(90)], "item_id long, name string, category string, attributes string, key_tokens string")
+    words = spark.createDataFrame([("desk", "table")], "source string, target string")
+    asked = spark.createDataFrame([(i, ["red pen 5 gb", "table", "pen", None][i % 4]) for i in range(40)], "query_id long, query string")
+    met, whole = [], retrieval.E.soft_overlaps
+    monkeypatch.setattr(retrieval.E, "soft_overlaps", lambda pairs, *rest: met.append(pairs.count()) or whole(pairs, *rest))
+    got = {}
+    for r in retrieval.search(asked, engine.built(rows, words, least_frequency=1)).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["item_id"], r["attribute_score"]))
+    assert sorted(got) == [i for i in range(40) if i % 4 < 3] and max(met) <= 9  # more than 1,000 before
+    for q, held in got.items():
+        assert sorted(held) == sorted(got[q % 4]) and [r for r, _, _ in sorted(held)] == list(range(1, len(held) + 1))
+    assert [i for _, i, _ in sorted(got[0])] == list(range(0, 60, 3)) and {a for _, _, a in got[0]} == {5.0}

@@ -27,6 +27,8 @@ ENDINGS = (
     "ой", "ам", "ям", "ах", "ях", "ом", "ем", "ов", "ев", "ей", "ую", "юю", "ия", "ья", "ие", "ье", "ию", "ью", "иям", "иях", "ию",
     "а", "я", "ы", "и", "е", "о", "у", "ю",
 )
+#: The characters in which an ending ends; what ends otherwise, numbers too, is its own stem.
+LAST = "".join(sorted({e[-1] for e in ENDINGS}))
 UNITS = (
     "мкг", "мг", "г", "кг", "мл", "л", "дл", "нм", "мкм", "мм", "см", "м", "км", "м2", "б", "кб", "мб", "гб", "тб", "mb", "gb", "tb", "kb",
     "ма", "а", "мв", "в", "квт", "вт", "ом", "мом", "гц", "кгц", "мгц", "ггц", "hz", "mhz", "ghz", "пф", "нф", "мкф", "usb", "rpm", "dpi",
@@ -58,24 +60,25 @@ def listed(words: tuple[str, ...]) -> Column:
 
 def is_noise(token: Column, stopwords: tuple[str, ...] = SEARCH_STOPWORDS) -> Column:
     """A stop-word, or one character that is no digit."""
-    return F.array_contains(listed(stopwords), token) | ((F.length(token) == 1) & ~token.rlike(r"^\d$"))
+    return ((F.length(token) <= max(map(len, stopwords))) & F.array_contains(listed(stopwords), token)) | ((F.length(token) == 1) & ~token.rlike(r"^\d$"))
 
 
 def normalize_tokens(tokens: Column) -> Column:
     """Distinct tokens without noise, in order of first appearance."""
-    return F.array_distinct(F.filter(F.transform(tokens, normalize_text), lambda t: (t != "") & ~is_noise(t)))
+    plain = lambda t: F.when(t.rlike(r"^[0-9a-zа-я]+\z"), t).otherwise(normalize_text(t))
+    return F.array_distinct(F.filter(F.transform(F.array_distinct(tokens), plain), lambda t: (t != "") & ~is_noise(t)))
 
 
 def stem(token: Column) -> Column:
     """The token without the first listed ending that leaves three characters; short and numeric tokens stay."""
     fits = F.filter(listed(ENDINGS), lambda e: F.endswith(token, e) & (F.length(token) - F.length(e) >= 3))
-    kept = (F.length(token) <= 4) | token.rlike(r"^\d+$")
+    kept = (F.length(token) <= 4) | ~F.contains(F.lit(LAST), F.substring(token, -1, 1))
     return F.when(kept, token).otherwise(F.substr(token, F.lit(1), F.length(token) - F.coalesce(F.length(F.get(fits, F.lit(0))), F.lit(0))))
 
 
 def stem_tokens(tokens: Column) -> Column:
     """Distinct stems without noise."""
-    return F.array_distinct(F.filter(F.transform(tokens, stem), lambda t: (t != "") & ~is_noise(t)))
+    return F.array_distinct(F.filter(F.transform(F.array_distinct(tokens), stem), lambda t: (t != "") & ~is_noise(t)))
 
 
 def unique_in_order(items: Column) -> Column:

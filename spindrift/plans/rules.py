@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from spindrift.functions import numbers as N
 from spindrift.functions import text as T
 from spindrift.operators import aliases as A
+from spindrift.operators.shared import dealt
 from spindrift.plans.base import query, table
 from spindrift.plans.search import NOISE, TOKENS
 
@@ -21,10 +22,11 @@ sha256(regexp_replace(trim(regexp_replace(trim(translate(text, chr(65279) || chr
 array_to_string(list_sort(list_distinct(list_filter(w, lambda x: regexp_full_match(x, '[a-zа-я][0-9]{{2}}[a-zа-я]{{0,2}}')))), ',') AS codes FROM s""")
 def text_shapes(spark, sf_dir):
     """Every document's text normalised, reduced to telling tokens and stems, cleaned, and the codes in it."""
-    text = F.col("text")
+    text, tokens = F.col("text"), F.col("tokens")
+    rows = dealt(table(spark, sf_dir, "documents").select("doc_id", "text")).withColumn("tokens", T.tokenize(text))
     digest = lambda tokens: F.sha2(F.array_join(tokens, " "), 256)
-    return table(spark, sf_dir, "documents").select(
-        "doc_id", F.sha2(T.normalize_text(text), 256).alias("normalized"), F.size(T.normalize_tokens(T.tokenize(text))).alias("telling"), digest(F.array_sort(T.stem_tokens(T.tokenize(text)))).alias("stems"),
+    return rows.select(
+        "doc_id", digest(tokens).alias("normalized"), F.size(T.normalize_tokens(tokens)).alias("telling"), digest(F.array_sort(T.stem_tokens(tokens))).alias("stems"),
         F.sha2(T.clean_text(text), 256).alias("cleaned"), F.array_join(F.array_sort(T.category_codes(text)), ",").alias("codes"),
     )
 
@@ -61,7 +63,7 @@ def product_shapes(spark, sf_dir):
     code = F.concat(F.lit("Тип N"), F.lpad(size.cast("string"), 2, "0"))
     asked = F.array(F.lit("n11"), F.lit("n12bg"))
     chosen = T.chosen_query(F.concat(F.lit("Поставка "), name, F.lit(", "), kind))
-    return table(spark, sf_dir, "part").select(
+    return dealt(table(spark, sf_dir, "part")).select(
         F.col("p_partkey").alias("item_id"), T.item_kind(work, kind).alias("item_kind"), T.code_match(T.category_codes(code), asked).alias("code_match"), T.truncate_words(F.concat_ws(" ", name, kind), 12).alias("cut"),
         F.array_join(T.pipe_list(F.concat_ws("|", F.concat(F.lit(" "), "p_brand"), F.lit(" "), kind)), ";").alias("listed"), A.acronym_like(kind).alias("acronym"), A.acronym_like(name).alias("acronym_of_words"), A.bad_alias(name).alias("bad"),
         A.abbreviation_like(last).alias("abbreviation"), T.contains_phrase(T.tokenize(name), last).alias("phrase"), T.meets_expectation(name, F.array(last), F.array(F.lit("Red"), F.lit("blue"))).alias("expected"),

@@ -99,3 +99,8 @@ def test_alike_products_and_queries_are_featured_once(spark, monkeypatch):
     for q, held in got.items():
         assert sorted(held) == sorted(got[q % 4]) and [r for r, _, _ in sorted(held)] == list(range(1, len(held) + 1))
     assert [i for _, i, _ in sorted(got[0])] == list(range(0, 60, 3)) and {a for _, _, a in got[0]} == {5.0}
+
+
+def test_costly_rows_of_few_files_take_several_tasks(spark, small):
+    for name in ("text_shapes", "product_shapes"):
+        assert __spark_entry__.queries()[name](spark, small).rdd.getNumPartitions() >= 4, name  # one before

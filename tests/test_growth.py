@@ -5,7 +5,7 @@ import math
 from pyspark.sql import functions as F
 
 import __spark_entry__
-from spindrift.operators import engine, index, purchases, retrieval, shared
+from spindrift.operators import engine, index, profile, purchases, retrieval, shared
 from spindrift.operators import vectors as vectors_of
 
 
@@ -104,3 +104,14 @@ def test_alike_products_and_queries_are_featured_once(spark, monkeypatch):
 def test_costly_rows_of_few_files_take_several_tasks(spark, small):
     for name in ("text_shapes", "product_shapes"):
         assert __spark_entry__.queries()[name](spark, small).rdd.getNumPartitions() >= 4, name  # one before
+
+
+def test_profile_cells_meet_where_the_customer_is(spark, tmp_path):
+    lines = spark.range(3000).selectExpr("id % 90 AS customer_id", "concat('c', id % 7) AS category", "id % 50 AS item_id", "id % 11 AS supplier_id", "'goods' AS kind", "id % 13 + 0.5D AS amount", "date_add(DATE '2020-12-01', CAST(id % 60 AS INT)) AS day", "id % 2 AS year")
+    each, years = str(tmp_path / "each"), str(tmp_path / "years")
+    profile.store_each(lines, each, "year")
+    for year in (0, 1):
+        profile.store(profile.cells(lines.where(f"year = {year}")), years, str(year))
+    held = profile.profiles(profile.load(spark, each))
+    assert held._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1  # two before
+    assert sorted(map(str, held.collect())) == sorted(map(str, profile.profiles(profile.load(spark, years)).collect()))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 import __spark_entry__
 from spindrift.operators import engine, index, profile, purchases, retrieval, shared
 from spindrift.operators import vectors as vectors_of
+from spindrift.plans import search
 
 
 def widest(df):
@@ -115,3 +116,8 @@ def test_profile_cells_meet_where_the_customer_is(spark, tmp_path):
     held = profile.profiles(profile.load(spark, each))
     assert held._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1  # two before
     assert sorted(map(str, held.collect())) == sorted(map(str, profile.profiles(profile.load(spark, years)).collect()))
+
+
+def test_documents_of_few_files_are_cut_by_several_tasks(spark, small):
+    held = search.texts(spark, small)
+    assert held.rdd.getNumPartitions() >= 4 and held.count() == spark.read.parquet(f"{small}/documents.parquet").count()  # read by one task before

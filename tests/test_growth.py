@@ -5,7 +5,7 @@ import math
 from pyspark.sql import functions as F
 
 import __spark_entry__
-from spindrift.operators import engine, index, profile, purchases, retrieval, shared
+from spindrift.operators import asof, engine, enrich, index, profile, purchases, retrieval, shared
 from spindrift.operators import vectors as vectors_of
 from spindrift.plans import search
 
@@ -121,3 +121,27 @@ def test_profile_cells_meet_where_the_customer_is(spark, tmp_path):
 def test_documents_of_few_files_are_cut_by_several_tasks(spark, small):
     held = search.texts(spark, small)
     assert held.rdd.getNumPartitions() >= 4 and held.count() == spark.read.parquet(f"{small}/documents.parquet").count()  # read by one task before
+
+
+def test_candidates_write_no_questions_down(spark, small):
+    lines = spark.read.parquet(f"{small}/lineitem.parquet").count()
+    assert widest(__spark_entry__.queries()["candidate_features"](spark, small)) <= 2 * lines  # 17 times the lines and more before
+
+
+def test_purchases_as_candidates_know_what_candidates_know(spark):
+    rows = [(1, 10, 5, 2.0, 0), (1, 10, 6, 1.0, 3), (1, 11, 5, 4.0, 3), (2, 10, 6, 8.0, 5), (2, 12, None, 3.0, 6), (None, 10, 5, 1.0, 7), (1, 10, 5, 2.0, 0), (3, 13, 7, 0.5, None), (1, 13, 7, None, 40), (1, 11, 5, 4.0, 400), (4, 13, 5, 9.0, 400), (2, 11, 6, 2.0, 401)]
+    full = [(i, 1, c, it, s, None if it == 12 else f"c{it % 3}", "goods", "r" if c != 2 else None, "t" if c != 4 else "u", a, d) for i, (c, it, s, a, d) in enumerate(rows)]
+    lines = spark.createDataFrame(full, "contract_id long, line int, customer_id long, item_id long, supplier_id long, category string, kind string, region string, type string, amount double, n int")
+    lines = lines.withColumn("day", F.date_add(F.lit("2023-12-20").cast("date"), F.col("n"))).drop("n")
+    about = {"name": F.lit("red pen"), "attributes": F.lit("ink:red"), "attribute_count": F.lit(1), "query": F.lit("red pen")}
+    places = spark.createDataFrame([(6, "r"), (5, "q")], "supplier_id long, region string")
+    leaders = enrich.leading_category(lines)
+    versions = asof.ledger(asof.day_totals(enrich.segmented(lines, leaders), enrich.FACTS))
+    bands = enrich.price_bands(versions, lines.select("item_id", "category").distinct(), 2023, 2025)
+    order = ("contract_id", "line")
+    asked = lines.drop("supplier_id").withColumns(about)
+    want = enrich.features(enrich.enriched(asked, ["contract_id"], versions, leaders, enrich.median_amounts(lines.where("day IS NOT NULL"), order), bands, places), "contract_id")
+    got = enrich.features(enrich.enriched_purchases(lines, order, places, 3).withColumns(about), "contract_id")
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and got.count() == len(rows)
+    none = enrich.enriched_purchases(lines.limit(0), order, places, 3).withColumns(about)
+    assert enrich.features(none, "contract_id").count() == 0

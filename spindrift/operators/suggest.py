@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from spindrift.functions import phrases as H
 from spindrift.functions import text as T
-from spindrift.operators.shared import stored
+from spindrift.operators.corpus import BROADCAST_ROWS
+from spindrift.operators.shared import spread, written
 
 #: Ties between kinds of suggestion.
 KINDS = ("query", "correction", "product", "category")
@@ -19,12 +20,14 @@ def merged(groups: DataFrame, limit: int = 10) -> DataFrame:
 
     Texts mean the same if their stems do; the best of them takes the earliest place.
     """
-    groups = stored(groups)
+    groups = written(groups, "groups")
+    rows = groups.count()
+    groups = spread(groups, rows, "asked")
     own = W.partitionBy("asked", "group").orderBy(F.desc("score"), "text")
     turn = groups.withColumn("turn", F.row_number().over(own))
     placed = turn.withColumn("position", F.row_number().over(W.partitionBy("asked").orderBy("turn", "group", "text")))
-    meanings = stored(groups.select("text").distinct().withColumn("meaning", F.array_join(T.stem_tokens(T.tokenize(F.col("text"))), " ")))
-    keyed = placed.join(meanings, "text")
+    meanings = written(groups.select("text").distinct().withColumn("meaning", F.array_join(T.stem_tokens(T.tokenize(F.col("text"))), " ")), "meanings")
+    keyed = placed.join(F.broadcast(meanings) if meanings.count() <= BROADCAST_ROWS else meanings, "text")
     rank = F.array_position(F.array(*[F.lit(k) for k in KINDS]), F.col("kind"))
     same = W.partitionBy("asked", "meaning")
     best = keyed.withColumns({"first": F.min("position").over(same), "again": F.row_number().over(same.orderBy(F.desc("score"), rank, F.length("text"), "text"))}).where("again = 1")
@@ -88,26 +91,40 @@ def same_type_prefix(asked: DataFrame, prefixes: DataFrame, people: DataFrame, l
     asked: customer_id, query.  typical: type and category; preferred: customer_id, category, weight; recommended: customer_id, item_id, weight.
     Customers whose type nobody else bought for are shown what all customers bought of the typical categories.
     A product is admitted if its category, or the codes in it, fit the customer, or if enough of its purchases come from the type.
+    What type and query tell of a product is told once; only a customer's own purchases of such products and their categories are looked up in the
+    list, where the customer is.
     """
-    typed, own, totals = type_stats(lines, people)
-    held = asked.withColumn("prefix", short_prefix(F.col("query"), F.col("customer_id"))).where("prefix IS NOT NULL").join(people, "customer_id").join(prefixes, "prefix")
-    rows = held.join(typed, ["type", "item_id"], "left").join(own, ["customer_id", "item_id"], "left").join(totals, "item_id", "left")
-    rows = rows.join(typical.select("type", "category", F.lit(True).alias("usual")).distinct(), ["type", "category"], "left")
-    peers = F.coalesce("count", F.lit(0)) - F.coalesce("own", F.lit(0))
-    some = F.max(peers).over(W.partitionBy("customer_id", "query")) > 0
-    count = F.when(some, peers).otherwise(F.when(F.coalesce("usual", F.lit(False)), F.coalesce("total", F.lit(0)) - F.coalesce("own", F.lit(0))).otherwise(0))
-    rows = rows.withColumns({"n": count, "total": F.greatest(count, F.coalesce("total", F.lit(0)))}).where("n > 0")
-    best = preferred.groupBy("customer_id", "category").agg(F.max("weight").alias("liked"))
-    rows = rows.join(best, ["customer_id", "category"], "left").join(recommended.groupBy("customer_id", "item_id").agg(F.max("weight").alias("advised")), ["customer_id", "item_id"], "left")
+    asked = asked.withColumn("prefix", short_prefix(F.col("query"), F.col("customer_id"))).where("prefix IS NOT NULL").join(people, "customer_id")
+    shown = written(asked.select("type", "query", "prefix").distinct().join(prefixes, "prefix").select("type", "query", "item_id", "name", "category"), "shown")
+    few = shown.count() <= BROADCAST_ROWS
+    near = F.broadcast if few else lambda df: df
+    items = near(shown.select("item_id").distinct())
+    typed, own, totals = type_stats(lines.join(items, "item_id", "left_semi"), people)
     known = typical.groupBy("type").agg(F.flatten(F.collect_set(T.category_codes(F.col("category")))).alias("codes"))
-    rows = rows.join(known, "type", "left")
+    shown = shown.join(typed, ["type", "item_id"], "left").join(totals, "item_id", "left").join(typical.select("type", "category", F.lit(True).alias("usual")).distinct(), ["type", "category"], "left").join(known, "type", "left")
     match = H.prefix_match(F.col("query"), T.tokenize(F.col("name")), secondary=False)
     code = 14.0 * T.code_match(T.category_codes(F.col("category")), F.coalesce("codes", F.array().cast("array<string>")))
-    liked = F.when(F.coalesce("usual", F.lit(False)), 12.0).otherwise(F.least(F.lit(10.0), F.coalesce("liked", F.lit(0.0)) * 1.8))
-    rows = rows.withColumns({"match": match, "code": code, "liked": liked, "part": F.col("n") / F.col("total")}).where("match > 0")
+    element = F.struct("item_id", "name", "category", F.coalesce("count", F.lit(0)).alias("count"), F.coalesce("total", F.lit(0)).alias("total"), F.coalesce("usual", F.lit(False)).alias("usual"), match.alias("match"), code.alias("code"))
+    lists = shown.groupBy(F.col("type").alias("of"), F.col("query").alias("like")).agg(F.collect_list(element).alias("each"))
+    rows = spread(asked.select("customer_id", "type", "query"), KEPT * asked.count(), "customer_id")
+    held = {
+        "owned": (own, "item_id", F.max("own")), "advised": (recommended.join(items, "item_id", "left_semi"), "item_id", F.max("weight")), "preferred": (preferred, "category", F.max("weight")),
+    }
+    for name, (of, key, most) in held.items():
+        each = of.where(F.col(key).isNotNull()).groupBy("customer_id", key).agg(most.alias("v"))
+        rows = rows.join(each.groupBy("customer_id").agg(F.map_from_entries(F.collect_list(F.struct(key, "v"))).alias(name)), "customer_id", "left")
+    rows = rows.join(near(lists), F.col("type").eqNullSafe(F.col("of")) & (F.col("query") == F.col("like")))
+    of = lambda name, key, nothing: F.coalesce(F.try_element_at(F.col(name), key), F.lit(nothing))
+    some = F.exists("each", lambda x: x["count"] > of("owned", x["item_id"], 0))
+    rows = rows.select("customer_id", "query", some.alias("some"), "owned", F.col("advised").alias("by_item"), "preferred", F.inline("each"))
+    rows = rows.withColumns({"own": of("owned", F.col("item_id"), 0), "advised": of("by_item", F.col("item_id"), 0.0), "weight": of("preferred", F.col("category"), 0.0)}).drop("owned", "by_item", "preferred", "category")
+    rows = rows.withColumn("peers", F.col("count") - F.col("own"))
+    rows = rows.withColumn("n", F.when(F.col("some"), F.col("peers")).otherwise(F.when(F.col("usual"), F.col("total") - F.col("own")).otherwise(0))).where("n > 0 AND match > 0")
+    liked = F.when(F.col("usual"), 12.0).otherwise(F.least(F.lit(10.0), F.col("weight") * 1.8))
+    rows = rows.withColumns({"liked": liked, "part": F.col("n") / F.greatest("n", "total")})
     fits = F.greatest("liked", "code") > 0
     admitted = fits | ((F.col("part") >= LEAST_SHARE_ALONE) & (F.col("n") >= LEAST_COUNT))
-    score = 0.06 * F.col("match") + F.least(F.lit(14.0), 2.5 * F.log1p("n")) + 18.0 * F.col("part") + F.col("liked") + F.col("code") + F.least(F.lit(6.0), F.coalesce("advised", F.lit(0.0))) - F.when(fits, 0.0).otherwise(10.0)
+    score = 0.06 * F.col("match") + F.least(F.lit(14.0), 2.5 * F.log1p("n")) + 18.0 * F.col("part") + F.col("liked") + F.col("code") + F.least(F.lit(6.0), F.col("advised")) - F.when(fits, 0.0).otherwise(10.0)
     scored = rows.where(admitted).withColumn("score", F.round(score, 4))
     order = W.partitionBy("customer_id", "query").orderBy(F.desc("score"), F.desc("n"), F.desc("name"), "item_id")
     ranked = scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= TOP_OF_TYPE)
@@ -116,12 +133,13 @@ def same_type_prefix(asked: DataFrame, prefixes: DataFrame, people: DataFrame, l
 
 def matching(rows: DataFrame, phrase: Column) -> DataFrame:
     """query, name, text, match of the distinct pairs (query, name) of which the phrase made of the name, or the name, begins like the query; computed once, as these are long expressions."""
-    names = stored(rows.select("name").distinct().select("name", phrase.alias("phrase")))
-    names = stored(names.select("name", F.when(F.col("phrase") == "", F.col("name")).otherwise(F.col("phrase")).alias("text")).withColumns({"of_text": T.tokenize(F.col("text")), "of_name": T.tokenize(F.col("name"))}))
-    pairs = stored(rows.select("query", "name").distinct().join(names, "name"))
-    scored = [stored(pairs.select("query", "name", H.prefix_match(F.col("query"), F.col(c)).alias(c))) for c in ("of_text", "of_name")]
+    names = written(rows.select("name").distinct().select("name", phrase.alias("phrase")), "names")
+    names = written(names.select("name", F.when(F.col("phrase") == "", F.col("name")).otherwise(F.col("phrase")).alias("text")).withColumns({"of_text": T.tokenize(F.col("text")), "of_name": T.tokenize(F.col("name"))}), "words")
+    pairs = written(rows.select("query", "name").distinct().join(names, "name"), "pairs")
+    scored = [written(pairs.select("query", "name", H.prefix_match(F.col("query"), F.col(c)).alias(c)), "scored") for c in ("of_text", "of_name")]
     both = pairs.select("query", "name", "text").join(scored[0], ["query", "name"]).join(scored[1], ["query", "name"])
-    return both.select("query", "name", "text", F.greatest("of_text", "of_name").alias("match")).where("match > 0")
+    found = written(both.select("query", "name", "text", F.greatest("of_text", "of_name").alias("match")).where("match > 0"), "matches")
+    return F.broadcast(found) if found.count() <= BROADCAST_ROWS else found
 
 
 def product_suggestions(rows: DataFrame, group: int) -> DataFrame:
@@ -129,6 +147,7 @@ def product_suggestions(rows: DataFrame, group: int) -> DataFrame:
 
     score: what recommends the product, null for 0.
     """
+    rows = written(rows.select("asked", "query", "name", "count", "score"), "products")
     held = rows.join(matching(rows, H.product_phrase(F.col("name"))), ["query", "name"])
     query = T.normalize_text(F.col("query"))
     begins = lambda c: F.when(F.startswith(T.normalize_text(F.col(c)), query), 1).otherwise(0)
@@ -138,7 +157,7 @@ def product_suggestions(rows: DataFrame, group: int) -> DataFrame:
 
 def category_suggestions(rows: DataFrame, group: int) -> DataFrame:
     """The same of a customer's categories (asked, query, category)."""
-    named = rows.select("asked", "query", F.col("category").alias("name"))
+    named = written(rows.select("asked", "query", F.col("category").alias("name")), "categories")
     held = named.join(matching(named, H.category_phrase(F.col("name"))), ["query", "name"]).where(F.col("text") != T.normalize_text(F.col("query")))
     return held.select("asked", F.lit(group).alias("group"), F.lit("category").alias("kind"), "text", (F.col("match") + 20.0).alias("score"))
 
@@ -157,6 +176,6 @@ def suggested(products: DataFrame, of_type: DataFrame, categories: DataFrame, qu
 
     products, of_type: asked, query, name, count, score.  categories: asked, query, category.  queries: see ``query_suggestions``.
     """
-    mine, typed, named = product_suggestions(products, 1), product_suggestions(of_type, 2), category_suggestions(categories, 3)
+    mine, typed, named = product_suggestions(products, 1), written(product_suggestions(of_type, 2), "typed"), category_suggestions(categories, 3)
     named = named.join(typed.select("asked").distinct(), "asked", "left_anti")
     return merged(mine.unionByName(typed).unionByName(named).unionByName(query_suggestions(queries, 4)), limit)

@@ -6,8 +6,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from spindrift.operators import suggest as S
-from spindrift.operators.shared import shared_path
-from spindrift.plans.base import CATALOG, CONTRACTS, catalog, contracts, query, table
+from spindrift.operators.shared import shared_path, spread, written
+from spindrift.plans.base import CATALOG, CONTRACTS, catalog, contracts, line_count, query, table
 
 PREFIXES = f"""names AS (SELECT p_partkey AS item_id, p_name AS name, p_type AS category FROM part),
 prefixes AS (SELECT left(name, n) AS prefix, item_id, name, category, CAST(row_number() OVER (PARTITION BY left(name, n) ORDER BY length(name), name, item_id) AS INTEGER) AS place FROM names, (VALUES (2), (3), (4)) AS e(n) WHERE length(name) >= n QUALIFY place <= 120)"""
@@ -27,24 +27,24 @@ def people(spark, sf_dir):
 
 def asked_prefixes(spark, sf_dir):
     """Every customer asks for the first letters of a product's name; every seventh for something longer."""
-    names = catalog(spark, sf_dir).select(F.col("item_id").alias("of"), "name")
-    rows = people(spark, sf_dir).withColumn("of", F.col("customer_id") % 100).join(names, "of")
+    names = catalog(spark, sf_dir).where("item_id BETWEEN -99 AND 99").select(F.col("item_id").alias("of"), "name")
+    rows = people(spark, sf_dir).withColumn("of", F.col("customer_id") % 100).join(F.broadcast(names), "of")
     size = F.when(F.col("customer_id") % 7 == 0, 9).otherwise(2 + F.col("customer_id") % 3).cast("int")
     return rows.select("customer_id", F.substr("name", F.lit(1), size).alias("query"))
 
 
 def inputs(spark, sf_dir):
     """(purchases, typical: the category most bought by a type, preferred: each customer's categories by share, recommended: items bought before)."""
-    lines = contracts(spark, sf_dir).join(catalog(spark, sf_dir).select("item_id", "category"), "item_id")
+    lines = written(contracts(spark, sf_dir).join(catalog(spark, sf_dir).select("item_id", "category", "name"), "item_id").select("customer_id", "item_id", "category", "name"), "purchases")
+    here = spread(lines, line_count(spark, sf_dir), "customer_id")
     counts = lines.join(people(spark, sf_dir), "customer_id").groupBy("type", "category").agg(F.count("*").alias("n"))
     typical = counts.withColumn("place", F.row_number().over(W.partitionBy("type").orderBy(F.desc("n"), "category"))).where("place = 1").select("type", "category")
-    mine = lines.groupBy("customer_id", "category").agg(F.count("*").alias("n"))
+    mine = here.groupBy("customer_id", "category").agg(F.count("*").alias("n"))
     preferred = mine.select("customer_id", "category", (F.col("n") / F.max("n").over(W.partitionBy("customer_id"))).alias("weight")).where("weight >= 0.5")
     return lines, typical, preferred, lines.groupBy("customer_id", "item_id").agg(F.count("*").cast("double").alias("weight"))
 
 
-def of_type(spark, sf_dir):
-    lines, typical, preferred, recommended = inputs(spark, sf_dir)
+def of_type(spark, sf_dir, lines, typical, preferred, recommended):
     return S.same_type_prefix(asked_prefixes(spark, sf_dir), S.prefix_table(catalog(spark, sf_dir)), people(spark, sf_dir), lines, typical, preferred, recommended)
 
 
@@ -62,17 +62,17 @@ r AS (SELECT *, round(0.06e0 * CASE WHEN length(norm) > 2 THEN 180 ELSE 120 END
 SELECT customer_id, query, item_id, name, CAST(n AS BIGINT) AS count, score, CAST(row_number() OVER (PARTITION BY customer_id ORDER BY score DESC, n DESC, name DESC, item_id) AS INTEGER) AS rank FROM r QUALIFY rank <= 30""")
 def same_type_suggestions(spark, sf_dir):
     """For every customer's short query the thirty best products of their type: the limit is the feature."""
-    return of_type(spark, sf_dir)
+    return of_type(spark, sf_dir, *inputs(spark, sf_dir))
 
 
 @query()
 def suggestion_groups(spark, sf_dir):
     """Five suggestions a customer from their products, those of their type and their categories, merged in turn: the limit is the feature."""
     asked = asked_prefixes(spark, sf_dir)
-    lines, _, preferred, _ = inputs(spark, sf_dir)
-    mine = lines.groupBy("customer_id", "item_id").agg(F.count("*").alias("count")).join(asked, "customer_id").join(catalog(spark, sf_dir).select("item_id", "name"), "item_id")
+    lines, typical, preferred, recommended = inputs(spark, sf_dir)
+    mine = spread(lines, line_count(spark, sf_dir), "customer_id").groupBy("customer_id", "item_id", "name").agg(F.count("*").alias("count")).join(asked, "customer_id")
     products = mine.select(F.col("customer_id").alias("asked"), "query", "name", "count", F.lit(None).cast("double").alias("score"))
-    typed = of_type(spark, sf_dir).select(F.col("customer_id").alias("asked"), "query", "name", "count", "score")
+    typed = of_type(spark, sf_dir, lines, typical, preferred, recommended).select(F.col("customer_id").alias("asked"), "query", "name", "count", "score")
     categories = preferred.join(asked, "customer_id").select(F.col("customer_id").alias("asked"), "query", "category")
     queries = asked.select(F.col("customer_id").alias("asked"), F.col("query").alias("normalized"), F.col("query").alias("corrected_query"), F.array().cast("array<string>").alias("synonyms"))
     return S.suggested(products, typed, categories, queries)

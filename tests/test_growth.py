@@ -5,7 +5,7 @@ import math
 from pyspark.sql import functions as F
 
 import __spark_entry__
-from spindrift.operators import asof, engine, enrich, index, profile, purchases, retrieval, shared
+from spindrift.operators import asof, engine, enrich, index, profile, purchases, retrieval, shared, suggest
 from spindrift.operators import vectors as vectors_of
 from spindrift.plans import search
 
@@ -145,3 +145,48 @@ def test_purchases_as_candidates_know_what_candidates_know(spark):
     assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and got.count() == len(rows)
     none = enrich.enriched_purchases(lines.limit(0), order, places, 3).withColumns(about)
     assert enrich.features(none, "contract_id").count() == 0
+
+
+def most_shuffled(df):
+    """The most rows that an exchange of df's plan wrote."""
+    df.collect()
+    todo, most = [df._jdf.queryExecution().executedPlan()], 0
+    while todo:
+        node = todo.pop()
+        kind = node.getClass().getSimpleName()
+        if kind == "AdaptiveSparkPlanExec":
+            todo.append(node.executedPlan())
+        elif kind.endswith("QueryStageExec"):
+            todo.append(node.plan())
+        else:
+            told = node.metrics().get("shuffleRecordsWritten")
+            most = max(most, told.get().value() if told.isDefined() else 0)
+            todo += [node.children().apply(i) for i in range(node.children().size())]
+    return most
+
+
+def test_lists_of_a_type_and_query_are_told_once(spark):
+    products = spark.range(100).selectExpr("id AS item_id", "concat('pens ', id) AS name", "concat('c', id % 3) AS category")
+    people = spark.range(2000).selectExpr("id AS customer_id", "IF(id % 9 = 0, NULL, concat('t', id % 2)) AS type")
+    lines = spark.range(600).selectExpr("id % 40 AS customer_id", "id % 120 AS item_id")
+    typical = spark.createDataFrame([("t0", "c0"), ("t1", "c1")], "type string, category string")
+    preferred = spark.createDataFrame([(1, "c2", 1.0), (1, None, 1.0)], "customer_id long, category string, weight double")
+    asked = people.selectExpr("customer_id", "IF(customer_id % 5 = 0, 'pens and more', 'pe') AS query")
+    found = suggest.same_type_prefix(asked, suggest.prefix_table(products), people, lines, typical, preferred, lines.selectExpr("customer_id", "item_id", "1D AS weight"))
+    assert most_shuffled(found) <= 2000  # a row a customer and product before
+    rows = found.collect()
+    assert {r["customer_id"] for r in rows} >= {i for i in range(2000) if i % 5 and i % 9} and all(r["query"] == "pe" and 1 <= r["rank"] <= 30 for r in rows)
+
+
+def test_suggestions_are_computed_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def name(x):
+        made.add(1)
+        return x
+
+    rows = spark.range(500).selectExpr("id AS asked", "'pe' AS query", "concat('pens ', chr(97 + CAST(id % 9 AS INT)), 'x') AS name", "2L AS count", "1D AS score").withColumn("name", name.asNondeterministic()("name"))
+    nothing = spark.createDataFrame([], "asked long, normalized string, corrected_query string, synonyms array<string>")
+    out = suggest.suggested(rows, rows, rows.selectExpr("asked", "query", "name AS category"), nothing)
+    assert out.select("asked").distinct().count() == 500 and made.value <= 3 * 500  # three times as many before

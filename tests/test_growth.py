@@ -190,3 +190,16 @@ def test_suggestions_are_computed_once(spark):
     nothing = spark.createDataFrame([], "asked long, normalized string, corrected_query string, synonyms array<string>")
     out = suggest.suggested(rows, rows, rows.selectExpr("asked", "query", "name AS category"), nothing)
     assert out.select("asked").distinct().count() == 500 and made.value <= 3 * 500  # three times as many before
+
+
+def test_texts_share_the_vectors_of_their_words(spark):
+    words = ["alpha", "beta", "gamma", "delta", "omega", "sigma"]
+    rows = spark.createDataFrame([(i, " ".join(words[(i + j) % 6] for j in range(3))) for i in range(600)] + [(900, ""), (901, None)], "id long, text string")
+    found = vectors_of.graph_vectors(rows, "id", "text", 70)
+    assert most_shuffled(found) <= 1800 + 4 * 6  # and of each of the 1800 a vector before
+    got = {r["id"]: r["vector"] for r in found.collect()}
+    assert sorted(got) == list(range(600)) and all(len(v) == 70 and abs(sum(x * x for x in v) - 1) < 1e-4 for v in got.values())
+    assert all(got[i] == got[i % 6] for i in got) and got[0] != got[1]
+    plain = vectors_of.summed(spark.range(1).select(F.lit("ab").alias("token"), F.explode(F.array(*[F.struct(vectors_of.hashed(F.lit(k), 70).alias("v"), F.lit(w).alias("w")) for k, w in [("tok:ab", 0.7), ("ng:<ab", 0.3), ("ng:ab>", 0.3), ("ng:<ab>", 0.3)]])).alias("p")).select("token", "p.v", "p.w"), "token", "v", F.col("w"), 70).first()["v"]
+    held = vectors_of.surfaces(spark.createDataFrame([("ab",)], "token string"), 70).first()["v"]
+    assert all(abs(x - y) < 1e-12 for x, y in zip(plain, held))

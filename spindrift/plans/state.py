@@ -35,7 +35,7 @@ def streamed(spark, sf_dir):
 def counted(spark, sf_dir, step, seconds):
     """What counters hold at the end of the stream."""
     path, checkpoint = shared_path(spark, "counters"), shared_path(spark, "counter-state")
-    X.run_to_end(X.counters(streamed(spark, sf_dir), step, seconds), path, checkpoint, "update")
+    X.run_to_end(X.user_counters(streamed(spark, sf_dir), step, seconds), path, checkpoint, "update")
     schema = "user_id long, category string, n long, batch long"
     return X.last_of_each(spark.read.schema(schema).parquet(path), "user_id", "category").where("n > 0")
 

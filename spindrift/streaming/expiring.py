@@ -1,8 +1,9 @@
 """Keyed state that expires: counters and cached values over event time, by transformWithState.
 
-Events of a key may arrive out of order within the watermark's delay.  Each waits in the key's list until the watermark has passed it,
-which a timer tells; then all that are due are applied in order, so the outcome is that of the sorted table up to the
-watermark.  Another timer drops what wasn't touched for its lifetime.  Events later than the watermark are dropped.
+Events of a key may arrive out of order within the watermark's delay.  Each waits in the key's list until the watermark has passed it;
+then all that are due are applied in order, so the outcome is that of the sorted table up to the watermark.  Another timer drops what
+wasn't touched for its lifetime.  Events later than the watermark are dropped.  As every call of the state is a message to the executor, a
+key's events wait as one row a batch, with a timer for the first of them alone, and counters of a user share a state where keys are many.
 State is kept by the RocksDB provider (``PROVIDER``) and can be read back by the state data source under the names ``held`` and ``waiting``.
 """
 
@@ -16,35 +17,47 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 PROVIDER = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
 MICROS = 1000
+#: How many events a message to the state holds at most.
+MESSAGE = 10_000
 
 
 class InOrder(StatefulProcessor):
     """Applies the events of a key in order of (at, event_id) once the watermark has passed them."""
 
-    #: Schemas of what is kept of a key and of an event that waits; the latter begins with at (microseconds) and event_id.
+    #: Schemas of what is kept of a key and of an event that waits; the latter begins with at (microseconds) and event_id, and no two events share the first three values.
     HELD, WAITING = "", ""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.held = handle.getValueState("held", self.HELD)
-        self.waiting = handle.getListState("waiting", self.WAITING)
+        parts = [f.split() for f in self.WAITING.split(", ")]
+        self.waiting = handle.getListState("waiting", ", ".join(f"{name} array<{kind}>" for name, kind in parts))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         names = [f.split()[0] for f in self.WAITING.split(", ")]
-        for row in rows:
-            self.waiting.appendValue(tuple(row[n] for n in names))
-            self.handle.registerTimer(-(-row["at"] // MICROS))
+        self.wait([tuple(row[n] for n in names) for row in rows])
         return iter(())
 
+    def wait(self, events: list[tuple]) -> None:
+        """Keeps the events, and has a timer tell when the watermark has passed the first."""
+        if events:
+            self.waiting.appendList([tuple(map(list, zip(*events[i : i + MESSAGE]))) for i in range(0, len(events), MESSAGE)])
+            self.handle.registerTimer(-(-min(e[0] for e in events) // MICROS))
+
+    def due(self, now: int) -> list[tuple]:
+        """The events that wait no longer, in order."""
+        events = [e for lists in self.waiting.get() for e in zip(*lists)]
+        found = sorted((e for e in events if e[0] <= now * MICROS), key=lambda e: e[:3])
+        if found:
+            self.waiting.clear()
+            self.wait([e for e in events if e[0] > now * MICROS])
+        return found
+
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         now = timerValues.getCurrentWatermarkInMs()
-        events = [tuple(e) for e in self.waiting.get()]
-        due = sorted(e for e in events if e[0] <= now * MICROS)
-        if due:
-            rest = [e for e in events if e[0] > now * MICROS]
-            self.waiting.put(rest) if rest else self.waiting.clear()
-        held = tuple(self.held.get()) if self.held.exists() else None
-        was = held
+        due = self.due(now)
+        was = self.held.get()
+        held = was = None if was is None else tuple(was)
         for event in due:
             if held is not None and self.ends(held) < event[0]:
                 held = None
@@ -53,13 +66,14 @@ class InOrder(StatefulProcessor):
                 yield self.row(key, told)
         if held is not None and self.ends(held) < now * MICROS:
             held = None
+        if held == was:
+            return
         if held is None:
             self.held.clear()
         else:
             self.held.update(held)
             self.handle.registerTimer(self.ends(held) // MICROS + 1)
-        if held != was:
-            yield from self.changed(key, held)
+        yield from self.changed(key, held)
 
     def ends(self, held: tuple) -> int:
         """The last microsecond at which what is held still lives."""
@@ -98,6 +112,32 @@ class Counter(InOrder):
         yield Row(user_id=key[0], category=key[1], n=held[0] if held else 0)
 
 
+class UserCounters(Counter):
+    """The counters of a user by category in one state; each counts and is forgotten as a ``Counter`` is."""
+
+    HELD, WAITING = "category array<string>, n array<long>, at array<long>", "at long, event_id long, step int, category string"
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        now = timerValues.getCurrentWatermarkInMs()
+        due = self.due(now)
+        was = {c: (n, at) for c, n, at in zip(*(self.held.get() or ()))}
+        held = dict(was)
+        for event in due:
+            one = held.get(event[3])
+            held[event[3]], _ = self.apply(one if one and self.ends(one) >= event[0] else None, event)
+        held = {c: one for c, one in held.items() if self.ends(one) >= now * MICROS}
+        if held == was:
+            return
+        if held:
+            self.held.update((list(held), [n for n, _ in held.values()], [at for _, at in held.values()]))
+            self.handle.registerTimer(min(map(self.ends, held.values())) // MICROS + 1)
+        else:
+            self.held.clear()
+        for c in {**was, **held}:
+            if held.get(c) != was.get(c):
+                yield Row(user_id=key[0], category=c, n=held[c][0] if c in held else 0)
+
+
 class Cache(InOrder):
     """Puts, gets and deletes of a value that lives as long as its put says; a get tells the value, null if there is none alive."""
 
@@ -132,11 +172,21 @@ def timed(events: DataFrame, delay: str) -> DataFrame:
     return events.withColumn("at", F.unix_micros("ts")).withWatermark("ts", delay)
 
 
+def steps(events: DataFrame, step: Column, delay: str) -> DataFrame:
+    rows = timed(events, delay).withColumn("step", step.cast("int")).where("step IS NOT NULL")
+    return rows.select("user_id", "category", "ts", "at", "event_id", "step")
+
+
 def counters(events: DataFrame, step: Column, lifetime_seconds: int, delay: str = "1 hour") -> DataFrame:
     """user_id, category, n whenever a counter changes (0: gone).  events: a stream of user_id, category, ts, event_id; step: +1, -1 or null for events that don't count."""
-    rows = timed(events, delay).withColumn("step", step.cast("int")).where("step IS NOT NULL")
-    rows = rows.select("user_id", "category", "ts", "at", "event_id", "step")
-    return rows.groupBy("user_id", "category").transformWithState(Counter(lifetime_seconds), "user_id long, category string, n long", "Update", "eventTime")
+    held = steps(events, step, delay).groupBy("user_id", "category")
+    return held.transformWithState(Counter(lifetime_seconds), "user_id long, category string, n long", "Update", "eventTime")
+
+
+def user_counters(events: DataFrame, step: Column, lifetime_seconds: int, delay: str = "1 hour") -> DataFrame:
+    """The same with a state a user, for many users of a few live categories each."""
+    held = steps(events, step, delay).groupBy("user_id")
+    return held.transformWithState(UserCounters(lifetime_seconds), "user_id long, category string, n long", "Update", "eventTime")
 
 
 def cache_reads(events: DataFrame, delay: str = "1 hour") -> DataFrame:

@@ -66,7 +66,116 @@ def test_cache_with_lifetimes(spark, tmp_path):
     assert got == {2: "one", 3: "one", 4: None, 6: None, 9: None, 10: None, 12: "x"}
 
 
+def test_counters_of_a_user_share_a_state(spark, tmp_path):
+    rng, at, rows = random.Random(5), 0, []
+    for i in range(120):
+        at += rng.choice([1, 5, 20, 3000])
+        rows.append((rng.choice([1, 2, None]), rng.choice(["a", "b", None]), START + datetime.timedelta(minutes=at), i, rng.choice(["add", "add", "take", "else"])))
+    rows.append((9, "z", START + datetime.timedelta(minutes=at + 2 * 1440), 999, "add"))  # moves the watermark to the last of the others
+    stream = written(spark, rows, SCHEMA, str(tmp_path / "in"), [*shuffled(120, rng, 2.5), [120]])
+    step = F.when(F.col("kind") == "add", 1).when(F.col("kind") == "take", -1)
+    got = []
+    for i, count in enumerate((X.counters, X.user_counters)):
+        out = str(tmp_path / f"out{i}")
+        X.run_to_end(count(stream, step, 2 * 86400, "2 days"), out, str(tmp_path / f"state{i}"), "update")
+        got.append(sorted(map(str, X.last_of_each(spark.read.parquet(out), "user_id", "category").where("n > 0").collect())))
+    assert got[0] == got[1] and got[0]
+    held = X.session(spark).read.format("statestore").option("stateVarName", "held").load(str(tmp_path / "state1"))
+    users = [r["key"]["user_id"] for r in held.collect()]
+    assert len(users) == len(set(users))
+
+
 def test_the_callers_settings_stay(spark):
     before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
     own = X.session(spark)
     assert "RocksDB" in own.conf.get("spark.sql.streaming.stateStore.providerClass") and spark.conf.get("spark.sql.streaming.stateStore.providerClass") == before
+
+
+class Told:
+    """A key's state and timers in memory, which counts the messages that a real one would be sent."""
+
+    def __init__(self):
+        self.messages, self.timers, self.value, self.rows = 0, set(), None, []
+
+    def getValueState(self, name, schema):
+        return self
+
+    def getListState(self, name, schema):
+        return Waiting(self)
+
+    def registerTimer(self, at):
+        self.messages += 1
+        self.timers.add(at)
+
+    def exists(self):
+        self.messages += 1
+        return self.value is not None
+
+    def get(self):
+        self.messages += 1
+        return self.value
+
+    def update(self, value):
+        self.messages += 1
+        self.value = value
+
+    def clear(self):
+        self.messages += 1
+        self.value = None
+
+    def getCurrentWatermarkInMs(self):
+        return self.watermark
+
+    def passed(self, processor, key, watermark):
+        """Rows of the timers that are due by a watermark."""
+        self.watermark, out = watermark, []
+        while due := [t for t in self.timers if t <= watermark]:
+            out += [row for t in due for row in processor.handleExpiredTimer(key, self, t)]
+            self.timers.difference_update(due)
+        return out
+
+
+class Waiting:
+    def __init__(self, told):
+        self.told = told
+
+    def appendValue(self, row):
+        self.appendList([row])
+
+    def appendList(self, rows):
+        self.told.messages += 1
+        self.told.rows += rows
+
+    def put(self, rows):
+        self.told.messages += 1
+        self.told.rows = list(rows)
+
+    def get(self):
+        self.told.messages += 1
+        return iter(self.told.rows)
+
+    def clear(self):
+        self.put([])
+
+
+def test_a_key_of_many_events_takes_few_messages():
+    told, counter, hour = Told(), X.Counter(3600), 3_600_000
+    counter.init(told)
+    rows = [{"at": (7 * i % 400) * 1_000_000, "event_id": i, "step": 1} for i in range(400)]
+    assert list(counter.handleInputRows((1, "a"), iter(rows), None)) == [] and told.messages <= 2  # 800 before
+    assert [r["n"] for r in told.passed(counter, (1, "a"), 99_500)] == [100] and told.messages <= 10
+    assert [r["n"] for r in told.passed(counter, (1, "a"), 399_000)] == [400] and told.messages <= 20  # some 2,800 before
+    assert list(counter.handleInputRows((1, "a"), iter([{"at": 400_000_000, "event_id": 400, "step": -1}]), None)) == []
+    assert [r["n"] for r in told.passed(counter, (1, "a"), 400_000)] == [399] and told.passed(counter, (1, "a"), 400_000 + hour) == []
+    assert [r["n"] for r in told.passed(counter, (1, "a"), 400_001 + hour)] == [0] and told.value is None and not told.timers and told.messages <= 40
+
+
+def test_a_user_of_many_categories_takes_few_messages():
+    told, counter, hour = Told(), X.UserCounters(3600), 3_600_000
+    counter.init(told)
+    rows = [{"at": (7 * i % 400) * 1_000_000, "event_id": i, "step": 1, "category": f"c{i % 40}" if i % 40 else None} for i in range(400)]
+    assert list(counter.handleInputRows((1,), iter(rows), None)) == [] and told.messages <= 2
+    got = told.passed(counter, (1,), 399_000)
+    assert len(got) == 40 and {r["n"] for r in got} == {10} and told.messages <= 10  # some 240 with a state a category
+    gone = told.passed(counter, (1,), 399_001 + hour)
+    assert {r["category"] for r in gone} == {None, *(f"c{i}" for i in range(1, 40))} and {r["n"] for r in gone} == {0} and told.value is None and not told.timers

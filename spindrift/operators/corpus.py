@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -16,23 +16,31 @@ BLOCK = 3
 
 def token_frequency(rows: DataFrame, *columns: str, least: int = 2) -> DataFrame:
     """token, first_char, token_length, frequency, counted with repeats over the text columns."""
-    tokens = F.concat(*[T.tokenize(F.col(c)) for c in columns])
+    return word_frequency(rows, F.concat(*[T.tokenize(F.col(c)) for c in columns]), least)
+
+
+def word_frequency(rows: DataFrame, tokens: Column, least: int = 2) -> DataFrame:
+    """The same of texts that are cut into tokens already."""
     counts = rows.select(F.explode(tokens).alias("token")).groupBy("token").agg(F.count("*").alias("frequency"))
     return counts.where(F.length("token") >= least).select("token", F.substring("token", 1, 1).alias("first_char"), F.length("token").cast("long").alias("token_length"), "frequency")
 
 
 def cooccurrence(rows: DataFrame, ident: str, columns: list[str], least_frequency: int = 10, rarest: int = 14, neighbors: int = 8) -> DataFrame:
+    """token, neighbor, score, cooccurrence of the tokens of text columns, see ``word_cooccurrence``."""
+    return word_cooccurrence(rows, ident, F.concat(*[T.tokenize(F.col(c)) for c in columns]), least_frequency, rarest, neighbors)
+
+
+def word_cooccurrence(rows: DataFrame, ident: str, tokens: Column, least_frequency: int = 10, rarest: int = 14, neighbors: int = 8) -> DataFrame:
     """token, neighbor, score, cooccurrence: each token's best neighbours.
 
     Of each row its rarest distinct vocabulary tokens are paired (a fixed number, so a
     row makes at most rarest * (rarest - 1) pairs).  The score relates joint to single
     frequencies and adds a share of the tokens' n-gram similarity.
     """
-    vocabulary = token_frequency(rows, *columns, least=3).where(~F.col("token").rlike(r"^\d+$") & (F.col("frequency") >= least_frequency)).select("token", "frequency")
+    vocabulary = word_frequency(rows, tokens, 3).where(~F.col("token").rlike(r"^\d+$") & (F.col("frequency") >= least_frequency)).select("token", "frequency")
     vocabulary = vocabulary.cache()  # of words, not of rows; counted before it is broadcast
     known = vocabulary.count()
-    tokens = F.array_distinct(F.concat(*[T.tokenize(F.col(c)) for c in columns]))
-    held = rows.select(F.col(ident).alias("row"), F.explode(tokens).alias("token")).join(F.broadcast(vocabulary) if known <= BROADCAST_ROWS else vocabulary, "token")
+    held = rows.select(F.col(ident).alias("row"), F.explode(F.array_distinct(tokens)).alias("token")).join(F.broadcast(vocabulary) if known <= BROADCAST_ROWS else vocabulary, "token")
     few = held.groupBy("row").agg(F.slice(F.array_sort(F.collect_list(F.struct("frequency", "token"))), 1, rarest).alias("held"))
     pairs = few.select(F.explode("held").alias("a"), "held").select("a", F.explode("held").alias("b")).where("a.token <> b.token")
     counts = pairs.groupBy(F.col("a.token").alias("token"), F.col("b.token").alias("neighbor"), F.col("a.frequency").alias("f"), F.col("b.frequency").alias("g")).agg(F.count("*").alias("cooccurrence"))

@@ -37,17 +37,19 @@ class Index:
     dense: Dense | None = None
 
 
-WORD_COLUMNS = ["name", "category", "key_tokens"]
+def stored_words() -> Column:
+    """All tokens of a stored product, with repeats, as they were cut when it was written."""
+    return F.concat(*[f"{c}_words" for c in ("name", "category", "key_tokens")])
 
 
 def rebuild_words(store: Catalog) -> None:
     """Writes the frequencies of the products' words anew, and nothing else."""
-    C.token_frequency(store.rows(), *WORD_COLUMNS).write.mode("overwrite").parquet(f"{store.path}/vocabulary")
+    C.word_frequency(store.rows(), stored_words()).write.mode("overwrite").parquet(f"{store.path}/vocabulary")
 
 
 def rebuild_edges(store: Catalog, least_frequency: int = 10) -> None:
     """Writes the graph of related words anew, and nothing else."""
-    C.cooccurrence(store.rows(), "item_id", WORD_COLUMNS, least_frequency).write.mode("overwrite").parquet(f"{store.path}/edges")
+    C.word_cooccurrence(store.rows(), "item_id", stored_words(), least_frequency).write.mode("overwrite").parquet(f"{store.path}/edges")
 
 
 def rebuild_dictionary(store: Catalog, dictionary: DataFrame) -> None:

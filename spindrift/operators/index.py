@@ -82,9 +82,9 @@ class Catalog:
             live = live.unionByName(removed.select("item_id", F.lit(True).alias("gone")).where("item_id IS NOT NULL").join(rows.select("item_id"), "item_id", "left_anti"), allowMissingColumns=True)
         put(live, "rows")
         written = self.spark.read.parquet(f"{self.path}/rows").where(F.col("segment") == segment)
-        found = postings_of(written.where("NOT gone"))
-        put(found.repartitionByRange("block", "term").sortWithinPartitions("block", "term"), "postings", "block")
-        put(found.select("term", "block").distinct().repartition("block"), "terms", "block")
+        live = written.where("NOT gone")
+        put(postings_of(live).repartitionByRange("block", "term").sortWithinPartitions("block", "term"), "postings", "block")
+        put(live.select(F.explode("said").alias("term")).distinct().withColumn("block", block(F.col("term"))).repartition("block"), "terms", "block")
         self.spark.createDataFrame([(segment,)], "segment int").coalesce(1).write.mode("append").parquet(f"{self.path}/segments")
         return Catalog(self.spark, self.path, [*self.segments, segment])
 

@@ -199,9 +199,9 @@ SYNONYMS = [("large brass", "big metal"), ("ring", "band"), ("small", "little")]
 
 
 def products(spark, sf_dir):
-    """Products with attribute keys between bars and key tokens."""
+    """Products with attribute keys between bars and key tokens, dealt to several tasks, as they may stand in few files and are cut into words as they are stored."""
     size = F.concat(F.lit("size "), F.col("p_size").cast("string"), F.when(F.col("p_size") % 2 == 0, F.lit(" gb")).otherwise(F.lit(" hz")))
-    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("item_id"), F.col("p_name").alias("name"), F.col("p_type").alias("category"), F.concat_ws(" | ", "p_brand", size).alias("attributes"))
+    rows = dealt(table(spark, sf_dir, "part")).select(F.col("p_partkey").alias("item_id"), F.col("p_name").alias("name"), F.col("p_type").alias("category"), F.concat_ws(" | ", "p_brand", size).alias("attributes"))
     return rows.withColumn("key_tokens", T.extract_keywords([F.col("name"), F.col("category")]))
 
 

@@ -5,7 +5,7 @@ import math
 from pyspark.sql import functions as F
 
 import __spark_entry__
-from spindrift.operators import asof, engine, enrich, index, profile, purchases, retrieval, shared, suggest
+from spindrift.operators import asof, corpus, engine, enrich, index, profile, purchases, retrieval, shared, suggest
 from spindrift.operators import vectors as vectors_of
 from spindrift.plans import search
 
@@ -203,3 +203,14 @@ def test_texts_share_the_vectors_of_their_words(spark):
     plain = vectors_of.summed(spark.range(1).select(F.lit("ab").alias("token"), F.explode(F.array(*[F.struct(vectors_of.hashed(F.lit(k), 70).alias("v"), F.lit(w).alias("w")) for k, w in [("tok:ab", 0.7), ("ng:<ab", 0.3), ("ng:ab>", 0.3), ("ng:<ab>", 0.3)]])).alias("p")).select("token", "p.v", "p.w"), "token", "v", F.col("w"), 70).first()["v"]
     held = vectors_of.surfaces(spark.createDataFrame([("ab",)], "token string"), 70).first()["v"]
     assert all(abs(x - y) < 1e-12 for x, y in zip(plain, held))
+
+
+def test_products_of_few_files_are_stored_by_several_tasks(spark, small):
+    rows = search.products(spark, small)
+    assert rows.rdd.getNumPartitions() >= 4  # read and cut into words by one task before
+    held = search.engine(spark, small)
+    assert len(held.store.rows().inputFiles()) >= 4
+    words = ("name", "category", "key_tokens")
+    same = lambda a, b: sorted(map(str, a.collect())) == sorted(map(str, b.collect()))
+    assert same(held.vocabulary, corpus.token_frequency(rows, *words)) and same(held.edges, corpus.cooccurrence(rows, "item_id", list(words)))
+    assert same(held.store.read("terms").select("term"), held.store.postings().select("term").distinct())

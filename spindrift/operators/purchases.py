@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -86,9 +86,10 @@ def longest_values(catalog: DataFrame, key: str, *columns: str, most: str | None
     return catalog.groupBy(key).agg(*pick, *([F.max(most).alias(most)] if most else []))
 
 
-def weighted(rows: DataFrame, partition: list[str], tie: str, count: float, amount: float, rank: float) -> DataFrame:
+def weighted(rows: DataFrame, partition: list[str], tie: str, count: float, amount: float, rank: float, place: Column) -> DataFrame:
     """rank and weight within each partition, by purchase count, amount, then the tie column.
 
+    place numbers the rows; where some repeat what they say of the tie column, a dense rank makes them one.
     The weight mixes the count and log amount against the largest of the partition with the reciprocal rank.
     """
     own = W.partitionBy(*partition)
@@ -96,16 +97,16 @@ def weighted(rows: DataFrame, partition: list[str], tie: str, count: float, amou
     log = F.log1p("total_amount")
     share = F.col("purchase_count") / F.max("purchase_count").over(own)
     volume = F.coalesce(log / F.nullif(F.max(log).over(own), F.lit(0.0)), F.lit(0.0))
-    ranked = rows.withColumn("rank", F.row_number().over(order))
+    ranked = rows.withColumn("rank", place.over(order))
     return ranked.withColumn("weight", count * share + amount * volume + rank / F.col("rank"))
 
 
-def category_weights(rows: DataFrame, partition: list[str], tie: str = "category") -> DataFrame:
-    return weighted(rows, partition, tie, 0.55, 0.25, 0.20)
+def category_weights(rows: DataFrame, partition: list[str], tie: str = "category", place: Column | None = None) -> DataFrame:
+    return weighted(rows, partition, tie, 0.55, 0.25, 0.20, F.row_number() if place is None else place)
 
 
-def item_weights(rows: DataFrame, partition: list[str], tie: str = "item_id") -> DataFrame:
-    return weighted(rows, partition, tie, 0.60, 0.25, 0.15)
+def item_weights(rows: DataFrame, partition: list[str], tie: str = "item_id", place: Column | None = None) -> DataFrame:
+    return weighted(rows, partition, tie, 0.60, 0.25, 0.15, F.row_number() if place is None else place)
 
 
 def popularity(stats: DataFrame, key: str, cutoff_days: int, month: int, today) -> DataFrame:

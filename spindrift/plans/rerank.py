@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from spindrift.operators import purchases as P
 from spindrift.operators import rerank as R
-from spindrift.plans.base import CATALOG, CONTRACTS, catalog, contracts, query, table
+from spindrift.plans.base import CATALOG, CONTRACTS, catalog, contracts, line_count, query, table
 
 HISTORY = f"""{CONTRACTS}, {CATALOG}, l AS (SELECT c.*, category FROM contracts c JOIN catalog USING (item_id)),
 si AS (SELECT customer_id, item_id, count(*) AS n, sum(CAST(amount AS DECIMAL(18,2)))::DOUBLE AS t FROM l GROUP BY ALL),
@@ -28,15 +28,15 @@ def said_sql(rules, otherwise: str) -> str:
     return f"coalesce(nullif(concat_ws('; ', {parts}), ''), '{otherwise}')"
 
 
-def known(spark, sf_dir):
-    """(purchases with category, weights of items, three top categories of each customer, sessions)."""
+def bought(spark, sf_dir, *keys):
+    """Every customer's products, by further keys, with history, affinity and session."""
     lines = P.with_category(contracts(spark, sf_dir), catalog(spark, sf_dir))
-    items = P.item_weights(P.purchase_stats(lines, "customer_id", "item_id"), ["customer_id"]).withColumn("weight", F.round("weight", 4))
-    top = P.category_weights(P.purchase_stats(lines, "customer_id", "category"), ["customer_id"]).where("rank <= 3")
+    categories = catalog(spark, sf_dir).select(F.coalesce("category", F.lit("UNKNOWN")).alias("category")).union(spark.range(1).select(F.lit("UNKNOWN"))).distinct()
     of = table(spark, sf_dir, "events").select(F.col("user_id").alias("customer_id"), F.col("event_type").alias("kind"), F.get_json_object("props", "$.k").alias("item"))
     of = of.join(catalog(spark, sf_dir).select(F.col("item_id").cast("string").alias("item"), "category"), "item")
     held = lambda kind, c: F.collect_set(F.when(F.col("kind") == kind, F.col(c)))
-    return lines, items, top, of.groupBy("customer_id").agg(held("click", "item").alias("clicked"), held("signup", "item").alias("cart"), held("purchase", "category").alias("recent"))
+    sessions = of.groupBy("customer_id").agg(held("click", "item").alias("clicked"), held("signup", "item").alias("cart"), held("purchase", "category").alias("recent"))
+    return R.bought(lines, categories, sessions, line_count(spark, sf_dir), *keys)
 
 
 @query(f"""WITH {HISTORY}, r AS (SELECT DISTINCT customer_id, item_id, category, p_size / 10e0 AS search_score FROM l JOIN part ON p_partkey = item_id),
@@ -44,10 +44,8 @@ k AS (SELECT r.*, {KNOWN} FROM r {JOINED}), f AS (SELECT *, round(search_score +
 SELECT customer_id, item_id, final_score, {said_sql(R.SAID_OF_RESULT, R.ELSE_OF_RESULT)} AS explanation, CAST(row_number() OVER (PARTITION BY customer_id ORDER BY final_score DESC, history DESC, affinity DESC, search_score DESC, item_id) AS INTEGER) AS rank FROM f""")
 def reranked_products(spark, sf_dir):
     """Every customer's products, found in order of their size, ranked anew by history and session."""
-    lines, items, top, sessions = known(spark, sf_dir)
     sizes = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("item_id"), (F.col("p_size") / 10.0).alias("search_score"))
-    found = lines.select("customer_id", "item_id", "category").distinct().join(sizes, "item_id")
-    return R.rerank_products(found, items, top, sessions).select("customer_id", "item_id", "final_score", F.array_join("explanation", "; ").alias("explanation"), "rank")
+    return R.ranked_products(bought(spark, sf_dir).join(sizes, "item_id")).select("customer_id", "item_id", "final_score", F.array_join("explanation", "; ").alias("explanation"), "rank")
 
 
 @query(f"""WITH {HISTORY}, r AS (SELECT customer_id, item_id, category, supplier_id, min(amount) AS unit_price, max(CAST(amount AS DOUBLE)) / 1e5 AS offer_score FROM l GROUP BY ALL),
@@ -56,7 +54,6 @@ k AS (SELECT b.*, {KNOWN} FROM b {JOINED}), f AS (SELECT *, round(offer_score +
 SELECT customer_id, item_id, supplier_id, final_score, {said_sql(R.SAID_OF_OFFER, R.ELSE_OF_OFFER)} AS explanation FROM f""")
 def reranked_offers(spark, sf_dir):
     """The offers of every customer's products by supplier, with a bonus for low prices."""
-    lines, items, top, sessions = known(spark, sf_dir)
-    offers = lines.groupBy("customer_id", "item_id", "category", "supplier_id").agg(F.min("amount").alias("unit_price"), (F.max("amount") / 1e5).alias("offer_score"))
-    out = R.rerank_offers(offers.withColumn("offer_id", F.concat_ws("-", "item_id", "supplier_id")), items, top, sessions)
+    offers = bought(spark, sf_dir, "supplier_id").withColumns({"unit_price": F.col("least"), "offer_score": F.col("most") / 1e5, "offer_id": F.concat_ws("-", "item_id", "supplier_id")})
+    out = R.ranked_offers(offers)
     return out.select("customer_id", "item_id", "supplier_id", "final_score", F.array_join("explanation", "; ").alias("explanation"))

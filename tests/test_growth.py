@@ -214,3 +214,26 @@ def test_products_of_few_files_are_stored_by_several_tasks(spark, small):
     same = lambda a, b: sorted(map(str, a.collect())) == sorted(map(str, b.collect()))
     assert same(held.vocabulary, corpus.token_frequency(rows, *words)) and same(held.edges, corpus.cooccurrence(rows, "item_id", list(words)))
     assert same(held.store.read("terms").select("term"), held.store.postings().select("term").distinct())
+
+
+def all_shuffled(df):
+    """The rows that all exchanges of df's plan wrote."""
+    df.collect()
+    todo, rows = [df._jdf.queryExecution().executedPlan()], 0
+    while todo:
+        node = todo.pop()
+        kind = node.getClass().getSimpleName()
+        if kind == "AdaptiveSparkPlanExec":
+            todo.append(node.executedPlan())
+        elif kind.endswith("QueryStageExec"):
+            todo.append(node.plan())
+        else:
+            told = node.metrics().get("shuffleRecordsWritten")
+            rows += told.get().value() if told.isDefined() else 0
+            todo += [node.children().apply(i) for i in range(node.children().size())]
+    return rows
+
+
+def test_offers_are_dealt_by_customer_once(spark, small):
+    lines = spark.read.parquet(f"{small}/lineitem.parquet").count()
+    assert all_shuffled(__spark_entry__.queries()["reranked_offers"](spark, small)) <= 2 * lines  # four times the lines before, though orders and products are broadcast here

@@ -237,3 +237,10 @@ def all_shuffled(df):
 def test_offers_are_dealt_by_customer_once(spark, small):
     lines = spark.read.parquet(f"{small}/lineitem.parquet").count()
     assert all_shuffled(__spark_entry__.queries()["reranked_offers"](spark, small)) <= 2 * lines  # four times the lines before, though orders and products are broadcast here
+
+
+def test_expansion_cuts_texts_once(spark, small):
+    found = __spark_entry__.queries()["semantic_expansion"](spark, small)
+    assert not any("documents" in f for f in found.inputFiles())  # each count and join read and dealt the texts again before
+    rows = spark.createDataFrame([(1, "Red pen, red", "Ёлка"), (2, None, ""), (3, "--", None)], "id long, a string, b string")
+    assert {r["row"]: r["tokens"] for r in corpus.words_once(rows, "id", "a", "b").collect()} == {1: ["red", "pen", "red", "елка"], 2: [], 3: []}

@@ -244,3 +244,39 @@ def test_expansion_cuts_texts_once(spark, small):
     assert not any("documents" in f for f in found.inputFiles())  # each count and join read and dealt the texts again before
     rows = spark.createDataFrame([(1, "Red pen, red", "Ёлка"), (2, None, ""), (3, "--", None)], "id long, a string, b string")
     assert {r["row"]: r["tokens"] for r in corpus.words_once(rows, "id", "a", "b").collect()} == {1: ["red", "pen", "red", "елка"], 2: [], 3: []}
+
+
+def shuffled_bytes(df):
+    """The bytes that all exchanges of df's plan wrote, uncompressed."""
+    df.collect()
+    todo, size = [df._jdf.queryExecution().executedPlan()], 0
+    while todo:
+        node = todo.pop()
+        kind = node.getClass().getSimpleName()
+        if kind == "AdaptiveSparkPlanExec":
+            todo.append(node.executedPlan())
+        elif kind.endswith("QueryStageExec"):
+            todo.append(node.plan())
+        else:
+            told = node.metrics().get("dataSize")
+            size += told.get().value() if kind == "ShuffleExchangeExec" and told.isDefined() else 0
+            todo += [node.children().apply(i) for i in range(node.children().size())]
+    return size
+
+
+def test_vectors_of_words_are_made_where_texts_are(spark):
+    rows = spark.createDataFrame([(i, " ".join(f"w{i}x{j}" for j in range(5))) for i in range(400)], "id long, text string")
+    assert shuffled_bytes(vectors_of.graph_vectors(rows, "id", "text", 70)) < 2000 * 70 * 8 // 2  # a vector of each of 2000 words before
+
+
+def test_vectors_of_texts_are_sums_of_those_of_words(spark):
+    words = ["cable", "cables", "drug", "pill", "stone", "ab", "насос", "w" * 40]
+    rows = spark.createDataFrame([(i % 45, " ".join(words[(i * k) % 8] for k in range(i % 5 + 1))) for i in range(50)] + [(90, "--"), (91, None)], "id long, text string")
+    got = {r["id"]: r["vector"] for r in vectors_of.graph_vectors(rows, "id", "text", 70).collect()}
+    tokens = rows.select("id", F.explode(F.array_distinct(corpus.T.tokenize(F.col("text")))).alias("token"))
+    edges = corpus.cooccurrence(rows, "id", ["text"])
+    assert edges.where("score >= 0.08").count() > 4
+    weights = tokens.groupBy("token").agg(vectors_of.N.idf(F.count("*"), F.lit(52.0)).alias("w"))
+    plain = vectors_of.summed(tokens.join(vectors_of.token_vectors(weights.select("token"), edges, 70), "token").join(weights, "token"), "id", "v", F.col("w"), 70)
+    want = {r["id"]: r["v"] for r in plain.collect()}
+    assert sorted(got) == sorted(want) == list(range(45)) and all(abs(x - y) < 2e-6 for i in want for x, y in zip(got[i], want[i]))

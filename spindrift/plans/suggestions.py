@@ -11,6 +11,7 @@ from spindrift.plans.base import CATALOG, CONTRACTS, catalog, contracts, line_co
 
 PREFIXES = f"""names AS (SELECT p_partkey AS item_id, p_name AS name, p_type AS category FROM part),
 prefixes AS (SELECT left(name, n) AS prefix, item_id, name, category, CAST(row_number() OVER (PARTITION BY left(name, n) ORDER BY length(name), name, item_id) AS INTEGER) AS place FROM names, (VALUES (2), (3), (4)) AS e(n) WHERE length(name) >= n QUALIFY place <= 120)"""
+ALL_PREFIXES = "prefixes AS (SELECT left(p_name, n) AS prefix, p_partkey AS item_id, p_name AS name, p_type AS category FROM part, (VALUES (2), (3), (4)) AS e(n) WHERE length(p_name) >= n)"
 
 
 @query(f"WITH {PREFIXES} SELECT * FROM prefixes")
@@ -45,10 +46,10 @@ def inputs(spark, sf_dir):
 
 
 def of_type(spark, sf_dir, lines, typical, preferred, recommended):
-    return S.same_type_prefix(asked_prefixes(spark, sf_dir), S.prefix_table(catalog(spark, sf_dir)), people(spark, sf_dir), lines, typical, preferred, recommended)
+    return S.same_type_prefix(asked_prefixes(spark, sf_dir), S.prefixes(catalog(spark, sf_dir)), people(spark, sf_dir), lines, typical, preferred, recommended)
 
 
-@query(f"""WITH {CONTRACTS}, {CATALOG}, {PREFIXES}, l AS (SELECT c.*, k.category, c_mktsegment AS type FROM contracts c JOIN catalog k USING (item_id) JOIN customer ON c_custkey = customer_id),
+@query(f"""WITH {CONTRACTS}, {CATALOG}, {ALL_PREFIXES}, l AS (SELECT c.*, k.category, c_mktsegment AS type FROM contracts c JOIN catalog k USING (item_id) JOIN customer ON c_custkey = customer_id),
 q AS (SELECT c_custkey AS customer_id, c_mktsegment AS type, left(p_name, CAST(CASE c_custkey % 7 WHEN 0 THEN 9 ELSE 2 + c_custkey % 3 END AS INTEGER)) AS query FROM customer JOIN part ON p_partkey = c_custkey % 100),
 t AS (SELECT type, category FROM l GROUP BY type, category QUALIFY row_number() OVER (PARTITION BY type ORDER BY count(*) DESC, category) = 1),
 ti AS (SELECT type, item_id, count(*) AS c FROM l GROUP BY ALL), oi AS (SELECT customer_id, item_id, count(*) AS own FROM l GROUP BY ALL), al AS (SELECT item_id, count(*) AS total FROM l GROUP BY ALL),
@@ -61,7 +62,7 @@ s AS (SELECT *, n / greatest(n, total) AS part, CASE WHEN usual THEN 12e0 ELSE l
 r AS (SELECT *, round(0.06e0 * CASE WHEN length(norm) > 2 THEN 180 ELSE 120 END + least(14e0, 2.5e0 * ln(1 + n)) + 18e0 * part + liked + least(6, own) - CASE WHEN liked > 0 THEN 0 ELSE 10 END, 4) AS score FROM s WHERE liked > 0 OR (part >= 0.45 AND n >= 3))
 SELECT customer_id, query, item_id, name, CAST(n AS BIGINT) AS count, score, CAST(row_number() OVER (PARTITION BY customer_id ORDER BY score DESC, n DESC, name DESC, item_id) AS INTEGER) AS rank FROM r QUALIFY rank <= 30""")
 def same_type_suggestions(spark, sf_dir):
-    """For every customer's short query the thirty best products of their type: the limit is the feature."""
+    """For every customer's short query the thirty best products of their type, among all that begin like it: the limit is the feature."""
     return of_type(spark, sf_dir, *inputs(spark, sf_dir))
 
 

@@ -280,3 +280,10 @@ def test_vectors_of_texts_are_sums_of_those_of_words(spark):
     plain = vectors_of.summed(tokens.join(vectors_of.token_vectors(weights.select("token"), edges, 70), "token").join(weights, "token"), "id", "v", F.col("w"), 70)
     want = {r["id"]: r["v"] for r in plain.collect()}
     assert sorted(got) == sorted(want) == list(range(45)) and all(abs(x - y) < 2e-6 for i in want for x, y in zip(got[i], want[i]))
+
+
+def test_purchases_take_along_what_is_needed(spark, small):
+    from spindrift.plans import profiles
+
+    told = enrich.enriched_purchases(profiles.purchases(spark, small, 4), ("contract_id", "line"), profiles.regions(spark, small, "supplier"), 4)
+    assert not {"customer_id", "kind"} & set(told.columns)  # went along to the product before
